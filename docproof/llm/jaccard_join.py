@@ -289,3 +289,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest (id, text)."""
+    names, own = docs.columns, F.struct(F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("\x00"))).alias("text"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), own.alias("_own"), F.col(text_col).cast("string").alias("_text"))
+    found = stored(near_duplicates(keyed, "_own", "_text", size, percent), "found")
+    dropped = stored(found.where(F.col("_own") != F.col("component_id")).select("_own"), "dropped")
+    kept = keyed.join(_listed(dropped, dropped.count()), "_own", "left_anti")
+    if not found.groupBy("_own").count().where("count > 1").isEmpty():  # equal rows
+        kept = kept.dropDuplicates(["_own"])
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in names))
