@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from docproof.llm.common import small_batches, stored
 
 #: Bytes of the anchoring k-gram; distinct contexts of an anchor that one task takes; bytes of one transform.
-GRAM, MOST_CONTEXTS, TRANSFORM_BYTES = 64, 1000, 1 << 20
+GRAM, MOST_CONTEXTS, TRANSFORM_BYTES = 32, 1000, 1 << 20
 #: Places relative to the anchor in one block, by round of dealing out.
 BLOCKS = (48, 6, 1)
 #: A list of at most so many spans or contexts is broadcast, a longer one joined with a shuffle.
@@ -96,21 +96,30 @@ def contexts(data: np.ndarray, size: int, gram: int, powers: Powers) -> list[tup
 
 
 def suffix_array(text: np.ndarray, separators: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks of codes of which the first ``separators`` values occur once, by doubling of prefixes."""
+    """Suffix array and ranks of codes of which the first ``separators`` values occur once, by doubling of prefixes.
+
+    Where they fit, both halves of a key and the suffix's number are sorted as one integer.
+    """
     n, base = len(text), np.int64(separators + 257)
-    padded = np.concatenate([text, np.zeros(3, np.int64)])
-    key = ((padded[:n] * base + padded[1 : n + 1]) * base + padded[2 : n + 2]) * base + padded[3 : n + 3]
-    width = 4
+    width = 3
+    padded = np.concatenate([text, np.zeros(width - 1, np.int64)])
+    key = (padded[:n] * base + padded[1 : n + 1]) * base + padded[2 : n + 2]
+    packed, number = n < 1 << 21 and int(base) ** width < 1 << 42, np.arange(n)
     while True:
-        order = np.argsort(key)
-        value = key[order]
+        if packed:
+            value = np.sort((key << 21) | number)
+            order = (value & ((1 << 21) - 1)).astype(np.int32)
+            value >>= 21
+        else:
+            order = np.argsort(key)
+            value = key[order]
         fresh = np.concatenate([[True], value[1:] != value[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
         if fresh.all():
             return order, rank
-        key = rank * np.int64(n + 1)
-        key[: n - width] += rank[width:] + 1
+        key = rank.astype(np.int64) << 21 if packed else rank.astype(np.int64) * (n + 1)
+        key[: n - width] += rank[width:] + np.int64(1)
         width *= 2
 
 
@@ -126,10 +135,10 @@ def repeated_starts(parts: list[bytes], size: int) -> list[np.ndarray]:
     text[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + m
     order, rank = suffix_array(text, m)
     n = len(text)
-    first = np.full(n + 2, -1, np.int64)  # the suffixes' first symbols, with a border on either side
+    first = np.full(n + 2, -1, np.int32)  # the suffixes' first symbols, with a border on either side
     first[1:-1] = text[order]
     back = rank[order - 1]  # where the suffix one symbol longer stands: the transform's backward step
-    owner = np.full(n + 2, -1, np.int64)
+    owner = np.full(n + 2, -1, np.int32)
     known = np.zeros(n + 1, bool)  # places with a common-prefix value
     known[0] = known[n] = True
     lo, hi, stamp = np.zeros(1, np.int64), np.full(1, n, np.int64), 0
@@ -137,10 +146,10 @@ def repeated_starts(parts: list[bytes], size: int) -> list[np.ndarray]:
         if not len(lo):
             break
         width = hi - lo
-        group = np.repeat(np.arange(len(lo)), width)
-        q = back[np.arange(len(group)) - (np.cumsum(width) - width)[group] + lo[group]]
-        owner[q + 1] = group + stamp
-        mine, symbol = owner[q + 1], first[q + 1]
+        mine = np.repeat(np.arange(stamp, stamp + len(lo), dtype=np.int32), width)
+        q = back[np.arange(len(mine)) + np.repeat(lo - np.cumsum(width) + width, width)]
+        owner[q + 1] = mine
+        symbol = first[q + 1]
         end = np.sort(q[(owner[q + 2] != mine) | (first[q + 2] != symbol)]) + 1
         begin = np.sort(q[(owner[q] != mine) | (first[q] != symbol)])
         stamp += len(lo)
