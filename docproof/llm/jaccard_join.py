@@ -87,7 +87,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per row: id, n, node (128 bits of the set) and prefix (its first tokens, 8 bytes each)."""
+    """Per row: id, n, set (128 bits of its tokens) and prefix (its first tokens, 8 bytes each)."""
     texts = _texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +100,18 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
                 n.append(len(t))
                 node.append(hashlib.blake2b(t.tobytes(), digest_size=16).digest() if len(t) else None)
                 prefix.append(t[: len(t) - needed(len(t), percent) + 1].tobytes() if len(t) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.binary())], ["id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.binary())], ["id", "n", "set", "prefix"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, n bigint, node binary, prefix binary")
+    return texts.mapInArrow(run, f"id {kind}, n bigint, set binary, prefix binary")
 
 
 def _listed(df: DataFrame, wanted: int) -> DataFrame:
     return F.broadcast(df) if wanted <= BROADCAST_ROWS else df
 
 
-def fetch_tokens(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, n, tokens) of the given nodes(node, id), from the texts of the documents that stand for them."""
+def fetch_tokens(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, unique: bool) -> DataFrame:
+    """(node, n, tokens) of the given nodes(node, set, id), from the texts of the documents that stand for them; unique: no id stands twice."""
     texts, count = _texts(docs, id_col, text_col), nodes.count()
     ids = nodes.select(F.col("id").alias("_id")).distinct()
     some = texts.join(_listed(ids, count), texts.id.eqNullSafe(F.col("_id")), "left_semi").select("text")
@@ -122,10 +122,11 @@ def fetch_tokens(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
         for batch in batches:
             found = [t for t in map(shingler.tokens, batch.column(0).to_pylist()) if len(t)]
             data = [t.tobytes() for t in found]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary()), pa.array([len(t) for t in found], pa.int64()), pa.array(data, pa.binary())], ["node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary()), pa.array([len(t) for t in found], pa.int64()), pa.array(data, pa.binary())], ["set", "n", "tokens"])
 
-    tokens = some.mapInArrow(run, "node binary, n bigint, tokens binary")
-    return tokens.join(_listed(nodes.select("node"), count), "node", "left_semi").dropDuplicates(["node"])
+    tokens = some.mapInArrow(run, "set binary, n bigint, tokens binary")
+    tokens = tokens.join(_listed(nodes.select("node", "set"), count), "set").drop("set")
+    return tokens if unique else tokens.dropDuplicates(["node"])
 
 
 def exploded(sets: DataFrame) -> DataFrame:
@@ -138,12 +139,12 @@ def exploded(sets: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
                 at = np.concatenate([np.arange(len(p)) for p in prefix]) if prefix else row
                 tokens = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(at, pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["token", "at", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(at, pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)).cast(pa.int32())], ["token", "at", "node", "n"])
 
-    return sets.select("node", "n", "prefix").mapInArrow(run, "token bigint, at int, node binary, n bigint")
+    return sets.select("node", "n", "prefix").mapInArrow(run, "token bigint, at int, node bigint, n int")
 
 
-def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
     """sets(node, id, n, prefix) with the tokens of very many prefixes moved behind all others, until no prefix changes."""
     counts = exploded(sets).groupBy("token").count()
     frequent = stored(counts.where(F.col("count") > FREQUENT).select("token"), "frequent")
@@ -158,10 +159,12 @@ def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: st
             both = known.select("node", F.col("held").alias("old")).join(held, "node", "left")
             merged = F.array_union("old", F.coalesce("held", F.array().cast("array<bigint>")))
             known = stored(both.select("node", merged.alias("held"), (F.size(merged) - F.size("old")).alias("added")), "known")
-        changed = known.where("added > 0").join(sets.select("node", "id"), "node")
-        if changed.isEmpty():
+        changed = known.where("added > 0").join(sets.select("node", "set", "id"), "node")
+        count = changed.count()
+        if not count:
             return done
-        tokens = fetch_tokens(docs, changed.select("node", "id"), id_col, text_col, size).join(known.select("node", "held"), "node")
+        late = changed.select("node", "held")
+        tokens = fetch_tokens(docs, changed.select("node", "set", "id"), id_col, text_col, size, unique).join(_listed(late, count), "node")
 
         @F.pandas_udf("binary")
         def first(tokens: pd.Series, held: pd.Series) -> pd.Series:
@@ -172,7 +175,7 @@ def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: st
             return pd.Series(out)
 
         new = tokens.select("node", first("tokens", "held").alias("new"))
-        done = stored(done.join(new, "node", "left").select("node", "id", "n", F.coalesce("new", "prefix").alias("prefix")), "sets")
+        done = stored(done.join(_listed(new, count), "node", "left").select("node", "set", "id", "n", F.coalesce("new", "prefix").alias("prefix")), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,6 +202,19 @@ def similar(a: int, b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def may_link(c, n, m, percent: int):
+    """Whether sets of n and m tokens with c common ones in their prefixes can reach the threshold.
+
+    Common tokens up to the end of the prefix that ends first are among the c; behind it that set has only the
+    rest, which is the share that any partner must hold, less one.
+    """
+    def rest(k):
+        return F.ceil(percent * k / 100) - 1
+
+    enough = F.ceil(percent * (n + m) / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (c + F.greatest(rest(n), rest(m)) >= enough)
+
+
 def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) that reach the threshold, compared exactly."""
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -216,7 +232,7 @@ def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links(a, b) of queries(part, node, tokens) with the members(part, node, tokens) of the groups they are sent to."""
+    """Links(a, b) of queries(root, salt, node, tokens) with the members(root, salt, node, tokens) of the groups they are sent to."""
 
     def run(key, asked: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(t, np.int64) for t in group["member_tokens"]]
@@ -233,56 +249,63 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                     break  # the members are one component: one link joins it
         return pd.DataFrame(out, columns=["a", "b"])
 
-    fresh = members.select(F.col("part").alias("group_part"), F.col("node").alias("member"), F.col("tokens").alias("member_tokens"))
-    asked = queries.select(F.col("part").alias("asked_part"), F.col("node").alias("asked"), F.col("tokens").alias("asked_tokens"))
-    return asked.groupBy("asked_part").cogroup(fresh.groupBy("group_part")).applyInPandas(run, "a binary, b binary")
+    fresh = members.select(F.col("root").alias("group_root"), F.col("salt").alias("group_salt"), F.col("node").alias("member"), F.col("tokens").alias("member_tokens"))
+    asked = queries.select(F.col("root").alias("asked_root"), F.col("salt").alias("asked_salt"), F.col("node").alias("asked"), F.col("tokens").alias("asked_tokens"))
+    return asked.groupBy("asked_root", "asked_salt").cogroup(fresh.groupBy("group_root", "group_salt")).applyInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (the smallest id reachable by links)."""
     rows = stored(token_sets(docs, id_col, text_col, size, percent), "rows")
-    sets = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-    sets = ordered_prefixes(docs, sets, id_col, text_col, size, percent)
+    sets = rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbered as written
+    unique = rows.groupBy("id").count().where("count > 1").isEmpty()
+    sets = ordered_prefixes(docs, sets, id_col, text_col, size, percent, unique)
     index = exploded(sets)
-    shared = index.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1").select("token", "leader")
+    shared = index.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("leader")).where("c > 1").select("token", "leader")
     index = stored(index.join(shared, "token"), "index")
-    ids = sets.select("node", "id")
-
-    best = index.where("node <> leader").groupBy("node", "leader").count()
-    best = best.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    ids = sets.select("node", "set", "id")
+    best = index.where(F.col("node") != F.col("leader.node")).groupBy("node", "n", "leader").agg(F.count("*").alias("c"))
+    best = best.where(may_link(F.col("c"), F.col("n"), F.col("leader.n"), percent))
+    best = best.groupBy("node").agg(F.max_by("leader.node", F.struct("c", "leader")).alias("leader"))
     pairs = stored(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pairs")
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node")
-    tokens = stored(fetch_tokens(docs, both, id_col, text_col, size), "tokens")
+    tokens = stored(fetch_tokens(docs, both, id_col, text_col, size, unique), "tokens")
     first = stored(linked(pairs, tokens, percent), "first")
     roots = components(first)
 
-    placed = sets.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("root").agg(F.count("*").alias("members"))
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP).cast("bigint"))
-    placed = stored(placed.join(sizes, "root").select("node", "root", "members", F.unhex(F.md5(F.concat("root", salt.cast("string").cast("binary")))).alias("part")), "placed")
+    placed = sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("root").agg(F.count("*").cast("int").alias("members"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int")
+    placed = stored(placed.join(sizes, "root").select("node", "root", "members", salt.alias("salt")), "placed")
     entries = index.select("token", "at", "node", "n").join(placed, "node")
     mixed = entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     entries = stored(entries.join(mixed, "token"), "entries")
     #: The matrix: per token and group, the least place and the range of sizes of its members.
-    matrix = entries.groupBy("token", "part", "root", "members").agg(F.min("at").alias("j"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = entries.groupBy("token", "root", "salt", "members").agg(F.min("at").alias("j"), F.min("n").alias("least"), F.max("n").alias("most"))
     asked = entries.select("token", "node", "n", F.col("at").alias("i"), F.col("root").alias("own"), F.col("members").alias("own_members"))
     smaller = (F.col("own") != F.col("root")) & (F.struct("own_members", "own") < F.struct("members", "root"))
-    near = asked.join(matrix, "token").where(smaller)
-    near = near.groupBy("node", "part").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    m = F.least(F.greatest(F.col("n"), F.col("least")), F.col("most"))  # the size in the group that is most favourable to a link
-    #: Sizes, and the places of the first common token on either side, still allow the threshold.
+    #: Only members of sizes that fit can link, and all their common tokens are in entries with such sizes.
+    fitting = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
+    near = asked.join(matrix, "token").where(smaller & fitting)
+    near = near.groupBy("node", "root", "salt").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").cast("int").alias("c"), F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    low = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))  # sizes in the group that may link
+    high = F.least(F.col("most"), F.floor(100 * F.col("n") / percent))
+    #: The places of the first common token, and the number of common tokens, still allow the threshold at either end of the sizes.
     possible = (
-        (100 * F.least("n", m) >= percent * F.greatest("n", m))
-        & (percent * (F.col("n") + F.col("least")) <= (100 + percent) * (F.col("n") - F.col("i")))
-        & (percent * F.col("n") + (100 + percent) * F.col("j") <= 100 * F.col("most"))
+        (low <= high)
+        & (percent * (F.col("n") + low) <= (100 + percent) * (F.col("n") - F.col("i")))
+        & (percent * F.col("n") + (100 + percent) * F.col("j") <= 100 * high)
+        & (may_link(F.col("c"), F.col("n"), low, percent) | may_link(F.col("c"), F.col("n"), high, percent))
     )
-    near = stored(near.where(possible).select("node", "part"), "near")
-    members = near.select("part").distinct().join(placed.select("part", "node"), "part")
+    near = stored(near.where(possible).select("node", "root", "salt"), "near")
+    members = near.select("root", "salt").distinct().join(placed.select("root", "salt", "node"), ["root", "salt"])
     wanted = stored(members.select("node").unionByName(near.select("node")).distinct().join(ids, "node"), "wanted")
-    tokens = stored(fetch_tokens(docs, wanted, id_col, text_col, size).select("node", "tokens"), "tokens")
-    more = opened(near.join(tokens, "node").select("part", "node", "tokens"), members.join(tokens, "node").select("part", "node", "tokens"), percent)
+    tokens = stored(fetch_tokens(docs, wanted, id_col, text_col, size, unique).select("node", "tokens"), "tokens")
+    more = opened(near.join(tokens, "node"), members.join(tokens, "node"), percent)
     roots = components(first.unionByName(more))
-    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = sets.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
+    rooted = rows.select("id", "n", "set").join(rooted, "set", "left")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
