@@ -114,7 +114,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separ
     """The rows of ``docs`` with their own columns, the text without its repeated units, and removed_spans (offsets in code points)."""
     names = docs.columns
     spans = find_repeats(docs, id_col, text_col, separator, min_words)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    others = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0)]
+    whole = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = whole.select("row", "text", F.when(F.col("text").isNotNull(), _key()).alias("key")).join(spans, "key", "left")
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
