@@ -31,25 +31,35 @@ from pyspark.sql import functions as F
 
 from docproof.llm.common import path_of, small_batches, stored
 
-#: Words whose ids a task keeps; the table is emptied beyond.
-TABLE_WORDS = 300_000
+#: Words whose ids a Python worker keeps, in two generations.
+TABLE_WORDS = 500_000
 #: Pieces of one length that one task ranks, about.
 SALT_ROWS = 100_000
 
 
 #: The pre-tokenizer's pattern for lower-case text up to U+017F, its classes of letters, numbers and white space written out.
 _LETTER, _NUMBER, _SPACE = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾", r"\t\n\x0b\x0c\r \x85\xa0"
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-_BEYOND = re.compile("[^\x00-\u017f]|<\\|")
+_WORD = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+#: The same for ASCII, where matching is faster.
+_ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\x0b\x0c\r a-z0-9]+")
+_BEYOND = re.compile("[^\x00-\u017f]")
 
 
 class WordTable:
-    """Ids of each distinct pre-token; texts with other characters or special tokens go to the library whole."""
+    """Ids of each distinct pre-token; texts with other characters or special tokens go to the library whole.
+
+    Two generations bound the table: words in use move to the younger one, which becomes the older when it is
+    full, so frequent words stay. New words go to the library many at a time, between spaces, and are told
+    apart by the vocabulary's word ends.
+    """
 
     def __init__(self, file: str, most: int = TABLE_WORDS):
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.ids = Tokenizer.from_file(file), most, {}
+        self.library, self.most, self.ids, self.old = Tokenizer.from_file(file), most, {}, {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         probe = "It's 10% o' über_all, WORD'LL\x1f no¼\xa0x"
         self.splits = True
         self.splits = self.encode([probe])[0] == self._whole(probe)  # another tokenizer file: whole texts
@@ -57,23 +67,42 @@ class WordTable:
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _cut(self, text: str) -> list[str] | None:
+        if not self.splits or "<|" in text:
+            return None
+        if text.isascii():
+            return _ASCII_WORD.findall(text.lower())
+        return None if _BEYOND.search(text) else _WORD.findall(text.lower())
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
+        if len(self.ids) + len(new) > self.most // 2:
+            self.ids, self.old = {}, self.ids
             new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            self.ids.update(zip(part, (array("I", e.ids).tobytes() for e in found)))
+        kept = [w for w in new if w in self.old]
+        self.ids.update(zip(kept, map(self.old.__getitem__, kept)))
+        new = [w for w in new if w not in self.ids]
+        for at in range(0, len(new), 500):
+            part = new[at : at + 500]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) * 4 + 4
+            if len(stops) == len(part):
+                data, cuts = ids.tobytes(), stops.tolist()
+                self.ids.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+            else:
+                self.ids.update(zip(part, map(self._whole, part)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as bytes, little-endian unsigned 32-bit."""
-        cut = [_WORD.findall(t.lower()) if self.splits and not _BEYOND.search(t) else None for t in texts]
+        cut = [self._cut(t) for t in texts]
         self.learn(set().union(*(c for c in cut if c)))
         return [self._whole(t) if c is None else b"".join(map(self.ids.__getitem__, c)) for t, c in zip(texts, cut)]
 
 
+#: A worker's tables, by file, for all tasks that it runs.
+_TABLES: dict[str, WordTable] = {}
+
+
 def encode_pieces(
     df: DataFrame, file: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 4096
 ) -> DataFrame:
@@ -84,7 +113,7 @@ def encode_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the table holds many small objects and no cycles
-        table = WordTable(file)
+        table = _TABLES.get(file) or _TABLES.setdefault(file, WordTable(file))
         for batch in batches:
             rows, piece, start, ids = [], [], [], []
             for row, text in enumerate(table.encode([t or "" for t in batch.column(1).to_pylist()])):
