@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,10 +80,13 @@ def without(text: str, spans: list[tuple[int, int]], separator: str = "\n") -> t
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, spans): the spans to remove in each distinct (id, text), key being a hash of both."""
+    """(id, key, spans): the spans to remove in each distinct (id, text), key being a hash of the text.
+
+    What is shuffled is narrow: ids, 64-bit keys and digests of two longs; the first occurrence alone is aggregated.
+    """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    source = source.select("id", _key().alias("key"), "text")
+    source = source.select("id", F.xxhash64("text").alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -94,20 +98,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     start.append(a)
                     end.append(b)
                     digest.append(d)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary())], ["id", "key", "start", "end", "digest"])
+            at, halves = pa.array(rows, pa.int64()), np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["id", "key", "start", "end", "d0", "d1"])
 
     kind = source.schema["id"].dataType.simpleString()
-    units = stored(source.mapInArrow(run, f"id {kind}, key binary, start int, end int, digest binary"), "units")
+    units = stored(source.mapInArrow(run, f"id {kind}, key bigint, start int, end int, d0 bigint, d1 bigint"), "units")
     rank = F.struct("id", "key", "start")
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("digest", "first")
-    gone = units.join(first, "digest").where(F.struct("id", "key", "start") != F.col("first"))
-    return gone.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def _key():
-    """128 bits of the id and the text."""
-    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col("id").cast("string"), F.lit("null")), "text")))
+    first = units.groupBy("d0", "d1").agg(F.min(rank).alias("first"), F.count("*").alias("c")).where("c > 1").select("d0", "d1", "first")
+    gone = units.join(first, ["d0", "d1"]).where(rank != F.col("first"))
+    return gone.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,7 +115,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separ
     spans = find_repeats(docs, id_col, text_col, separator, min_words)
     others = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0)]
     whole = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = whole.select("row", "text", F.when(F.col("text").isNotNull(), _key()).alias("key")).join(spans, "key", "left")
+    keyed = whole.withColumn("key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    spans = spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "spans")
+    keyed = keyed.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
     def cut(text, spans):
