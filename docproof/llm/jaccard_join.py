@@ -2,16 +2,18 @@
 
 A document's tokens are 64-bit hashes of its distinct word shingles. Equal sets are one node. Two sets whose
 similarity reaches the threshold share a token among the first of each in any one order of all tokens (the
-prefix); the order here is by hash, with tokens that very many prefixes hold put last, so that frequent
-passages open no long lists. Then
-
-1. each node is compared with the node it shares most prefix tokens with (large groups of near copies join up
-   in one linear step), which gives components;
-2. nodes of one component, in parts of at most ``GROUP`` members, are the groups: similar documents. The
+prefix).
+
+1. Each node is compared with the node it shares most of its ``SEEDS`` smallest tokens with: large groups of
+   near copies join up in one linear step, which gives components. What this misses is left to step 3.
+2. Tokens are ordered by hash, but those in the prefixes of more than ``FREQUENT`` components go last, so that
+   frequent passages open no long lists; prefixes are refilled and counted again until none holds such a token
+   in front of others. The order is the same for all nodes, so no link is lost by it.
+3. Nodes of one component, in parts of about ``GROUP`` members, are the groups: similar documents. The
    matrix of prefix tokens against groups names, for every node, the groups of other components that share a
    token early enough; the group's token union bounds the overlap of the node with any member, and only where
-   the bound reaches the threshold is the group opened and the members compared exactly;
-3. all links found make the components of the result.
+   the bound reaches the threshold is the group opened and the members compared exactly.
+4. All links found make the components of the result.
 
 Every pair that could link across two components of step 1 is bounded or compared, so no link between
 components is lost, and no pairs are listed inside a group.
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 
 from docproof.llm.common import small_batches, stored
 
-#: Words whose hashes a task keeps; prefixes that may hold a token before it goes last in the order; members of a group.
-TABLE_WORDS, FREQUENT, GROUP = 300_000, 100, 256
+#: Words whose hashes a task keeps; tokens that pick a first partner; components whose prefixes may hold a token before it
+#: goes last in the order; members of a group; nodes compared with a group in one task.
+TABLE_WORDS, SEEDS, FREQUENT, GROUP, ASKED = 300_000, 8, 100, 256, 1024
 #: A list of nodes of at most so many rows is broadcast, a longer one is joined with a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -73,12 +76,12 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def in_order(tokens: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Tokens in the global order, those in ``last`` behind all others."""
-    if not len(last):
+def in_order(tokens: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Sorted tokens in the global order: those of the sorted ``late`` behind all others."""
+    if not len(late):
         return tokens
-    late = np.isin(tokens, last)
-    return np.concatenate([tokens[~late], tokens[late]])
+    held = late[np.minimum(np.searchsorted(late, tokens), len(late) - 1)] == tokens
+    return np.concatenate([tokens[~held], tokens[held]])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,7 +90,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per row: id, n, set (128 bits of its tokens) and prefix (its first tokens, 8 bytes each)."""
+    """Per row: id, n, set (128 bits of its tokens) and prefix (its first tokens by hash)."""
     texts = _texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +102,11 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
                 t = shingler.tokens(text)
                 n.append(len(t))
                 node.append(hashlib.blake2b(t.tobytes(), digest_size=16).digest() if len(t) else None)
-                prefix.append(t[: len(t) - needed(len(t), percent) + 1].tobytes() if len(t) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.binary())], ["id", "n", "set", "prefix"])
+                prefix.append(t[: len(t) - needed(len(t), percent) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "set", "prefix"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, n bigint, set binary, prefix binary")
+    return texts.mapInArrow(run, f"id {kind}, n bigint, set binary, prefix array<bigint>")
 
 
 def _listed(df: DataFrame, wanted: int) -> DataFrame:
@@ -129,53 +132,50 @@ def fetch_tokens(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     return tokens if unique else tokens.dropDuplicates(["node"])
 
 
-def exploded(sets: DataFrame) -> DataFrame:
-    """(token, at, node, n) from sets(node, n, prefix); at is the token's place in the order."""
+def exploded(sets: DataFrame, *cols: str) -> DataFrame:
+    """(*cols, at, token) from sets(*cols, prefix); at is the token's place in the order."""
+    return sets.select(*cols, F.posexplode("prefix").alias("at", "token"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
-                prefix = [np.frombuffer(p, np.int64) for p in part.column(2).to_pylist()]
-                row = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
-                at = np.concatenate([np.arange(len(p)) for p in prefix]) if prefix else row
-                tokens = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(at, pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)).cast(pa.int32())], ["token", "at", "node", "n"])
 
-    return sets.select("node", "n", "prefix").mapInArrow(run, "token bigint, at int, node bigint, n int")
+def _of_many_roots(entries: DataFrame) -> DataFrame:
+    """The tokens of entries(token, root) that more than FREQUENT roots hold."""
+    return entries.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > FREQUENT).select("token")
 
 
-def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
-    """sets(node, id, n, prefix) with the tokens of very many prefixes moved behind all others, until no prefix changes."""
-    counts = exploded(sets).groupBy("token").count()
-    frequent = stored(counts.where(F.col("count") > FREQUENT).select("token"), "frequent")
-    if frequent.isEmpty():
-        return sets
-    done, known = sets, None
-    while True:
-        held = exploded(done).select("token", "node").join(frequent, "token").groupBy("node").agg(F.collect_set("token").alias("held"))
-        if known is None:
-            known = stored(held.withColumn("added", F.size("held")), "known")
-        else:
-            both = known.select("node", F.col("held").alias("old")).join(held, "node", "left")
-            merged = F.array_union("old", F.coalesce("held", F.array().cast("array<bigint>")))
-            known = stored(both.select("node", merged.alias("held"), (F.size(merged) - F.size("old")).alias("added")), "known")
-        changed = known.where("added > 0").join(sets.select("node", "set", "id"), "node")
-        count = changed.count()
-        if not count:
-            return done
-        late = changed.select("node", "held")
-        tokens = fetch_tokens(docs, changed.select("node", "set", "id"), id_col, text_col, size, unique).join(_listed(late, count), "node")
+def refilled(tokens: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """(node, root, prefix) of tokens(node, root, tokens), with the frequent tokens behind all others."""
+
+    def prefix(data: bytes, late: np.ndarray) -> np.ndarray:
+        t = np.frombuffer(data, np.int64)
+        return in_order(t, late)[: len(t) - needed(len(t), percent) + 1]
 
-        @F.pandas_udf("binary")
-        def first(tokens: pd.Series, held: pd.Series) -> pd.Series:
-            out = []
-            for t, h in zip(tokens, held):
-                t = np.frombuffer(t, np.int64)
-                out.append(in_order(t, np.asarray(h, np.int64))[: len(t) - needed(len(t), percent) + 1].tobytes())
-            return pd.Series(out)
+    if frequent.count() <= BROADCAST_ROWS:
+        late = np.sort(np.array([r[0] for r in frequent.collect()], np.int64))
+        known = F.pandas_udf(lambda tokens: pd.Series([prefix(t, late) for t in tokens]), "array<bigint>", F.PandasUDFType.SCALAR)
+        return tokens.select("node", "root", known("tokens").alias("prefix"))
+    lists = F.pandas_udf(lambda tokens: pd.Series([np.frombuffer(t, np.int64) for t in tokens]), "array<bigint>", F.PandasUDFType.SCALAR)
+    held = exploded(tokens.select("node", lists("tokens").alias("prefix")), "node").join(frequent, "token").groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("held"))
+    own = F.pandas_udf(lambda tokens, held: pd.Series([prefix(t, np.asarray(h, np.int64)) for t, h in zip(tokens, held)]), "array<bigint>", F.PandasUDFType.SCALAR)
+    return tokens.join(held, "node").select("node", "root", own("tokens", "held").alias("prefix"))
 
-        new = tokens.select("node", first("tokens", "held").alias("new"))
-        done = stored(done.join(_listed(new, count), "node", "left").select("node", "set", "id", "n", F.coalesce("new", "prefix").alias("prefix")), "sets")
+
+def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
+    """sets(node, id, n, set, root, prefix) with frequent tokens moved behind all others, until no prefix brings in new ones."""
+    often = stored(exploded(sets).groupBy("token").count().where(F.col("count") > FREQUENT).select("token"), "often")
+    added = stored(_of_many_roots(exploded(sets, "root").join(_listed(often, often.count()), "token")), "frequent")
+    done, frequent = sets, added.limit(0)
+    while count := added.count():
+        frequent = stored(frequent.union(added), "frequent")
+        changed = exploded(done, "node").join(_listed(added, count), "token").select("node").distinct()
+        changed = stored(changed.join(sets.select("node", "set", "id", "root"), "node"), "changed")
+        count = changed.count()
+        tokens = fetch_tokens(docs, changed.select("node", "set", "id"), id_col, text_col, size, unique)
+        tokens = tokens.join(_listed(changed.select("node", "root"), count), "node")
+        new = stored(refilled(tokens, frequent, percent), "refilled")
+        fresh = new.select("node", F.col("prefix").alias("new"))
+        done = stored(done.join(_listed(fresh, count), "node", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "sets")
+        added = stored(_of_many_roots(exploded(new, "root")).join(frequent, "token", "left_anti"), "frequent")
+    return done
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links(a, b) of queries(root, salt, node, tokens) with the members(root, salt, node, tokens) of the groups they are sent to."""
+    """Links(a, b) of queries(root, salt, part, node, tokens) with the members(root, salt, part, node, tokens) of the groups they are sent to."""
 
     def run(key, asked: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(t, np.int64) for t in group["member_tokens"]]
@@ -249,38 +249,33 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                     break  # the members are one component: one link joins it
         return pd.DataFrame(out, columns=["a", "b"])
 
-    fresh = members.select(F.col("root").alias("group_root"), F.col("salt").alias("group_salt"), F.col("node").alias("member"), F.col("tokens").alias("member_tokens"))
-    asked = queries.select(F.col("root").alias("asked_root"), F.col("salt").alias("asked_salt"), F.col("node").alias("asked"), F.col("tokens").alias("asked_tokens"))
-    return asked.groupBy("asked_root", "asked_salt").cogroup(fresh.groupBy("group_root", "group_salt")).applyInPandas(run, "a bigint, b bigint")
+    keys = ["root", "salt", "part"]
+    fresh = members.select(*(F.col(k).alias(f"group_{k}") for k in keys), F.col("node").alias("member"), F.col("tokens").alias("member_tokens"))
+    asked = queries.select(*(F.col(k).alias(f"asked_{k}") for k in keys), F.col("node").alias("asked"), F.col("tokens").alias("asked_tokens"))
+    asked, fresh = asked.groupBy(*(f"asked_{k}" for k in keys)), fresh.groupBy(*(f"group_{k}" for k in keys))
+    return asked.cogroup(fresh).applyInPandas(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """Per row: id_col, n_shingles, component_id (the smallest id reachable by links)."""
-    rows = stored(token_sets(docs, id_col, text_col, size, percent), "rows")
-    sets = rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbered as written
-    unique = rows.groupBy("id").count().where("count > 1").isEmpty()
-    sets = ordered_prefixes(docs, sets, id_col, text_col, size, percent, unique)
-    index = exploded(sets)
-    shared = index.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("leader")).where("c > 1").select("token", "leader")
-    index = stored(index.join(shared, "token"), "index")
-    ids = sets.select("node", "set", "id")
-    best = index.where(F.col("node") != F.col("leader.node")).groupBy("node", "n", "leader").agg(F.count("*").alias("c"))
-    best = best.where(may_link(F.col("c"), F.col("n"), F.col("leader.n"), percent))
+def first_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
+    """Links(a, b) of nodes with the one they share most seeds with."""
+    seeds = exploded(sets.withColumn("prefix", F.slice("prefix", 1, SEEDS)).withColumn("seeds", F.size("prefix")), "node", "n", "seeds")
+    leaders = seeds.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("leader")).where("c > 1").select("token", "leader")
+    best = seeds.join(leaders, "token").where(F.col("node") != F.col("leader.node")).groupBy("node", "n", "seeds", "leader").agg(F.count("*").alias("c"))
+    n, m = F.col("n"), F.col("leader.n")
+    best = best.where((3 * F.col("c") >= F.col("seeds")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
     best = best.groupBy("node").agg(F.max_by("leader.node", F.struct("c", "leader")).alias("leader"))
     pairs = stored(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pairs")
-    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node")
-    tokens = stored(fetch_tokens(docs, both, id_col, text_col, size, unique), "tokens")
-    first = stored(linked(pairs, tokens, percent), "first")
-    roots = components(first)
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(sets.select("node", "set", "id"), "node")
+    tokens = stored(fetch_tokens(docs, both, id_col, text_col, size, unique).select("node", "tokens"), "tokens")
+    return stored(linked(pairs, tokens, percent), "first")
+
 
-    placed = sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("root").agg(F.count("*").cast("int").alias("members"))
+def near_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root, salt): nodes of sets(node, n, root, members, prefix) and the groups of other components that may hold a partner."""
+    mixed = exploded(sets, "root").groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int")
-    placed = stored(placed.join(sizes, "root").select("node", "root", "members", salt.alias("salt")), "placed")
-    entries = index.select("token", "at", "node", "n").join(placed, "node")
-    mixed = entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    entries = stored(entries.join(mixed, "token"), "entries")
+    entries = exploded(sets, "node", "n", "root", "members").join(mixed, "token")
+    entries = stored(entries.withColumn("salt", salt), "entries")
     #: The matrix: per token and group, the least place and the range of sizes of its members.
     matrix = entries.groupBy("token", "root", "salt", "members").agg(F.min("at").alias("j"), F.min("n").alias("least"), F.max("n").alias("most"))
     asked = entries.select("token", "node", "n", F.col("at").alias("i"), F.col("root").alias("own"), F.col("members").alias("own_members"))
@@ -298,9 +293,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & (percent * F.col("n") + (100 + percent) * F.col("j") <= 100 * high)
         & (may_link(F.col("c"), F.col("n"), low, percent) | may_link(F.col("c"), F.col("n"), high, percent))
     )
-    near = stored(near.where(possible).select("node", "root", "salt"), "near")
-    members = near.select("root", "salt").distinct().join(placed.select("root", "salt", "node"), ["root", "salt"])
-    wanted = stored(members.select("node").unionByName(near.select("node")).distinct().join(ids, "node"), "wanted")
+    return stored(near.where(possible).select("node", "root", "salt"), "near")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id (the smallest id reachable by links)."""
+    rows = stored(token_sets(docs, id_col, text_col, size, percent), "rows")
+    sets = rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbered as written
+    unique = rows.groupBy("id").count().where("count > 1").isEmpty()
+    first = first_links(docs, sets, id_col, text_col, size, percent, unique)
+    roots = components(first)
+    joined = _listed(roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root"), roots.count())
+    placed = sets.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("members", F.coalesce("members", F.lit(1)))
+    ordered = ordered_prefixes(docs, placed, id_col, text_col, size, percent, unique)
+    near = near_groups(ordered, percent)
+
+    #: Very many nodes may be sent to one group: they are dealt over copies of it.
+    parts = near.groupBy("root", "salt").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
+    near = near.join(parts, ["root", "salt"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    members = parts.join(placed.select("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int").alias("salt"), "node"), ["root", "salt"])
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    wanted = stored(members.select("node").unionByName(near.select("node")).distinct().join(sets.select("node", "set", "id"), "node"), "wanted")
     tokens = stored(fetch_tokens(docs, wanted, id_col, text_col, size, unique).select("node", "tokens"), "tokens")
     more = opened(near.join(tokens, "node"), members.join(tokens, "node"), percent)
     roots = components(first.unionByName(more))
