@@ -42,8 +42,8 @@ from docproof.llm.common import small_batches, stored
 #: Words whose hashes a task keeps; tokens that pick a first partner; components whose prefixes may hold a token before it
 #: goes last in the order; members of a group; nodes compared with a group in one task.
 TABLE_WORDS, SEEDS, FREQUENT, GROUP, ASKED = 300_000, 8, 100, 256, 1024
-#: A list of nodes of at most so many rows is broadcast, a longer one is joined with a shuffle.
-BROADCAST_ROWS = 500_000
+#: A list of nodes, without their tokens, of at most so many rows is broadcast, a longer one is joined with a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class Shingler:
@@ -143,7 +143,7 @@ def _of_many_roots(entries: DataFrame) -> DataFrame:
 
 
 def refilled(tokens: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """(node, root, prefix) of tokens(node, root, tokens), with the frequent tokens behind all others."""
+    """tokens(node, tokens, ...) with prefix for tokens: the first tokens, the frequent ones behind all others."""
 
     def prefix(data: bytes, late: np.ndarray) -> np.ndarray:
         t = np.frombuffer(data, np.int64)
@@ -152,11 +152,11 @@ def refilled(tokens: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
     if frequent.count() <= BROADCAST_ROWS:
         late = np.sort(np.array([r[0] for r in frequent.collect()], np.int64))
         known = F.pandas_udf(lambda tokens: pd.Series([prefix(t, late) for t in tokens]), "array<bigint>", F.PandasUDFType.SCALAR)
-        return tokens.select("node", "root", known("tokens").alias("prefix"))
+        return tokens.withColumn("prefix", known("tokens")).drop("tokens")
     lists = F.pandas_udf(lambda tokens: pd.Series([np.frombuffer(t, np.int64) for t in tokens]), "array<bigint>", F.PandasUDFType.SCALAR)
     held = exploded(tokens.select("node", lists("tokens").alias("prefix")), "node").join(frequent, "token").groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("held"))
     own = F.pandas_udf(lambda tokens, held: pd.Series([prefix(t, np.asarray(h, np.int64)) for t, h in zip(tokens, held)]), "array<bigint>", F.PandasUDFType.SCALAR)
-    return tokens.join(held, "node").select("node", "root", own("tokens", "held").alias("prefix"))
+    return tokens.join(held, "node").withColumn("prefix", own("tokens", "held")).drop("tokens", "held")
 
 
 def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
@@ -167,13 +167,12 @@ def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: st
     while count := added.count():
         frequent = stored(frequent.union(added), "frequent")
         changed = exploded(done, "node").join(_listed(added, count), "token").select("node").distinct()
-        changed = stored(changed.join(sets.select("node", "set", "id", "root"), "node"), "changed")
+        changed = stored(changed.join(sets.drop("prefix"), "node"), "changed")
         count = changed.count()
         tokens = fetch_tokens(docs, changed.select("node", "set", "id"), id_col, text_col, size, unique)
-        tokens = tokens.join(_listed(changed.select("node", "root"), count), "node")
-        new = stored(refilled(tokens, frequent, percent), "refilled")
-        fresh = new.select("node", F.col("prefix").alias("new"))
-        done = stored(done.join(_listed(fresh, count), "node", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "sets")
+        tokens = tokens.drop("n").join(_listed(changed, count), "node")
+        new = stored(refilled(tokens, frequent, percent).select(done.columns), "refilled")
+        done = stored(done.join(_listed(changed.select("node"), count), "node", "left_anti").unionByName(new), "sets")
         added = stored(_of_many_roots(exploded(new, "root")).join(frequent, "token", "left_anti"), "frequent")
     return done
 
