@@ -7,8 +7,7 @@ prefix).
 1. Each node is compared with the node it shares most of its ``SEEDS`` smallest tokens with: large groups of
    near copies join up in one linear step, which gives components. What this misses is left to step 3.
 2. Tokens are ordered by hash, but those in the prefixes of more than ``FREQUENT`` components go last, so that
-   frequent passages open no long lists; prefixes are refilled and counted again until none holds such a token
-   in front of others. The order is the same for all nodes, so no link is lost by it.
+   frequent passages open no long lists; prefixes are refilled and counted again in a few rounds. The order is the same for all nodes, so no link is lost by it.
 3. Nodes of one component, in parts of about ``GROUP`` members, are the groups: similar documents. The
    matrix of prefix tokens against groups names, for every node, the groups of other components that share a
    token early enough; the group's token union bounds the overlap of the node with any member, and only where
@@ -40,8 +39,8 @@ from pyspark.sql import functions as F
 from docproof.llm.common import small_batches, stored
 
 #: Words whose hashes a task keeps; tokens that pick a first partner; components whose prefixes may hold a token before it
-#: goes last in the order; members of a group; nodes compared with a group in one task.
-TABLE_WORDS, SEEDS, FREQUENT, GROUP, ASKED = 300_000, 8, 100, 256, 1024
+#: goes last in the order; members of a group; nodes compared with a group in one task; rounds of refilling.
+TABLE_WORDS, SEEDS, FREQUENT, GROUP, ASKED, ROUNDS = 300_000, 8, 100, 256, 1024, 4
 #: A list of nodes, without their tokens, of at most so many rows is broadcast, a longer one is joined with a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -159,21 +158,38 @@ def refilled(tokens: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
     return tokens.join(held, "node").withColumn("prefix", own("tokens", "held")).drop("tokens", "held")
 
 
+def replaced(sets: DataFrame, new: DataFrame) -> DataFrame:
+    """sets with the rows of ``new`` for those of the same nodes."""
+    nodes = new.select("node")
+    return sets.join(_listed(nodes, nodes.count()), "node", "left_anti").unionByName(new)
+
+
 def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
-    """sets(node, id, n, set, root, prefix) with frequent tokens moved behind all others, until no prefix brings in new ones."""
+    """sets(node, id, n, set, root, prefix) with frequent tokens moved behind all others.
+
+    Any one order finds all links. A round counts the tokens that its refilled prefixes bring in; each brings in
+    about a share of 1 - percent / 100 of a passage, so few are left after ROUNDS, and these only make longer lists.
+    """
     often = stored(exploded(sets).groupBy("token").count().where(F.col("count") > FREQUENT).select("token"), "often")
     added = stored(_of_many_roots(exploded(sets, "root").join(_listed(often, often.count()), "token")), "frequent")
-    done, frequent = sets, added.limit(0)
-    while count := added.count():
+    done, below, later, frequent = sets, sets, None, added.limit(0)
+    for k in range(ROUNDS):
+        count = added.count()
+        if not count:
+            break
         frequent = stored(frequent.union(added), "frequent")
         changed = exploded(done, "node").join(_listed(added, count), "token").select("node").distinct()
         changed = stored(changed.join(sets.drop("prefix"), "node"), "changed")
-        count = changed.count()
         tokens = fetch_tokens(docs, changed.select("node", "set", "id"), id_col, text_col, size, unique)
-        tokens = tokens.drop("n").join(_listed(changed, count), "node")
-        new = stored(refilled(tokens, frequent, percent).select(done.columns), "refilled")
-        done = stored(done.join(_listed(changed.select("node"), count), "node", "left_anti").unionByName(new), "sets")
-        added = stored(_of_many_roots(exploded(new, "root")).join(frequent, "token", "left_anti"), "frequent")
+        tokens = tokens.drop("n").join(_listed(changed, changed.count()), "node")
+        new = stored(refilled(tokens, frequent, percent).select(sets.columns), "refilled")
+        if k == 0:
+            done = below = replaced(sets, new)
+        else:  # few nodes; what the first round wrote stays where it is
+            later = new if later is None else stored(replaced(later, new), "later")
+            done = replaced(below, later)
+        if k + 1 < ROUNDS:
+            added = stored(_of_many_roots(exploded(new, "root")).join(frequent, "token", "left_anti"), "frequent")
     return done
 
 
@@ -303,7 +319,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = rows.groupBy("id").count().where("count > 1").isEmpty()
     first = first_links(docs, sets, id_col, text_col, size, percent, unique)
     roots = components(first)
-    joined = _listed(roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root"), roots.count())
+    members = stored(roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root"), "members")
+    joined = _listed(members, members.count())
     placed = sets.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("members", F.coalesce("members", F.lit(1)))
     ordered = ordered_prefixes(docs, placed, id_col, text_col, size, percent, unique)
     near = near_groups(ordered, percent)
