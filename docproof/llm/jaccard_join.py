@@ -217,17 +217,17 @@ def similar(a: int, b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def may_link(c, n, m, percent: int):
-    """Whether sets of n and m tokens with c common ones in their prefixes can reach the threshold.
+def may_link(c, n, low, high, percent: int):
+    """Whether sets of n and of low to high tokens with c common ones in their prefixes can reach the threshold.
 
     Common tokens up to the end of the prefix that ends first are among the c; behind it that set has only the
-    rest, which is the share that any partner must hold, less one.
+    rest, which is the share that any partner must hold, less one. The rest grows with the size and so does the
+    overlap that is needed, each in steps of its own: the largest rest against the least need holds for every size.
     """
     def rest(k):
         return F.ceil(percent * k / 100) - 1
 
-    enough = F.ceil(percent * (n + m) / (100 + percent))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (c + F.greatest(rest(n), rest(m)) >= enough)
+    return c + F.greatest(rest(n), rest(high)) >= F.ceil(percent * (n + low) / (100 + percent))
 
 
 def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -301,12 +301,12 @@ def near_groups(sets: DataFrame, percent: int) -> DataFrame:
     near = near.groupBy("node", "root", "salt").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").cast("int").alias("c"), F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     low = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))  # sizes in the group that may link
     high = F.least(F.col("most"), F.floor(100 * F.col("n") / percent))
-    #: The places of the first common token, and the number of common tokens, still allow the threshold at either end of the sizes.
+    #: The places of the first common token, and the number of common tokens, still allow the threshold at some size.
     possible = (
         (low <= high)
         & (percent * (F.col("n") + low) <= (100 + percent) * (F.col("n") - F.col("i")))
         & (percent * F.col("n") + (100 + percent) * F.col("j") <= 100 * high)
-        & (may_link(F.col("c"), F.col("n"), low, percent) | may_link(F.col("c"), F.col("n"), high, percent))
+        & may_link(F.col("c"), F.col("n"), low, high, percent)
     )
     return stored(near.where(possible).select("node", "root", "salt"), "near")
 

@@ -197,6 +197,15 @@ def test_jaccard_join(spark, monkeypatch):
     assert kept == {i for i, (_, r) in enumerate(linked_by_brute_force(texts, 5, 80)) if i == r}
 
 
+def test_jaccard_join_between_the_ends_of_a_group(spark):
+    """The first set's only partner, 23 of 27 tokens, has a size between the smallest and the largest of its group."""
+    middle = list(range(20, 42))
+    sets = [[10, *middle, 100], [1, 2, 3, 10, *middle], [1, 2, 3, 10, *middle[:-1]], [1, 2, 3, 4, 10, *middle]]
+    rows = [(k, len(s), min(k, 1), 3 if k else 1, s[: len(s) - jaccard_join.needed(len(s), 85) + 1]) for k, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n long, root long, members long, prefix array<long>")
+    assert [(r.node, r.root) for r in jaccard_join.near_groups(nodes, 85).collect()] == [(0, 1)]
+
+
 def test_html_extraction():
     model = html_extraction.Model(html_extraction.training_pages())
     right = total = 0
