@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines, paragraphs and sentences.
+"""Substring dedup by hashing lines, paragraphs, sentences and anchors of passages.
 
 A unit is a line (or paragraph) or a sentence in it, of ``min_words`` words or more. Units are normalised (lower
 case, runs of white space as one space), their digests grouped over all documents, and of each digest the
@@ -6,6 +6,11 @@ occurrence that ranks first by (document, position) stays; the others are remove
 original text. A sentence's first occurrence is never in a removed line: that line's first occurrence holds
 the sentence too, earlier.
 
+A passage of ``PASSAGE`` words or more may begin and end anywhere. Of every ``PASSAGE - GRAM + 1`` neighbouring
+runs of ``GRAM`` words the one of the least hash is an anchor, so equal passages hold equal anchors. An anchor's
+words and up to ``REACH`` on either side are compared with those of its first occurrence; if ``PASSAGE`` or more
+in a row are equal, they go. A word that goes has an equal one at an earlier place, so the first stays.
+
 Only digests are shuffled on; a digest that very many units share is counted with partial sums, and its
 occurrences are joined to one row, which Spark may split.
 
@@ -24,12 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docproof.llm.common import small_batches, stored
 
 MIN_WORDS = 8
+#: Words of a passage at least, of an anchor, and compared on either side of one; words whose hashes a task keeps.
+PASSAGE, GRAM, REACH, TABLE_WORDS = 32, 16, 24, 300_000
+#: Rows of requests up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 _END = re.compile(r"[.!?]+\s+")
 
 
@@ -53,6 +63,60 @@ def units_of(text: str, separator: str = "\n", min_words: int = MIN_WORDS) -> li
     return out
 
 
+class Words:
+    """Hashes of lower-case words and the anchors among them."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def hashes(self, text: str) -> np.ndarray:
+        words, known = text.lower().split(), self.known
+        if len(known) > TABLE_WORDS:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def anchors(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes), places counted in words."""
+        h = self.hashes(text)
+        if len(h) < PASSAGE:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        n = len(h) - GRAM + 1
+        mixed = np.full(n, GRAM, np.uint64)
+        for k in range(GRAM):
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        least = np.lib.stride_tricks.sliding_window_view(mixed, PASSAGE - GRAM + 1).argmin(axis=1)
+        at = np.unique(least + np.arange(len(least)))
+        return at, mixed[at].view(np.int64)
+
+
+def context(h: np.ndarray, at: int) -> tuple[int, bytes]:
+    """(words before the anchor, 32 bits of each word): the anchor at ``at`` with what is around it."""
+    begin = max(0, at - REACH)
+    return at - begin, h[begin : at + GRAM + REACH].astype(np.uint32).tobytes()
+
+
+def passages(text: str, h: np.ndarray, found: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """Spans of the text that equal the (place here, words before, context) of first occurrences."""
+    own, words, out = h.astype(np.uint32), [m.span() for m in re.finditer(r"\S+", text)], []
+
+    def same(x: np.ndarray, y: np.ndarray) -> int:
+        n = min(len(x), len(y))
+        other = np.flatnonzero(x[:n] != y[:n])
+        return int(other[0]) if len(other) else n
+
+    for at, before, data in found:
+        there = np.frombuffer(data, np.uint32)
+        right = same(own[at:], there[before:])
+        left = same(own[:at][::-1], there[:before][::-1])
+        if right >= GRAM and left + right >= PASSAGE:
+            out.append((words[at - left][0], words[at + right - 1][1]))
+    return out
+
+
 def without(text: str, spans: list[tuple[int, int]], separator: str = "\n") -> tuple[str, list[tuple[int, int]]]:
     """The text without the spans, and the spans joined; lines of which nothing is left go with their separator."""
     joined: list[list[int]] = []
@@ -80,9 +144,10 @@ def without(text: str, spans: list[tuple[int, int]], separator: str = "\n") -> t
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, spans): the spans to remove in each distinct (id, text), key being a hash of the text.
+    """(id, key, spans, found): the spans to remove in each distinct (id, text), key being a hash of the text, and its anchors with the contexts of their first occurrences.
 
     What is shuffled is narrow: ids, 64-bit keys and digests of two longs; the first occurrence alone is aggregated.
+    An anchor is a unit whose end is -1 and whose start is counted in words; its second long is 0.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -90,23 +155,54 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
+        words = Words()
         for batch in batches:
-            rows, start, end, digest = [], [], [], []
+            rows, start, end, digest, places, hashes, counts = [], [], [], [], [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 for a, b, d in units_of(text, separator, min_words):
                     rows.append(row)
                     start.append(a)
                     end.append(b)
                     digest.append(d)
-            at, halves = pa.array(rows, pa.int64()), np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["id", "key", "start", "end", "d0", "d1"])
+                at, h = words.anchors(text)
+                places.append(at)
+                hashes.append(h)
+                counts.append(len(at))
+            halves, n = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2), sum(counts)
+            at = pa.array(np.concatenate([np.array(rows, np.int64), np.repeat(np.arange(len(counts)), counts)]))
+            starts, ends = np.concatenate([np.array(start, np.int32), *places]).astype(np.int32), np.concatenate([np.array(end, np.int32), np.full(n, -1, np.int32)])
+            d0, d1 = np.concatenate([halves[:, 0], *hashes]), np.concatenate([halves[:, 1], np.zeros(n, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts), pa.array(ends), pa.array(d0), pa.array(d1)], ["id", "key", "start", "end", "d0", "d1"])
 
     kind = source.schema["id"].dataType.simpleString()
     units = stored(source.mapInArrow(run, f"id {kind}, key bigint, start int, end int, d0 bigint, d1 bigint"), "units")
     rank = F.struct("id", "key", "start")
     first = units.groupBy("d0", "d1").agg(F.min(rank).alias("first"), F.count("*").alias("c")).where("c > 1").select("d0", "d1", "first")
-    gone = units.join(first, ["d0", "d1"]).where(rank != F.col("first"))
-    return gone.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    first = stored(first, "first")
+    gone = stored(units.join(first, ["d0", "d1"]).where(rank != F.col("first")).select("id", "key", "start", "end", "d0"), "gone")
+
+    wanted = first.where("d1 = 0").select(F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.struct(F.col("first.start").alias("at"), "d0").alias("a"))
+    few = wanted.count() <= BROADCAST_ROWS
+    wanted = wanted.groupBy("_id", "_key").agg(F.collect_list("a").alias("anchors"))
+    asked = source.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("text", "anchors")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            d0, before, data = [], [], []
+            for text, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = words.hashes(text)
+                for a in anchors:
+                    n, c = context(h, a["at"])
+                    d0.append(a["d0"])
+                    before.append(n)
+                    data.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(d0, pa.int64()), pa.array(before, pa.int32()), pa.array(data, pa.binary())], ["d0", "before", "context"])
+
+    contexts = asked.mapInArrow(around, "d0 bigint, before int, context binary").dropDuplicates(["d0"])
+    spans = gone.where("end >= 0").select("id", "key", F.struct("start", "end").alias("span"), F.lit(None).cast("struct<at:int,before:int,context:binary>").alias("a"))
+    found = gone.where("end < 0").join(contexts, "d0").select("id", "key", F.lit(None).cast("struct<start:int,end:int>").alias("span"), F.struct(F.col("start").alias("at"), "before", "context").alias("a"))
+    return spans.unionByName(found).groupBy("id", "key").agg(F.collect_set("span").alias("spans"), F.collect_set("a").alias("found"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,18 +212,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separ
     others = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0)]
     whole = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = whole.withColumn("key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    spans = spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "spans")
+    spans = spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "spans", "found")
     keyed = keyed.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
-    def cut(text, spans):
+    def cut(text, spans, found):
         import pandas as pd
 
-        done = [without(t, [(s["start"], s["end"]) for s in x], separator) for t, x in zip(text, spans)]
+        words, done = Words(), []
+        for t, x, y in zip(text, spans, found):
+            gone = [(s["start"], s["end"]) for s in x]
+            if len(y):
+                gone += passages(t, words.hashes(t), [(a["at"], a["before"], a["context"]) for a in y])
+            done.append(without(t, gone, separator))
         return pd.DataFrame({"text": [t for t, _ in done], "removed": [[{"start": a, "end": b} for a, b in r] for _, r in done]})
 
     untouched = keyed.where("spans is null").select("row", F.col("text").alias("_text"), F.array().cast("array<struct<start:int,end:int>>").alias("_removed"))
-    touched = keyed.where("spans is not null").select("row", cut("text", "spans").alias("c")).select("row", F.col("c.text").alias("_text"), F.col("c.removed").alias("_removed"))
+    touched = keyed.where("spans is not null").select("row", cut("text", "spans", "found").alias("c")).select("row", F.col("c.text").alias("_text"), F.col("c.removed").alias("_removed"))
     both = untouched.unionByName(touched)
     return both.select(*(F.col("_text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names), F.col("_removed").alias("removed_spans"))
 

@@ -141,6 +141,17 @@ def test_line_dedup(spark):
         assert all(0 <= s.start < s.end <= len(texts[i]) for s in r.removed_spans)
 
 
+def test_line_dedup_of_passages_inside_sentences(spark):
+    rng = random.Random(8)
+    short = " ".join(f"{words(rng, 5, 9999)}." for _ in range(10))
+    one = words(rng, 50, 9999)
+    hosts = [words(rng, 20, 9999) for _ in range(8)]
+    texts = [f"{hosts[2 * i]} {p} {hosts[2 * i + 1]}" for i, p in enumerate([short, one, short.upper(), one.replace(" ", "\n", 1)])]
+    got = {r.doc_id: r for r in line_dedup.dedup(frame(spark, texts)).collect()}
+    for i in range(4):
+        assert got[i].text.split() == (texts[i] if i < 2 else f"{hosts[2 * i]} {hosts[2 * i + 1]}").split()
+
+
 def test_quality_rules(spark):
     rng = random.Random(6)
     texts = ODD + [words(rng, rng.randint(1, 300), 4) + "\n" + words(rng, 5) + "\n" + words(rng, 5) for _ in range(40)] + ["same line\n" * 5, "#*$ %&|<>"]
