@@ -4,7 +4,7 @@ A unit is a line (or paragraph) or a sentence in it, of ``min_words`` words or m
 case, runs of white space as one space), their digests grouped over all documents, and of each digest the
 occurrence that ranks first by (document, position) stays; the others are removed, with their offsets in the
 original text. A sentence's first occurrence is never in a removed line: that line's first occurrence holds
-the sentence too, earlier.
+the sentence too, earlier. A line of one sentence is the same unit as that sentence inside another line.
 
 A passage of ``PASSAGE`` words or more may begin and end anywhere. Of every ``PASSAGE - GRAM + 1`` neighbouring
 runs of ``GRAM`` words the one of the least hash is an anchor, so equal passages hold equal anchors. An anchor's
@@ -49,7 +49,7 @@ def units_of(text: str, separator: str = "\n", min_words: int = MIN_WORDS) -> li
     for line in text.split(separator):
         words = line.lower().split()
         if len(words) >= min_words:
-            out.append((at, at + len(line), hashlib.md5(b"L" + " ".join(words).encode("utf-8", "surrogatepass")).digest()))
+            out.append((at, at + len(line), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()))
             begin = 0
             cuts = [m.end() for m in _END.finditer(line)]
             if cuts and cuts[-1] != len(line):
@@ -57,7 +57,7 @@ def units_of(text: str, separator: str = "\n", min_words: int = MIN_WORDS) -> li
             for end in cuts if len(cuts) > 1 else ():
                 words = line[begin:end].lower().split()
                 if len(words) >= min_words:
-                    out.append((at + begin, at + end, hashlib.md5(b"S" + " ".join(words).encode("utf-8", "surrogatepass")).digest()))
+                    out.append((at + begin, at + end, hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()))
                 begin = end
         at += len(line) + len(separator)
     return out

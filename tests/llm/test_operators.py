@@ -152,6 +152,13 @@ def test_line_dedup_of_passages_inside_sentences(spark):
         assert got[i].text.split() == (texts[i] if i < 2 else f"{hosts[2 * i]} {hosts[2 * i + 1]}").split()
 
 
+def test_line_dedup_of_a_sentence_as_a_line_and_inside_one(spark):
+    line = "One two three four five six seven eight nine."
+    texts = [f"Before it all. {line} After it all.", f"own\n{line}", "x", f"Other words. {line} At last."]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "own", 2: "x", 3: "Other words. At last."}
+
+
 def test_quality_rules(spark):
     rng = random.Random(6)
     texts = ODD + [words(rng, rng.randint(1, 300), 4) + "\n" + words(rng, 5) + "\n" + words(rng, 5) for _ in range(40)] + ["same line\n" * 5, "#*$ %&|<>"]
