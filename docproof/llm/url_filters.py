@@ -30,7 +30,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/de/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, STEPS_WRITTEN, MOST_STEPS, TOLERANCE = 0.85, 4, 40, 1e-6
+DAMPING, STEPS_WRITTEN, TOLERANCE = 0.85, 4, 1e-6
 
 
 def _after(url: Column) -> Column:
@@ -65,21 +65,25 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, score): walks from seeds(host, weight) along edges(src, dst, n), damped at every step."""
+    """(host, score): walks from seeds(host, weight) along edges(src, dst, n), damped at every step.
+
+    It ends when scores change by less than TOLERANCE in all and the last steps reached no new host.
+    """
     total = seeds.agg(F.sum("weight")).first()[0] or 1
     seeds = stored(seeds.select("host", (F.col("weight") / F.lit(float(total))).alias("seed")), "seeds")
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     share = stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all") * DAMPING).alias("share")), "edges")
     score = seeds.select("host", (F.col("seed") * (1 - DAMPING)).alias("score"))
     restart = score
-    for _ in range(MOST_STEPS // STEPS_WRITTEN):
+    while True:
         before = score
         for _ in range(STEPS_WRITTEN):
             moved = share.join(score, share.src == score.host).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("score"))
             score = restart.unionByName(moved.select(F.col("dst").alias("host"), "score")).groupBy("host").agg(F.sum("score").alias("score"))
         score = stored(score, "scores")
-        change = score.select("host", "score").unionByName(before.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.abs(F.sum("score")).alias("d"))
-        if (change.agg(F.sum("d")).first()[0] or 0.0) < TOLERANCE:
+        change = score.select("host", "score").unionByName(before.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.abs(F.sum("score")).alias("d"), F.count("*").alias("n"))
+        moved_by, added = change.agg(F.sum("d"), F.count_if(F.col("n") == 1)).first()
+        if (moved_by or 0.0) < TOLERANCE and not added:
             break
     return score
 

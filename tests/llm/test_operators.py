@@ -111,6 +111,13 @@ def test_url_filters(spark):
     assert got[2].distrust == pytest.approx(0.15 * 0.85 / 2, abs=1e-6) and got[3].trust == pytest.approx(0.15 * 0.85 / 3, abs=1e-6)
 
 
+def test_url_filters_reach_along_a_chain(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(46)], "src string, dst string, n long").coalesce(1)
+    seeds = spark.createDataFrame([("h0", 1)], "host string, weight long").coalesce(1)
+    got = dict(url_filters.propagate(edges, seeds).collect())
+    assert len(got) == 47 and got["h46"] == pytest.approx(0.15 * 0.85**46)
+
+
 def test_curve_search(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 16))
