@@ -157,16 +157,19 @@ def nearest(rows: DataFrame, queries=None, k: int = 10, id_col: str = "vec_id",
             there, squares = _matrix(c["vector"], dim), None
             squares = (there**2).sum(1)
             ids, names_ = list(c["ids"]), list(c["entry"])
+            smallest, few = np.array([int(i[0]) for i in ids]), min(k + 1, len(c))
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
                 here = _matrix(part["q_vector"], dim)
                 rough = squares - 2 * here @ there.T
-                few = min(k + 8, len(c))
-                best = np.argpartition(rough, few - 1, axis=1)[:, :few]
-                for name, v, row in zip(part["q_entry"], here, best):
+                #: All that rounding may have put behind the last of the nearest, ties included.
+                reach_ = 4 * (dim + 4) * np.finfo(np.float64).eps * (np.sqrt(squares.max()) + np.sqrt((here**2).sum(1))) ** 2
+                most = np.partition(rough, few - 1, axis=1)[:, few - 1] + reach_
+                for name, v, near, limit in zip(part["q_entry"], here, rough, most):
+                    row = np.flatnonzero(near <= limit)
                     exact = np.sqrt(((there[row] - v) ** 2).sum(1))
-                    order = sorted(zip(exact.tolist(), (int(ids[i][0]) for i in row), row.tolist()))[: k + 1]
-                    out += [(name, names_[i], ids[i], d) for d, _, i in order]
+                    order = np.lexsort((smallest[row], exact))[: k + 1]
+                    out += [(name, names_[i], ids[i], d) for i, d in zip(row[order].tolist(), exact[order].tolist())]
         return pd.DataFrame(out, columns=["query", "entry", "ids", "score"])
 
     found = asked.groupBy("q_curve", "q_piece").cogroup(dealt.groupBy("curve", "piece")).applyInPandas(search, "query binary, entry binary, ids array<bigint>, score double")

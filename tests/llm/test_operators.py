@@ -135,6 +135,14 @@ def test_curve_search(spark):
     assert got[(got.query_id == 200) & (got["rank"] == 1)].vec_id.item() == 7
 
 
+def test_curve_search_ties(spark):
+    """Of 64 vectors at one distance the smallest ids are nearest."""
+    ids = random.Random(9).sample(range(1, 65), 64)
+    rows = [(0, [1.0] * 64)] + [(i, [1.0 + (a == axis) for a in range(64)]) for axis, i in enumerate(ids)]
+    got = curve_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(i, i, 1.0) for i in range(1, 11)]
+
+
 def test_line_dedup(spark):
     line = "One two three four five six seven eight nine."
     long = "A b c d e f g h i j. K l m n o p q r s t."
