@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; texts may be long, so batches stay small.
 BATCH_ROWS = "1000"
-#: Shared between the driver and the executors of one session; set only where the session names none.
+#: Bytes of text that an operator takes from a batch at a time; a longer text is taken alone.
+BATCH_BYTES = 16 << 20
+#: Only for local sessions that name no shared folder (tests): one folder each, gone when Python ends.
 _OWN_FOLDERS: dict[str, str] = {}
+#: Tables that this process has stored and not released, by path: the catalog's name, or None.
+_TABLES: dict[str, str | None] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -18,14 +26,35 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the strings of ``column`` hold BATCH_BYTES or stand alone."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.nbytes <= BATCH_BYTES:
+            yield batch
+            continue
+        at, held = 0, 0
+        for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if k > at and held + (n or 0) > BATCH_BYTES:
+                yield batch.slice(at, k - at)
+                at, held = k, 0
+            held += n or 0
+        yield batch.slice(at)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; in a session without one (tests), a new temporary folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, else that of setCheckpointDir; a local session without one gets a temporary folder, a cluster the warehouse."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local[") and context.master != "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tables"
+    app = context.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
     return _OWN_FOLDERS[app]
 
 
@@ -33,10 +62,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and it outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES[path] = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def laid_out(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``stored``, in buckets by ``key``: a join on it alone moves the other side only.
+
+    There are as many buckets as shuffle partitions, so rows that a shuffle has dealt by ``key`` are written where they are.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    _TABLES[path] = table
+    return spark.table(table)
+
+
+def release(spark: SparkSession, read_by: DataFrame | None = None) -> None:
+    """Delete the tables stored so far, but for those that ``read_by`` reads. Results that read the others must be written before."""
+    files = read_by.inputFiles() if read_by is not None else []
+    for path, table in list(_TABLES.items()):
+        if any(path.rsplit("/", 1)[1] in f for f in files):
+            continue
+        if table:
+            spark.sql(f"drop table if exists {table}")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        del _TABLES[path]
+
+
 def path_of(name: str) -> str:
     """Where the machine keeps the public tokenizer file ``name``."""
     import public_tokenizers

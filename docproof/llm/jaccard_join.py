@@ -2,31 +2,35 @@
 
 A document's tokens are 64-bit hashes of its distinct word shingles. Equal sets are one node. Two sets whose
 similarity reaches the threshold share a token among the first of each in any one order of all tokens (the
-prefix).
+prefix); of the smaller set, a shorter prefix is enough.
 
-1. Each node is compared with the node it shares most of its ``SEEDS`` smallest tokens with: large groups of
+1. Tokens are counted over all documents in an array of ``BUCKETS`` counters, whose size does not depend on the
+   input; the order of tokens is by the counter's level, rare ones first, then by hash. So prefixes hold rare
+   tokens, and a passage that very many documents share opens no long lists.
+2. Each node is compared with the node it shares most of its ``SEEDS`` smallest tokens with: large groups of
    near copies join up in one linear step, which gives components. What this misses is left to step 3.
-2. Tokens are ordered by hash, but those in the prefixes of more than ``FREQUENT`` components go last, so that
-   frequent passages open no long lists; prefixes are refilled and counted again in a few rounds. The order is the same for all nodes, so no link is lost by it.
 3. Nodes of one component, in parts of about ``GROUP`` members, are the groups: similar documents. The
    matrix of prefix tokens against groups names, for every node, the groups of other components that share a
    token early enough; the group's token union bounds the overlap of the node with any member, and only where
    the bound reaches the threshold is the group opened and the members compared exactly.
 4. All links found make the components of the result.
 
-Every pair that could link across two components of step 1 is bounded or compared, so no link between
+Every pair that could link across two components of step 2 is bounded or compared, so no link between
 components is lost, and no pairs are listed inside a group.
 
+One text of each node is written once, in buckets; later steps fetch tokens from there and move no texts.
+
 Defined cases: a null text, or one without words, has no tokens, links with nothing and is its own component;
 a text with fewer words than a shingle is one token; rows with equal ids count as rows of one id; an id of
-null takes part, and a component of null ids alone is null; an empty table gives an empty table; other
-columns are not read.
+null takes part, and a component of null ids alone is null; very long texts are taken whole, one at a time;
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import small_batches, stored
+from docproof.llm.common import by_bytes, laid_out, stored
 
-#: Words whose hashes a task keeps; tokens that pick a first partner; components whose prefixes may hold a token before it
-#: goes last in the order; members of a group; nodes compared with a group in one task; rounds of refilling.
-TABLE_WORDS, SEEDS, FREQUENT, GROUP, ASKED, ROUNDS = 300_000, 8, 100, 256, 1024, 4
-#: A list of nodes, without their tokens, of at most so many rows is broadcast, a longer one is joined with a shuffle.
-BROADCAST_ROWS = 200_000
+#: Words whose hashes a task keeps; tokens that pick a first partner; members of a group; nodes compared with a group in one task.
+TABLE_WORDS, SEEDS, GROUP, ASKED = 300_000, 8, 256, 1024
+#: Counters of tokens, in slices that are added up apart.
+BUCKETS, SLICES = 1 << 22, 256
 
 
 class Shingler:
@@ -70,127 +73,109 @@ class Shingler:
         return np.unique((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
 
 
-def needed(n: int, percent: int) -> int:
+def set_name(tokens: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def needed(n, percent: int):
     """Least overlap of a set of n with any set it may link with."""
     return -(-percent * n // 100)
 
 
-def in_order(tokens: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Sorted tokens in the global order: those of the sorted ``late`` behind all others."""
-    if not len(late):
-        return tokens
-    held = late[np.minimum(np.searchsorted(late, tokens), len(late) - 1)] == tokens
-    return np.concatenate([tokens[~held], tokens[held]])
+def enough(n: int, m: int, percent: int) -> int:
+    """Least overlap of linked sets of n and m."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
 
 
-def token_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per row: id, n, set (128 bits of its tokens) and prefix (its first tokens by hash)."""
-    texts = _texts(docs, id_col, text_col)
+def signatures(texts: DataFrame, size: int) -> DataFrame:
+    """Rows of two kinds: id, rk, n, set and seeds (the first tokens by hash) of each row of texts(id, rk, text); slice and counts of a task's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        shingler = Shingler(size)
-        for batch in batches:
-            n, node, prefix = [], [], []
-            for text in batch.column(1).to_pylist():
-                t = shingler.tokens(text)
-                n.append(len(t))
-                node.append(hashlib.blake2b(t.tobytes(), digest_size=16).digest() if len(t) else None)
-                prefix.append(t[: len(t) - needed(len(t), percent) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "set", "prefix"])
+        shingler, counts, kind = Shingler(size), np.zeros(BUCKETS, np.uint32), None
+        names = ["id", "rk", "n", "set", "seeds", "slice", "counts"]
+        for batch in by_bytes(batches, 2):
+            found = [shingler.tokens(text) for text in batch.column(2).to_pylist()]
+            counts += np.bincount(bucket_of(np.concatenate([np.empty(0, np.int64), *found])), minlength=BUCKETS).astype(np.uint32)
+            kind, m = batch.schema.field(0).type, len(found)
+            columns = [batch.column(0), batch.column(1), pa.array(map(len, found), pa.int64()), pa.array([set_name(t) if len(t) else None for t in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([t[:SEEDS] for t in found], pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        if kind is not None:
+            slices = [(k, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(counts.reshape(SLICES, -1)) if part.any()]
+            m = len(slices)
+            empty = [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([k for k, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())], names)
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, n bigint, set binary, prefix array<bigint>")
-
+    return texts.mapInArrow(run, f"id {kind}, rk bigint, n bigint, set binary, seeds array<bigint>, slice int, counts binary")
 
-def _listed(df: DataFrame, wanted: int) -> DataFrame:
-    return F.broadcast(df) if wanted <= BROADCAST_ROWS else df
 
+def levels(counted: DataFrame) -> np.ndarray:
+    """One byte for each counter: 0 for counts within the noise of the array, else the logarithm of what is above it.
 
-def fetch_tokens(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, unique: bool) -> DataFrame:
-    """(node, n, tokens) of the given nodes(node, set, id), from the texts of the documents that stand for them; unique: no id stands twice."""
-    texts, count = _texts(docs, id_col, text_col), nodes.count()
-    ids = nodes.select(F.col("id").alias("_id")).distinct()
-    some = texts.join(_listed(ids, count), texts.id.eqNullSafe(F.col("_id")), "left_semi").select("text")
+    The noise of a counter grows with the square root of the input. What comes to the driver are SLICES rows.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        shingler = Shingler(size)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            found = [t for t in map(shingler.tokens, batch.column(0).to_pylist()) if len(t)]
-            data = [t.tobytes() for t in found]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary()), pa.array([len(t) for t in found], pa.int64()), pa.array(data, pa.binary())], ["set", "n", "tokens"])
-
-    tokens = some.mapInArrow(run, "set binary, n bigint, tokens binary")
-    tokens = tokens.join(_listed(nodes.select("node", "set"), count), "set").drop("set")
-    return tokens if unique else tokens.dropDuplicates(["node"])
-
-
-def exploded(sets: DataFrame, *cols: str) -> DataFrame:
-    """(*cols, at, token) from sets(*cols, prefix); at is the token's place in the order."""
-    return sets.select(*cols, F.posexplode("prefix").alias("at", "token"))
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[k] = sums.get(k, np.int64(0)) + np.frombuffer(zlib.decompress(data), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["slice", "sums"])
 
+    sums = np.zeros((SLICES, BUCKETS // SLICES), np.float32)
+    for k, data in counted.repartition("slice").mapInArrow(add, "slice int, sums binary").collect():
+        sums[k] = np.frombuffer(data, np.float32)
+    usual = float(np.median(sums))
+    above = (sums.ravel() - usual) / np.sqrt(usual + 1)
+    return np.where(above > 4, np.minimum(8 * np.log2(np.maximum(above, 0) + 1), 255), 0).astype(np.uint8)
 
-def _of_many_roots(entries: DataFrame) -> DataFrame:
-    """The tokens of entries(token, root) that more than FREQUENT roots hold."""
-    return entries.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > FREQUENT).select("token")
 
+def fetch_tokens(layout: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, tokens) of the given nodes(node, rk), from the texts that stand for them."""
+    some = layout.join(nodes.select("rk", F.col("node").alias("asked")), "rk").select("text", "node", "asked", "set")
 
-def refilled(tokens: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """tokens(node, tokens, ...) with prefix for tokens: the first tokens, the frequent ones behind all others."""
-
-    def prefix(data: bytes, late: np.ndarray) -> np.ndarray:
-        t = np.frombuffer(data, np.int64)
-        return in_order(t, late)[: len(t) - needed(len(t), percent) + 1]
-
-    if frequent.count() <= BROADCAST_ROWS:
-        late = np.sort(np.array([r[0] for r in frequent.collect()], np.int64))
-        known = F.pandas_udf(lambda tokens: pd.Series([prefix(t, late) for t in tokens]), "array<bigint>", F.PandasUDFType.SCALAR)
-        return tokens.withColumn("prefix", known("tokens")).drop("tokens")
-    lists = F.pandas_udf(lambda tokens: pd.Series([np.frombuffer(t, np.int64) for t in tokens]), "array<bigint>", F.PandasUDFType.SCALAR)
-    held = exploded(tokens.select("node", lists("tokens").alias("prefix")), "node").join(frequent, "token").groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("held"))
-    own = F.pandas_udf(lambda tokens, held: pd.Series([prefix(t, np.asarray(h, np.int64)) for t, h in zip(tokens, held)]), "array<bigint>", F.PandasUDFType.SCALAR)
-    return tokens.join(held, "node").withColumn("prefix", own("tokens", "held")).drop("tokens", "held")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        shingler = Shingler(size)
+        for batch in by_bytes(batches, 0):
+            node, data = [], []
+            for text, own, asked, name in zip(*(c.to_pylist() for c in batch.columns)):
+                if own == asked and set_name(t := shingler.tokens(text)) == name:  # else two rows have one key
+                    node.append(own)
+                    data.append(t.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], ["node", "tokens"])
 
-def replaced(sets: DataFrame, new: DataFrame) -> DataFrame:
-    """sets with the rows of ``new`` for those of the same nodes."""
-    nodes = new.select("node")
-    return sets.join(_listed(nodes, nodes.count()), "node", "left_anti").unionByName(new)
+    return some.mapInArrow(run, "node bigint, tokens binary")
 
 
-def ordered_prefixes(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
-    """sets(node, id, n, set, root, prefix) with frequent tokens moved behind all others.
+def prefix_entries(layout: DataFrame, placed: DataFrame, order: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(token, node, n, at, root, members): the prefixes of the nodes of placed(node, rk, root, members), at being the token's place in the order."""
+    level = layout.sparkSession.sparkContext.broadcast(order)
+    every = layout.join(placed.select("rk", F.col("node").alias("asked"), "root", F.col("members").cast("int")), "rk").select("text", "node", "asked", "set", "root", "members")
 
-    Any one order finds all links. A round counts the tokens that its refilled prefixes bring in; each brings in
-    about a share of 1 - percent / 100 of a passage, so few are left after ROUNDS, and these only make longer lists.
-    """
-    often = stored(exploded(sets).groupBy("token").count().where(F.col("count") > FREQUENT).select("token"), "often")
-    added = stored(_of_many_roots(exploded(sets, "root").join(_listed(often, often.count()), "token")), "frequent")
-    done, below, later, frequent = sets, sets, None, added.limit(0)
-    for k in range(ROUNDS):
-        count = added.count()
-        if not count:
-            break
-        frequent = stored(frequent.union(added), "frequent")
-        changed = exploded(done, "node").join(_listed(added, count), "token").select("node").distinct()
-        changed = stored(changed.join(sets.drop("prefix"), "node"), "changed")
-        tokens = fetch_tokens(docs, changed.select("node", "set", "id"), id_col, text_col, size, unique)
-        tokens = tokens.drop("n").join(_listed(changed, changed.count()), "node")
-        new = stored(refilled(tokens, frequent, percent).select(sets.columns), "refilled")
-        if k == 0:
-            done = below = replaced(sets, new)
-        else:  # few nodes; what the first round wrote stays where it is
-            later = new if later is None else stored(replaced(later, new), "later")
-            done = replaced(below, later)
-        if k + 1 < ROUNDS:
-            added = stored(_of_many_roots(exploded(new, "root")).join(frequent, "token", "left_anti"), "frequent")
-    return done
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        shingler, rank = Shingler(size), level.value
+        for batch in by_bytes(batches, 0):
+            token, n, rows = [], [], []
+            for row, (text, own, asked, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if own == asked and set_name(t := shingler.tokens(text)) == name:
+                    token.append(t[np.argsort(rank[bucket_of(t)], kind="stable")[: len(t) - needed(len(t), percent) + 1]])
+                    n.append(len(t))
+                    rows.append(row)
+            lengths = np.array([len(t) for t in token], np.int64)
+            take = pa.array(np.repeat(np.array(rows, np.int64), lengths))
+            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            columns = [pa.array(np.concatenate([np.empty(0, np.int64), *token])), batch.column(1).take(take), pa.array(np.repeat(np.array(n, np.int32), lengths), pa.int32()), pa.array(at.astype(np.int32)), batch.column(4).take(take), batch.column(5).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "at", "root", "members"])
+
+    return every.mapInArrow(run, "token bigint, node bigint, n int, at int, root bigint, members int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,22 +203,23 @@ def similar(a: int, b: int, common: int, percent: int) -> bool:
 
 
 def may_link(c, n, low, high, percent: int):
-    """Whether sets of n and of low to high tokens with c common ones in their prefixes can reach the threshold.
+    """Whether a set of n and one of low to high tokens can reach the threshold, with c common ones in the long prefix of the larger and the short one of the smaller.
 
-    Common tokens up to the end of the prefix that ends first are among the c; behind it that set has only the
-    rest, which is the share that any partner must hold, less one. The rest grows with the size and so does the
-    overlap that is needed, each in steps of its own: the largest rest against the least need holds for every size.
+    Common tokens up to the end of the prefix that ends first are among the c; behind it the larger set has
+    needed(its size) - 1 tokens, the smaller enough(its size, its size) - 1. Both grow with the size: the largest
+    rest against the least need holds for every size of the range.
     """
-    def rest(k):
-        return F.ceil(percent * k / 100) - 1
-
-    return c + F.greatest(rest(n), rest(high)) >= F.ceil(percent * (n + low) / (100 + percent))
+    smaller, larger = F.least(n, high), F.greatest(n, high)
+    rest = F.greatest(F.ceil(2 * percent * smaller / (100 + percent)), F.ceil(percent * larger / 100)) - 1
+    return c + rest >= F.ceil(percent * (n + low) / (100 + percent))
 
 
 def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that reach the threshold, compared exactly."""
+    """The pairs(a, b) that reach the threshold, compared exactly; a node b that very many are compared with is dealt over copies of it."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")).join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
     @F.pandas_udf("boolean")
     def close(ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -243,7 +229,7 @@ def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             out.append(similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
         return pd.Series(out)
 
-    return pairs.join(left, "a").join(right, "b").where(close("ta", "tb")).select("a", "b")
+    return dealt.join(left, "a").join(right.drop("parts"), ["b", "part"]).where(close("ta", "tb")).select("a", "b")
 
 
 def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -271,33 +257,36 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return asked.cogroup(fresh).applyInPandas(run, "a bigint, b bigint")
 
 
-def first_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, size: int, percent: int, unique: bool) -> DataFrame:
+def first_links(layout: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Links(a, b) of nodes with the one they share most seeds with."""
-    seeds = exploded(sets.withColumn("prefix", F.slice("prefix", 1, SEEDS)).withColumn("seeds", F.size("prefix")), "node", "n", "seeds")
+    seeds = sets.select("node", "n", F.size("seeds").alias("seeds"), F.explode("seeds").alias("token"))
     leaders = seeds.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("leader")).where("c > 1").select("token", "leader")
     best = seeds.join(leaders, "token").where(F.col("node") != F.col("leader.node")).groupBy("node", "n", "seeds", "leader").agg(F.count("*").alias("c"))
     n, m = F.col("n"), F.col("leader.n")
     best = best.where((3 * F.col("c") >= F.col("seeds")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
     best = best.groupBy("node").agg(F.max_by("leader.node", F.struct("c", "leader")).alias("leader"))
     pairs = stored(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pairs")
-    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(sets.select("node", "set", "id"), "node")
-    tokens = stored(fetch_tokens(docs, both, id_col, text_col, size, unique).select("node", "tokens"), "tokens")
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(sets.select("node", "rk"), "node")
+    tokens = stored(fetch_tokens(layout, both, size), "tokens")
     return stored(linked(pairs, tokens, percent), "first")
 
 
-def near_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root, salt): nodes of sets(node, n, root, members, prefix) and the groups of other components that may hold a partner."""
-    mixed = exploded(sets, "root").groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+def near_groups(entries: DataFrame, percent: int) -> DataFrame:
+    """(node, root, salt): nodes of entries(token, node, n, at, root, members) and the groups of other components that may hold a partner."""
+    #: One shuffle of the entries; the groups by token, and the join with them, stay where it has dealt them.
+    dealt = entries.repartition("token")
+    n = F.col("n")
+    short = F.col("at") <= n - F.ceil(2 * percent * n / (100 + percent))  # the prefix that is enough beside sets as large or larger
+    mixed = dealt.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or(short).alias("short")).where("x <> y and short").select("token")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int")
-    entries = exploded(sets, "node", "n", "root", "members").join(mixed, "token")
-    entries = stored(entries.withColumn("salt", salt), "entries")
+    entries = stored(dealt.join(mixed, "token").withColumns({"salt": salt, "short": short}), "entries")
     #: The matrix: per token and group, the least place and the range of sizes of its members.
-    matrix = entries.groupBy("token", "root", "salt", "members").agg(F.min("at").alias("j"), F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = entries.select("token", "node", "n", F.col("at").alias("i"), F.col("root").alias("own"), F.col("members").alias("own_members"))
+    matrix = entries.groupBy("token", "root", "salt", "members", "short").agg(F.min("at").alias("j"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = entries.select("token", "node", "n", F.col("at").alias("i"), F.col("root").alias("own"), F.col("members").alias("own_members"), F.col("short").alias("own_short"))
     smaller = (F.col("own") != F.col("root")) & (F.struct("own_members", "own") < F.struct("members", "root"))
     #: Only members of sizes that fit can link, and all their common tokens are in entries with such sizes.
     fitting = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    near = asked.join(matrix, "token").where(smaller & fitting)
+    near = asked.join(matrix, "token").where(smaller & fitting & (F.col("short") | F.col("own_short")))
     near = near.groupBy("node", "root", "salt").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").cast("int").alias("c"), F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     low = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100))  # sizes in the group that may link
     high = F.least(F.col("most"), F.floor(100 * F.col("n") / percent))
@@ -311,33 +300,49 @@ def near_groups(sets: DataFrame, percent: int) -> DataFrame:
     return stored(near.where(possible).select("node", "root", "salt"), "near")
 
 
+class Solved:
+    """What the steps leave: rows(id, rk, n, set), sets(set, id, rk, n, node), their components and the layout of one text for each node."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, others: tuple[str, ...] = ()):
+        text = F.col(text_col).cast("string")
+        texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("rk"), text.alias("text"), *others)
+        signed = stored(signatures(texts.select("id", "rk", "text"), size), "signatures")
+        self.rows = signed.where("slice is null").select("id", "rk", "n", "set", "seeds")
+        order = levels(signed.where("slice is not null").select("slice", "counts"))
+        self.repeated = not self.rows.groupBy("rk").count().where("count > 1").isEmpty()  # the same id and text
+        sets = self.rows.where("set is not null").groupBy("set").agg(F.min(F.struct("id", "rk")).alias("first"), F.first("n").alias("n"), F.first("seeds").alias("seeds"))
+        sets = sets.select("set", "first.id", "first.rk", "n", "seeds", F.monotonically_increasing_id().alias("node"))
+        self.sets = sets = stored(sets, "sets")  # numbered as written
+        chosen = texts.drop("id").join(sets.select("rk", "node", "set"), "rk")
+        self.layout = laid_out(chosen.dropDuplicates(["rk", "node"]) if self.repeated else chosen, "rk", "texts")
+
+        first = first_links(self.layout, sets, size, percent)
+        roots = components(first)
+        members = roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
+        placed = sets.select("node", "rk").join(members, "node", "left").select("node", "rk", F.coalesce("root", "node").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
+        placed = stored(placed, "placed")
+        near = near_groups(prefix_entries(self.layout, placed, order, size, percent), percent)
+
+        #: Very many nodes may be sent to one group: they are dealt over copies of it.
+        parts = near.groupBy("root", "salt").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
+        near = near.join(parts, ["root", "salt"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+        members = parts.join(placed.select("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int").alias("salt"), "node"), ["root", "salt"])
+        members = members.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        wanted = members.select("node").unionByName(near.select("node")).distinct().join(sets.select("node", "rk"), "node")
+        tokens = stored(fetch_tokens(self.layout, wanted, size), "tokens")
+        more = opened(near.join(tokens, "node"), members.join(tokens, "node"), percent)
+        roots = components(first.unionByName(more))
+        rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+        self.components = rooted.join(least, "root").select("set", "node", "id", "rk", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (the smallest id reachable by links)."""
-    rows = stored(token_sets(docs, id_col, text_col, size, percent), "rows")
-    sets = rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbered as written
-    unique = rows.groupBy("id").count().where("count > 1").isEmpty()
-    first = first_links(docs, sets, id_col, text_col, size, percent, unique)
-    roots = components(first)
-    members = stored(roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root"), "members")
-    joined = _listed(members, members.count())
-    placed = sets.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("members", F.coalesce("members", F.lit(1)))
-    ordered = ordered_prefixes(docs, placed, id_col, text_col, size, percent, unique)
-    near = near_groups(ordered, percent)
-
-    #: Very many nodes may be sent to one group: they are dealt over copies of it.
-    parts = near.groupBy("root", "salt").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
-    near = near.join(parts, ["root", "salt"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-    members = parts.join(placed.select("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int").alias("salt"), "node"), ["root", "salt"])
-    members = members.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    wanted = stored(members.select("node").unionByName(near.select("node")).distinct().join(sets.select("node", "set", "id"), "node"), "wanted")
-    tokens = stored(fetch_tokens(docs, wanted, id_col, text_col, size, unique).select("node", "tokens"), "tokens")
-    more = opened(near.join(tokens, "node"), members.join(tokens, "node"), percent)
-    roots = components(first.unionByName(more))
-    rooted = sets.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
-    rooted = rows.select("id", "n", "set").join(rooted, "set", "left")
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    solved = Solved(docs, id_col, text_col, size, percent)
+    own = solved.components.select("set", "component_id")
+    joined = solved.rows.select("id", "n", "set").join(own, "set", "left")
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -345,12 +350,14 @@ def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest (id, text)."""
+    """The rows of ``docs``, one of each component: that with the smallest (id, text). Rows without words stay; of equal rows one stays."""
     names, own = docs.columns, F.struct(F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("\x00"))).alias("text"))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), own.alias("_own"), F.col(text_col).cast("string").alias("_text"))
-    found = stored(near_duplicates(keyed, "_own", "_text", size, percent), "found")
-    dropped = stored(found.where(F.col("_own") != F.col("component_id")).select("_own"), "dropped")
-    kept = keyed.join(_listed(dropped, dropped.count()), "_own", "left_anti")
-    if not found.groupBy("_own").count().where("count > 1").isEmpty():  # equal rows
-        kept = kept.dropDuplicates(["_own"])
-    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in names))
+    others = [F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0)]
+    keyed = docs.select(F.struct(*others).alias("_row"), own.alias("_own"), F.col(text_col).cast("string").alias("_text"))
+    solved = Solved(keyed, "_own", "_text", size, percent, ("_row",))
+    kept = solved.components.where(F.col("id") == F.col("component_id")).select("rk", F.col("node").alias("_node"))
+    #: Compared so that the join stays one on rk alone, where the rows lie.
+    kept = solved.layout.join(kept, "rk").where(F.abs(F.col("node") - F.col("_node")) == 0).select("_row", F.col("text").alias("_text"))
+    bare = keyed.where(~F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    bare = (bare.dropDuplicates(["_own"]) if solved.repeated else bare).select("_row", "_text")
+    return kept.unionByName(bare).select(*(F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names))
