@@ -154,28 +154,24 @@ def fetch_tokens(layout: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return some.mapInArrow(run, "node bigint, tokens binary")
 
 
-def prefix_entries(layout: DataFrame, placed: DataFrame, order: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, node, n, at, root, members): the prefixes of the nodes of placed(node, rk, root, members), at being the token's place in the order."""
+def prefixes(layout: DataFrame, order: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(node, n, rare, prefix) of every node: its first tokens in the order, and how many in a thousand of all its tokens are rare."""
     level = layout.sparkSession.sparkContext.broadcast(order)
-    every = layout.join(placed.select("rk", F.col("node").alias("asked"), "root", F.col("members").cast("int")), "rk").select("text", "node", "asked", "set", "root", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         shingler, rank = Shingler(size), level.value
         for batch in by_bytes(batches, 0):
-            token, n, rows = [], [], []
-            for row, (text, own, asked, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
-                if own == asked and set_name(t := shingler.tokens(text)) == name:
-                    token.append(t[np.argsort(rank[bucket_of(t)], kind="stable")[: len(t) - needed(len(t), percent) + 1]])
-                    n.append(len(t))
-                    rows.append(row)
-            lengths = np.array([len(t) for t in token], np.int64)
-            take = pa.array(np.repeat(np.array(rows, np.int64), lengths))
-            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            columns = [pa.array(np.concatenate([np.empty(0, np.int64), *token])), batch.column(1).take(take), pa.array(np.repeat(np.array(n, np.int32), lengths), pa.int32()), pa.array(at.astype(np.int32)), batch.column(4).take(take), batch.column(5).take(take)]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "at", "root", "members"])
+            rows = []
+            for text, node, name in zip(*(c.to_pylist() for c in batch.columns)):
+                if set_name(t := shingler.tokens(text)) == name:  # else two rows have one key
+                    own = rank[bucket_of(t)]
+                    rows.append((node, len(t), 1000 * int((own == 0).sum()) // len(t), t[np.argsort(own, kind="stable")[: len(t) - needed(len(t), percent) + 1]]))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "n", "rare", "prefix"])
 
-    return every.mapInArrow(run, "token bigint, node bigint, n int, at int, root bigint, members int")
+    return layout.select("text", "node", "set").mapInArrow(run, "node bigint, n int, rare int, prefix array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,13 +254,13 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def first_links(layout: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links(a, b) of nodes with the one they share most seeds with."""
-    seeds = sets.select("node", "n", F.size("seeds").alias("seeds"), F.explode("seeds").alias("token"))
-    leaders = seeds.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("leader")).where("c > 1").select("token", "leader")
+    """Links(a, b) of nodes of sets(node, rk, n, seeds, rare) with one they share many seeds with: of the nodes that hold a seed, the one with the least share of rare tokens leads, since copies were made of it."""
+    seeds = sets.select("node", "n", "rare", F.size("seeds").alias("seeds"), F.explode("seeds").alias("token"))
+    leaders = seeds.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rare", "node", "n")).alias("leader")).where("c > 1").select("token", "leader")
     best = seeds.join(leaders, "token").where(F.col("node") != F.col("leader.node")).groupBy("node", "n", "seeds", "leader").agg(F.count("*").alias("c"))
     n, m = F.col("n"), F.col("leader.n")
     best = best.where((3 * F.col("c") >= F.col("seeds")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
-    best = best.groupBy("node").agg(F.max_by("leader.node", F.struct("c", "leader")).alias("leader"))
+    best = best.groupBy("node").agg(F.max_by("leader.node", F.struct("c", -F.col("leader.rare"), "leader")).alias("leader"))
     pairs = stored(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "pairs")
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(sets.select("node", "rk"), "node")
     tokens = stored(fetch_tokens(layout, both, size), "tokens")
@@ -275,9 +271,10 @@ def near_groups(entries: DataFrame, percent: int) -> DataFrame:
     """(node, root, salt): nodes of entries(token, node, n, at, root, members) and the groups of other components that may hold a partner."""
     #: One shuffle of the entries; the groups by token, and the join with them, stay where it has dealt them.
     dealt = entries.repartition("token")
+    whole = F.max("node").isNotNull() & F.max("members").isNotNull()  # both uses read all columns, so Spark shuffles once
     n = F.col("n")
     short = F.col("at") <= n - F.ceil(2 * percent * n / (100 + percent))  # the prefix that is enough beside sets as large or larger
-    mixed = dealt.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or(short).alias("short")).where("x <> y and short").select("token")
+    mixed = dealt.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or(short).alias("short"), whole.alias("whole")).where("x <> y and short and whole").select("token")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("int")
     entries = stored(dealt.join(mixed, "token").withColumns({"salt": salt, "short": short}), "entries")
     #: The matrix: per token and group, the least place and the range of sizes of its members.
@@ -316,12 +313,14 @@ class Solved:
         chosen = texts.drop("id").join(sets.select("rk", "node", "set"), "rk")
         self.layout = laid_out(chosen.dropDuplicates(["rk", "node"]) if self.repeated else chosen, "rk", "texts")
 
-        first = first_links(self.layout, sets, size, percent)
+        kept = stored(prefixes(self.layout, order, size, percent), "prefixes")
+        first = first_links(self.layout, sets.join(kept.select("node", "rare"), "node"), size, percent)
         roots = components(first)
         members = roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
         placed = sets.select("node", "rk").join(members, "node", "left").select("node", "rk", F.coalesce("root", "node").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
         placed = stored(placed, "placed")
-        near = near_groups(prefix_entries(self.layout, placed, order, size, percent), percent)
+        entries = kept.drop("rare").join(placed.select("node", "root", F.col("members").cast("int").alias("members")), "node")
+        near = near_groups(entries.select(F.posexplode("prefix").alias("at", "token"), "node", "n", "root", "members"), percent)
 
         #: Very many nodes may be sent to one group: they are dealt over copies of it.
         parts = near.groupBy("root", "salt").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
@@ -357,7 +356,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     solved = Solved(keyed, "_own", "_text", size, percent, ("_row",))
     kept = solved.components.where(F.col("id") == F.col("component_id")).select("rk", F.col("node").alias("_node"))
     #: Compared so that the join stays one on rk alone, where the rows lie.
-    kept = solved.layout.join(kept, "rk").where(F.abs(F.col("node") - F.col("_node")) == 0).select("_row", F.col("text").alias("_text"))
+    kept = solved.layout.join(kept, "rk").where(F.col("node").bitwiseXOR(F.col("_node")) == 0).select("_row", F.col("text").alias("_text"))
     bare = keyed.where(~F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     bare = (bare.dropDuplicates(["_own"]) if solved.repeated else bare).select("_row", "_text")
     return kept.unionByName(bare).select(*(F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names))
