@@ -17,9 +17,13 @@ its context: at most 2 * size - k bytes. Contexts are grouped by anchor over all
 Every window of every text lies in one context, and bytes are compared in the end, so nothing is lost and
 (up to 128-bit hashes of equal contexts) nothing is wrongly found.
 
+Texts are written once, in buckets by their row's key, and move no more: contexts are cut, and spans removed,
+where they lie. A task counts equal contexts of a batch first and sends one of them, so a passage that a
+third of all rows share is a row for each batch; the joins on a group read written tables, which Spark may split.
+
 Defined cases: a null or empty text has no bytes; texts shorter than ``size`` keep all; rows with equal text,
-whatever their ids, count as places of their own; an empty table gives an empty table; other columns are
-not read.
+whatever their ids, count as places of their own, rows with equal ids too; a very long text is searched whole;
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,14 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import small_batches, stored
+from docproof.llm.common import by_bytes, laid_out, stored
 
 #: Bytes of the anchoring k-gram; distinct contexts of an anchor that one task takes; bytes of one transform.
 GRAM, MOST_CONTEXTS, TRANSFORM_BYTES = 32, 1000, 1 << 20
 #: Places relative to the anchor in one block, by round of dealing out.
 BLOCKS = (48, 6, 1)
-#: A list of at most so many spans or contexts is broadcast, a longer one joined with a shuffle.
-BROADCAST_ROWS = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -172,80 +174,110 @@ def runs(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + size).tolist()))
 
 
-_ITEM = "group bigint, ctx bigint, key binary, place int, lo int, hi int, n bigint"
+#: A context: group, hash of its bytes, its row's key (128 bits), place of the anchor, first and last start, times it stands there.
+#: Of found ones (n = 0) only the key and the starts count: a batch holds an equal one, so they repeat.
+_ITEM = "group bigint, ctx bigint, rk bigint, rk2 bigint, place int, lo int, hi int, n bigint"
 
 
-def _items(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 7
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["group", "ctx", "key", "place", "lo", "hi", "n"])
+def _records(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[k] for k in kinds]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+class Counted:
+    """Contexts of one batch: equal ones of a group become one with their number, and found rows for all."""
+
+    def __init__(self):
+        self.seen: dict[tuple[int, int], list] = {}
+        self.found: list[tuple] = []
+
+    def add(self, group: int, ctx: int, rk: int, rk2: int, place: int, lo: int, hi: int, n: int) -> None:
+        held = self.seen.get((group, ctx))
+        if held is None:
+            self.seen[group, ctx] = [group, ctx, rk, rk2, place, lo, hi, n]
+            return
+        if held[7] == 1:
+            self.found.append((0, 0, *held[2:7], 0))
+        if n == 1:
+            self.found.append((0, 0, rk, rk2, place, lo, hi, 0))
+        held[7] += n
+
+    def records(self) -> pa.RecordBatch:
+        return _records([*map(tuple, self.seen.values()), *self.found], _ITEM)
+
+
 def anchored(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """All contexts of texts(key, data): group, ctx (hash of its bytes), key, place of the anchor, first and last start, n = 1."""
+    """All contexts of texts(rk, rk2, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         powers = Powers()
-        for batch in batches:
-            rows = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in by_bytes(batches, 2):
+            counted = Counted()
+            for rk, rk2, data in zip(*(c.to_pylist() for c in batch.columns)):
                 for h, place, lo, hi in contexts(np.frombuffer(data, np.uint8), size, gram, powers):
-                    rows.append((h, _signed(xxhash.xxh3_64_intdigest(data[lo : hi + size])), key, place, lo, hi, 1))
-            yield _items(rows)
+                    counted.add(h, _signed(xxhash.xxh3_64_intdigest(data[lo : hi + size])), rk, rk2, place, lo, hi, 1)
+            yield counted.records()
 
     return texts.mapInArrow(run, _ITEM)
 
 
-def _with_texts(texts: DataFrame, items: DataFrame, count: int) -> DataFrame:
-    """One row per text that holds one of the items, with all of them."""
-    held = items.groupBy("key").agg(F.collect_list(F.struct("group", "place", "lo", "hi", "n")).alias("held"))
-    return texts.join(F.broadcast(held) if count <= BROADCAST_ROWS else held, "key")
+def _with_texts(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(rk2, data, asked): the texts that hold the items, each with all of its own; asked are structs with an rk2 that must be the text's."""
+    held = items.groupBy("rk").agg(F.collect_list(F.struct("group", "rk", "rk2", "place", "lo", "hi", "n")).alias("asked"))
+    return texts.join(held, "rk").select("rk2", "data", "asked")
+
 
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[dict]]]:
+    for rk2, data, asked in zip(*(c.to_pylist() for c in batch.columns)):
+        yield data, [x for x in asked if x["rk2"] == rk2]
 
-def blocks(texts: DataFrame, items: DataFrame, count: int, size: int, block: int) -> DataFrame:
+
+def blocks(texts: DataFrame, items: DataFrame, size: int, block: int) -> DataFrame:
     """Items dealt out: windows whose starts lie in one block relative to the anchor, grouped by the bytes that all windows of the block hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, data, held in zip(*(batch.column(c).to_pylist() for c in ("key", "data", "held"))):
-                for x in held:
+        for batch in by_bytes(batches, 1):
+            counted, done = Counted(), set()
+            for data, asked in _asked(batch):
+                for x in asked:
                     for b in range((x["place"] - x["hi"]) // block, (x["place"] - x["lo"]) // block + 1):
                         last, first = x["place"] - b * block, x["place"] - (b + 1) * block + 1
                         lo, hi = max(first, x["lo"]), min(last, x["hi"])
-                        group = xxhash.xxh3_64_intdigest(data[last : first + size], seed=(x["group"] + b * 0x9E3779B97F4A7C15) % (1 << 64))
-                        rows.append((_signed(group), _signed(xxhash.xxh3_64_intdigest(data[lo : hi + size])), key, x["place"], lo, hi, x["n"]))
-            yield _items(rows)
+                        group = _signed(xxhash.xxh3_64_intdigest(data[last : first + size], seed=(x["group"] + b * 0x9E3779B97F4A7C15) % (1 << 64)))
+                        one = (group, x["rk"], x["rk2"], x["place"], lo, hi)
+                        if one not in done:
+                            done.add(one)
+                            counted.add(group, _signed(xxhash.xxh3_64_intdigest(data[lo : hi + size])), *one[1:], x["n"])
+            yield counted.records()
 
-    return _with_texts(texts, items, count).mapInArrow(run, _ITEM)
+    return _with_texts(texts, items).mapInArrow(run, _ITEM)
 
 
-def transformed(texts: DataFrame, items: DataFrame, count: int, size: int) -> DataFrame:
-    """Spans (key, lo, hi) of the items' windows that repeat in another item of their group."""
+def transformed(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """Spans (rk, rk2, lo, hi) of the items' windows that repeat in another item of their group."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(x["group"], key, x["lo"], x["n"], data[x["lo"] : x["hi"] + size]) for key, data, held in zip(*(batch.column(c).to_pylist() for c in ("key", "data", "held"))) for x in held]
-            columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()))], ["group", "key", "lo", "n", "part"])
+        for batch in by_bytes(batches, 1):
+            yield _records([(x["group"], x["rk"], x["rk2"], x["lo"], x["n"], data[x["lo"] : x["hi"] + size]) for data, asked in _asked(batch) for x in asked], "group bigint, rk bigint, rk2 bigint, lo int, n bigint, part binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
 
         def result(rows: list[tuple]) -> pa.RecordBatch:
             out = []
-            # A text that stands there more than once gives its contexts more than once.
-            rows = list({(group, part): (group, key, lo, n, part) for group, key, lo, n, part in rows}.values())
-            for (_, key, lo, n, _), starts in zip(rows, repeated_starts([r[4] for r in rows], size) if rows else ()):
+            # A row that stands there more than once gives its contexts more than once.
+            rows = list({(r[0], r[5]): r for r in rows}.values())
+            for (_, rk, rk2, lo, n, _), starts in zip(rows, repeated_starts([r[5] for r in rows], size) if rows else ()):
                 if n == 1:
-                    out += [(key, lo + a, lo + b) for a, b in runs(starts, size)]
-            columns = list(zip(*out)) if out else [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()))], ["key", "lo", "hi"])
+                    out += [(rk, rk2, lo + a, lo + b) for a, b in runs(starts, size)]
+            return _records(out, "rk bigint, rk2 bigint, lo int, hi int")
 
         rows, held, group = [], 0, None
         for batch in batches:
@@ -255,32 +287,36 @@ def transformed(texts: DataFrame, items: DataFrame, count: int, size: int) -> Da
                     rows, held = [], 0
                 group = row[0]
                 rows.append(row)
-                held += len(row[4])
+                held += len(row[5])
         yield result(rows)
 
-    parts = _with_texts(texts, items, count).select("key", "data", "held").mapInArrow(cut, "group bigint, key binary, lo int, n bigint, part binary")
-    return parts.repartition("group").sortWithinPartitions("group").mapInArrow(search, "key binary, lo int, hi int")
+    parts = _with_texts(texts, items).mapInArrow(cut, "group bigint, rk bigint, rk2 bigint, lo int, n bigint, part binary")
+    return parts.repartition("group").sortWithinPartitions("group").mapInArrow(search, "rk bigint, rk2 bigint, lo int, hi int")
 
 
 def repeats(texts: DataFrame, size: int, gram: int = GRAM) -> DataFrame:
-    """(key, spans): the maximal runs of bytes of each text(key, data) that lie in a repeated string."""
-    items, found = stored(anchored(texts, size, gram), "contexts"), []
+    """(rk, rk2, spans): the maximal runs of bytes of each text(rk, rk2, data) that lie in a repeated string."""
+    long = texts.where(F.length("data") >= size).select("rk", "rk2", "data")
+    made, found = stored(anchored(long, size, gram), "contexts"), []
     for block in (*BLOCKS, 0):
-        twice = items.groupBy("group").agg(F.sum("n").alias("all")).where("all > 1").select("group")
+        found.append(made.where("n = 0").select("rk", "rk2", "lo", (F.col("hi") + size).alias("hi")))
+        items = made.where("n > 0")
+        twice = stored(items.groupBy("group").agg(F.sum("n").alias("all")).where("all > 1").select("group"), "twice")
         items = stored(items.join(twice, "group"), "contexts")
-        one = F.min(F.struct("key", "place", "lo", "hi"))
+        one = F.min(F.struct("rk", "rk2", "place", "lo", "hi"))
         distinct = stored(items.groupBy("group", "ctx").agg(F.sum("n").alias("n"), one.alias("one")), "distinct")
-        whole = items.join(distinct.where("n > 1").select("group", "ctx"), ["group", "ctx"])
-        found.append(whole.select("key", "lo", (F.col("hi") + size).alias("hi")))
+        whole = items.where("n = 1").join(distinct.where("n > 1").select("group", "ctx"), ["group", "ctx"])
+        found.append(whole.select("rk", "rk2", "lo", (F.col("hi") + size).alias("hi")))
         groups = distinct.groupBy("group").agg(F.count("*").alias("d"), F.count_if(F.col("n") == 1).alias("single")).where("d > 1 and single > 0")
-        groups = stored(groups, "groups")
-        numbers = groups.agg(F.sum(F.when(F.col("d") <= MOST_CONTEXTS, F.col("d"))), F.sum(F.when(F.col("d") > MOST_CONTEXTS, F.col("d")))).first()
-        chosen = distinct.join(groups.select("group", "d"), "group").select("group", "ctx", "one.*", "n", "d")
-        if numbers[0]:
-            found.append(transformed(texts, chosen.where(F.col("d") <= MOST_CONTEXTS), numbers[0], size))
-        if not numbers[1] or not block:
+        groups = stored(groups.select("group", "d"), "groups")
+        chosen = stored(distinct.join(groups, "group").select("group", "ctx", "one.*", "n", "d"), "chosen")
+        if chosen.isEmpty():
+            break
+        found.append(transformed(long, chosen.where(F.col("d") <= MOST_CONTEXTS), size))
+        rest = chosen.where(F.col("d") > MOST_CONTEXTS)
+        if not block or rest.isEmpty():
             break
-        items = stored(blocks(texts, chosen.where(F.col("d") > MOST_CONTEXTS), numbers[1], size, block).dropDuplicates(["group", "ctx", "key", "place", "lo"]), "contexts")
+        made = stored(blocks(long, rest, size, block), "contexts")
 
     @F.pandas_udf("array<struct<lo:int,hi:int>>")
     def merged(spans: pd.Series) -> pd.Series:
@@ -298,32 +334,34 @@ def repeats(texts: DataFrame, size: int, gram: int = GRAM) -> DataFrame:
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select("key", merged("spans").alias("spans"))
+    return every.groupBy("rk", "rk2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select("rk", "rk2", merged("spans").alias("spans"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
     """Per row: id_col, n_bytes, spans (removed runs of bytes) and kept (the remaining bytes)."""
-    small_batches(docs.sparkSession)
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    texts = docs.select(F.col(id_col).alias("id"), data.alias("data")).withColumn("key", F.unhex(F.md5("data")))
-    spans = stored(repeats(texts.where(F.length("data") >= size).select("key", "data"), size), "spans")
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
-    joined = texts.join(F.broadcast(spans) if few else spans, "key", "left").select("id", "data", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+    rows = docs.select(F.col(id_col).alias("id"), data.alias("data"))
+    rows = rows.withColumns({"rk": F.xxhash64("id", "data"), "rk2": F.xxhash64(F.lit("second"), "id", "data")})
+    rows = laid_out(rows.repartition("rk"), "rk", "texts")
+    spans = stored(repeats(rows, size), "spans").select(F.col("rk").alias("_rk"), F.col("rk2").alias("_rk2"), "spans")
+    #: The second condition is written so that the join stays one on rk alone, where the rows lie.
+    joined = rows.join(spans, (F.col("rk") == F.col("_rk")) & (F.col("rk2").bitwiseXOR(F.col("_rk2")) == 0), "left")
 
     @F.pandas_udf("binary")
     def rest(data: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for d, each in zip(data, spans):
             at, kept = 0, []
-            for s in each:
+            for s in each if d is not None else ():
                 kept.append(d[at : s["lo"]])
                 at = s["hi"]
-            out.append(b"".join([*kept, d[at:]]))
-        return pd.Series(out)
+            out.append(None if d is None else b"".join([*kept, d[at:]]))
+        return pd.Series(out, dtype=object)
 
-    changed = joined.where(F.size("spans") > 0).select("id", F.length("data").alias("n"), "spans", rest("data", "spans").alias("kept"))
-    same = joined.where(F.size("spans") == 0).select("id", F.length("data").alias("n"), "spans", F.col("data").alias("kept"))
-    return changed.unionByName(same).select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_bytes"), "spans", "kept")
+    touched = F.col("spans").isNotNull()
+    done = joined.select("id", "data", "spans", touched.alias("touched"), rest(F.when(touched, F.col("data")), "spans").alias("rest"))
+    spans = F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>"))
+    return done.select(F.col("id").alias(id_col), F.length("data").cast("bigint").alias("n_bytes"), spans.alias("spans"), F.when(F.col("touched"), F.col("rest")).otherwise(F.col("data")).alias("kept"))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -149,11 +149,61 @@ def test_line_dedup(spark):
     texts = ODD + [line + "\nown text", "own\n" + line.upper(), f"Before it. {long} After it.", f"Other words. {long} At last."]
     n = len(ODD)
     got = {r.doc_id: r for r in line_dedup.dedup(frame(spark, texts)).collect()}
-    assert got[n].text == texts[n] and got[n + 1].text == "own" and [tuple(s) for s in got[n + 1].removed_spans] == [(4, 4 + len(line))]
+    assert got[n].text == texts[n] and got[n + 1].text == "own" and [tuple(s) for s in got[n + 1].removed_spans] == [(3, 4 + len(line))]  # with the separator
     assert got[n + 2].text == texts[n + 2] and "K l m" not in got[n + 3].text and got[n + 3].text.startswith("Other words.") and got[n + 3].text.endswith("At last.")
     assert got[0].text is None and got[1].text == "" and got[3].text == "a"
     for i, r in got.items():
-        assert all(0 <= s.start < s.end <= len(texts[i]) for s in r.removed_spans)
+        assert r.text == outside(texts[i], r.removed_spans)
+
+
+def outside(text, spans):
+    """The text without the spans, which must be in order and apart."""
+    at, rest = 0, []
+    for s in spans:
+        assert at <= s.start < s.end <= len(text)
+        rest.append(text[at : s.start])
+        at = s.end
+    return None if text is None else "".join([*rest, text[at:]])
+
+
+def test_line_dedup_of_equal_rows_and_names(spark):
+    """Equal ids rank by text, equal rows in one order: one of them keeps its lines. A column named removed_spans is replaced."""
+    line = "One two three four five six seven eight nine."
+    rows = [(1, line, "a", 0), (1, line, "b", 0), (1, line + " More.", "c", 0), (None, "x " + line, "d", 0), (2, None, "e", 0), (3, f"{line}\n{line}", "f", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string, removed_spans int").repartition(3)
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", "text", "tag", "removed_spans"]
+    kept = {r.tag: r.text for r in got.collect()}
+    assert sorted((kept["a"], kept["b"])) == ["", line] and kept["d"] == "x " + line and kept["e"] is None and kept["f"] == ""
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Lines and sentences of eight words or more but the first of each, and passages of 32 words that stand earlier, go; nothing else does."""
+    rng = random.Random(18)
+    pool = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(rng.choice([3, 9, 12, 40]))) + "." for _ in range(30)]
+    texts = ["\n".join(" ".join(rng.sample(pool, rng.randint(1, 3))) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    units, runs = set(), set()
+    for i, text in enumerate(texts):
+        words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        gone = [False] * len(words)
+        for a, b, _ in line_dedup.units_of(text):
+            key = " ".join(text[a:b].lower().split())
+            for k, (_, x, y) in enumerate(words):
+                gone[k] |= key in units and a <= x and y <= b
+            units.add(key)
+        keys = [w for w, _, _ in words]
+        mine = [tuple(keys[k : k + 32]) for k in range(len(keys) - 31)]
+        must = list(gone)
+        for k, r in enumerate(mine):
+            if r in runs:
+                must[k : k + 32] = [True] * 32
+        removed = [any(s.start <= x and y <= s.end for s in got[i].removed_spans) for _, x, y in words]
+        assert got[i].text == outside(text, got[i].removed_spans)
+        assert all(r or not g for r, g in zip(removed, gone)), i
+        assert all(m or not r for m, r in zip(must, removed)), i
+        runs.update(mine)
 
 
 def test_line_dedup_of_passages_inside_sentences(spark):
@@ -221,7 +271,6 @@ def test_jaccard_join(spark, monkeypatch):
             for _ in range(rng.randint(0, 3)):
                 copy[rng.randrange(len(copy))] = f"n{rng.randrange(999)}"
             texts.append(" ".join(copy) + (" " + common if rng.random() < 0.5 else ""))
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 10)
     monkeypatch.setattr(jaccard_join, "GROUP", 4)
     docs = frame(spark, texts)
     got = {r[0]: (r[1], r[2]) for r in jaccard_join.near_duplicates(docs).collect()}
@@ -234,9 +283,37 @@ def test_jaccard_join_between_the_ends_of_a_group(spark):
     """The first set's only partner, 23 of 27 tokens, has a size between the smallest and the largest of its group."""
     middle = list(range(20, 42))
     sets = [[10, *middle, 100], [1, 2, 3, 10, *middle], [1, 2, 3, 10, *middle[:-1]], [1, 2, 3, 4, 10, *middle]]
-    rows = [(k, len(s), min(k, 1), 3 if k else 1, s[: len(s) - jaccard_join.needed(len(s), 85) + 1]) for k, s in enumerate(sets)]
-    nodes = spark.createDataFrame(rows, "node long, n long, root long, members long, prefix array<long>")
-    assert [(r.node, r.root) for r in jaccard_join.near_groups(nodes, 85).collect()] == [(0, 1)]
+    rows = [(t, k, len(s), i, min(k, 1), 3 if k else 1) for k, s in enumerate(sets) for i, t in enumerate(s[: len(s) - jaccard_join.needed(len(s), 85) + 1])]
+    entries = spark.createDataFrame(rows, "token long, node long, n int, at int, root long, members int")
+    assert [(r.node, r.root) for r in jaccard_join.near_groups(entries, 85).collect()] == [(0, 1)]
+
+
+def test_jaccard_bounds_lose_no_pair():
+    """For all sizes and overlaps that link, the first common token lies in the prefixes and the bound of common tokens holds."""
+    for p in (80, 85):
+        for n in range(1, 80):
+            for m in range(1, n + 1):
+                need = jaccard_join.enough(n, m, p)
+                if need > m:
+                    continue
+                assert 100 * need >= p * (n + m - need) and need >= jaccard_join.needed(n, p) and need >= jaccard_join.enough(m, m, p)
+
+
+def test_jaccard_join_of_a_family(spark):
+    """Many copies of one text, some too far from all others, and repeated, null and empty rows beside a clashing column."""
+    rng = random.Random(17)
+    base = words(rng, 80, 9999).split()
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(80), k % 9):
+            copy[at] = f"n{rng.randrange(9999)}"
+        texts.append(" ".join(copy))
+    texts += [texts[3], None, "", " ".join(base * 200)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(5)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == linked_by_brute_force(texts, 4, 85)
 
 
 def test_html_extraction():
