@@ -1,4 +1,12 @@
-"""From raw documents to packed training sequences, in four stages that each keep to their predecessor's output."""
+"""From raw documents to packed training sequences, in four stages that each keep to their predecessor's output.
+
+Each stage reads the table that the one before wrote; what that one stored on the way is deleted then.
+
+Defined cases: a null text, or one without words, has too few words and goes in the first stage; of rows with equal
+ids the one whose text's hash is smallest stays if they are near copies, else both; of fully equal rows one stays;
+a document whose units all go in the third stage stays with an empty text and is packed as one end token; extra
+columns stay until the last stage; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.llm import jaccard_join, line_dedup, packing, quality
-from docproof.llm.common import stored
+from docproof.llm.common import release, stored
 
 #: SQL cannot express tokenization, so run() is tested against a brute-force version.
 ORACLE_SQL = None
@@ -14,22 +22,26 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' policy rejects go."""
+    release(spark, docs)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    release(spark, docs)
     return jaccard_join.keep_first(docs, size=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and sentences go but for their first occurrence; n_chars follows the text."""
+    """Repeated lines, sentences and passages go but for their first occurrence; n_chars follows the text."""
+    release(spark, docs)
     done = line_dedup.dedup(docs)
-    return done.select(*(F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns))
+    return done.select(*(F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences."""
+    release(spark, docs)
     return packing.packed_documents(docs)
 
 
