@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: State names and their codes, country aliases, millilitres of the units.
 STATES = {
@@ -25,13 +25,24 @@ STATES = {
     "washington": "wa", "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy",
 }
 COUNTRIES = {"u s": "united states", "u s a": "united states", "usa": "united states", "united states of america": "united states", "uk": "united kingdom", "u k": "united kingdom"}
+_APOSTROPHES = dict.fromkeys(map(ord, "’‘`´"), "'")
 ML_OF = {"liter": "1000", "pint": "473.176473", "ounce": "29.5735295625", "ml": "1"}
 
 
+def _fold(text: str) -> str:
+    return unicodedata.normalize("NFKC", text).translate(_APOSTROPHES).casefold()
+
+
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
-    """NFKC and case folding."""
-    return text.map(lambda t: unicodedata.normalize("NFKC", t.translate(str.maketrans("’‘`´", "''''"))).casefold(), na_action="ignore")
+    """NFKC, one apostrophe, case folding."""
+    return text.map(_fold, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def all_folded(texts: pd.Series) -> pd.Series:
+    """As ``folded``, for several texts of a row in one call."""
+    return texts.map(lambda row: [None if t is None else _fold(t) for t in row], na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -57,27 +68,41 @@ def _collapse(text: Column) -> Column:
 def key_of_folded(text: Column) -> Column:
     """Key of text that is folded already: apostrophes go, & @ + stand alone, other punctuation is a space."""
     text = F.regexp_replace(F.replace(text, F.lit("'"), F.lit("")), "([&@+])", " $1 ")
-    return _collapse(F.regexp_replace(text, r"(?U)[^\w&@+]+|_+", " "))
+    return _collapse(F.regexp_replace(text, r"[^\p{L}\p{N}&@+]+", " "))
 
 
 def text_key(text: Column) -> Column:
     return key_of_folded(folded(text))
 
 
+def state_codes(key: Column) -> Column:
+    """A key with state names as codes: as words are read, the longest name that they end with becomes its code."""
+    codes = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
+
+    def read(done: Column, word: Column) -> Column:
+        def named(n: int) -> tuple[Column, Column]:
+            code = F.try_element_at(codes, F.array_join(F.concat(F.slice(done, 1 - n, n - 1), F.array(word)) if n > 1 else F.array(word), " "))
+            return (F.size(done) >= n - 1) & code.isNotNull(), F.array_append(F.slice(done, 1, F.greatest(F.size(done) - n + 1, F.lit(0))), code)
+
+        return F.when(*named(3)).when(*named(2)).when(*named(1)).otherwise(F.array_append(done, word))
+
+    return F.array_join(F.aggregate(F.split(key, " "), F.array().cast("array<string>"), read), " ")
+
+
 def address_key(text: Column) -> Column:
-    """Text key with state names as codes, the longest names first."""
-    out = text_key(text)
-    for name in sorted(STATES, key=len, reverse=True):
-        out = F.regexp_replace(out, rf"(?U)\b{name}\b", STATES[name])
-    return out
+    """Text key with state names as codes."""
+    return state_codes(text_key(text))
 
 
-def country_key(text: Column) -> Column:
-    key = text_key(text)
+def country_of_key(key: Column) -> Column:
     names = F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))
     return F.coalesce(F.try_element_at(names, key), key)
 
 
+def country_key(text: Column) -> Column:
+    return country_of_key(text_key(text))
+
+
 def address_state(key: Column) -> Column:
     """Code of the last word that is no number, if it is a state's."""
     words = F.filter(F.split(key, " "), lambda w: ~w.rlike(r"\A\d+\z"))
@@ -90,6 +115,7 @@ def abv(text: Column) -> Column:
     return F.when((value > 0) & (value <= 100), value)
 
 
+#: Fixed value: an application's volume.
 VOLUME = r"(?iU)\A\s*(\d+(?:\.\d+)?)\s*(ml|millilit(?:er|re)s?|l|lit(?:er|re)s?|pints?|pt|fl\.?\s*oz\.?|fluid\s+ounces?)\s*\z"
 
 
@@ -103,7 +129,16 @@ def millilitres(amount: Column, unit: Column) -> Column:
 
 
 def volume(text: Column) -> Column:
-    return millilitres(F.regexp_extract(text, VOLUME, 1), F.regexp_extract(text, VOLUME, 2))
+    """Millilitres over 0 of an application's volume, or null."""
+    text = folded(text)
+    value = millilitres(F.regexp_extract(text, VOLUME, 1), F.regexp_extract(text, VOLUME, 2))
+    return F.when(value > 0, value)
+
+
+def label_volume(text: Column) -> Column:
+    """As ``volume``; else the millilitres or litres that stand in parentheses."""
+    metric = r"(?iU)\(\s*(\d+(?:\.\d+)?)\s*(ml|millilit(?:er|re)s?|l|lit(?:er|re)s?)\s*\)"
+    return F.coalesce(volume(text), millilitres(F.regexp_extract(text, metric, 1), F.regexp_extract(text, metric, 2)))
 
 
 def filename_key(name: Column) -> Column:
@@ -149,8 +184,14 @@ def physical_tier(ml: Column) -> Column:
 
 
 def number_label(value: Column) -> Column:
-    """Six significant digits without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.6f", F.bround(value, 6)), r"\.?0+\z", "")
+    """Six significant digits without trailing zeros; an exponent below -4 or above 5 is written."""
+    scientific = F.format_string("%.5e", value)
+    power = F.regexp_extract(scientific, r"e([+-]\d+)\z", 1).try_cast("int")
+    fixed = F.when(power == 5, F.format_string("%.0f", value))
+    for k in range(4, -5, -1):
+        fixed = fixed.when(power == k, F.format_string(f"%.{5 - k}f", value))
+    short = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+\z", "")).otherwise(fixed)
+    return F.when(value == 0, "0").when(value.isNotNull(), F.coalesce(short, F.regexp_replace(scientific, r"\.?0*e", "e")))
 
 
 def box_distance(a: Column, b: Column) -> Column:
@@ -169,6 +210,27 @@ def overlaps(a: Column, b: Column, share: float = 0.35) -> Column:
     return inside | (across * down >= share * a.width * a.height)
 
 
+def expanded(box: Column, across: Column, down: Column, width: Column, height: Column) -> Column:
+    """The box with a margin on each side, within an image."""
+    left, top = F.greatest(box.left - across, F.lit(0)), F.greatest(box.top - down, F.lit(0))
+    right, bottom = F.least(box.left + box.width + across, width), F.least(box.top + box.height + down, height)
+    return F.struct(left.alias("left"), top.alias("top"), (right - left).alias("width"), (bottom - top).alias("height"))
+
+
+def corners(box: Column) -> Column:
+    return F.struct(box.left.alias("left"), box.top.alias("top"), (box.left + box.width).alias("right"), (box.top + box.height).alias("bottom"))
+
+
+def same_region(a: Column, b: Column) -> Column:
+    """Whether two boxes (left, top, width, height, panel_id) are shown together: one panel, centres within 1.5 heights."""
+    return (a.panel_id == b.panel_id) & (F.abs((a.top + a.height / 2) - (b.top + b.height / 2)) <= 1.5 * F.greatest(a.height, b.height))
+
+
+def ocr_word(word: Column) -> Column:
+    """A word as it is without two usual misreadings."""
+    return F.translate(word, "0|", "ol")
+
+
 def escaped_cell(text: Column) -> Column:
     """A spreadsheet must not read a cell as a formula."""
     return F.when(text.rlike(r"\A[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)

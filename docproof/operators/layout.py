@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 LINE = ["doc_id", "page", "block", "paragraph", "line"]
 
 
-def split_lines(words: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds segment: a line breaks where the gap exceeds 3.5 median heights and 8 % of the image; sizes(doc_id, image_width)."""
-    heights = words.groupBy(*LINE).agg(F.median("height").alias("_height"), F.bool_and(F.col("left").isNotNull()).alias("_boxed"))
-    joined = words.join(heights, LINE).join(sizes, "doc_id")
-    order = Window.partitionBy(*LINE).orderBy("left", "ordinal")
+def split_lines(words: DataFrame) -> DataFrame:
+    """Adds segment to words with image_width: a line breaks where the gap exceeds 3.5 median heights and 8 % of the image. One shuffle, by line."""
+    whole, order = Window.partitionBy(*LINE), Window.partitionBy(*LINE).orderBy("left", "ordinal")
     gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)
-    wide = F.col("_boxed") & (gap > F.greatest(3.5 * F.col("_height"), 0.08 * F.col("image_width")))
-    parted = joined.withColumn("_wide", F.coalesce(wide, F.lit(False)).cast("int"))
-    return parted.withColumn("segment", F.sum("_wide").over(order)).drop("_wide", "_height", "_boxed")
+    measured = words.select("*", gap.alias("_gap"), F.percentile("height", 0.5).over(whole).alias("_height"), F.bool_and(F.col("left").isNotNull()).over(whole).alias("_boxed"))
+    wide = F.col("_boxed") & (F.col("_gap") > F.greatest(3.5 * F.col("_height"), 0.08 * F.col("image_width")))
+    parted = measured.withColumn("_wide", F.coalesce(wide, F.lit(False)).cast("int"))
+    return parted.withColumn("segment", F.sum("_wide").over(order)).drop("_wide", "_height", "_boxed", "_gap")
 
 
 def lines_from(words: DataFrame) -> DataFrame:
@@ -25,15 +24,15 @@ def lines_from(words: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "ordinal", "text"))), lambda w: w.text), " ").alias("text"),
         F.min("left").alias("left"), F.min("top").alias("top"),
         (F.max(F.col("left") + F.col("width")) - F.min("left")).alias("width"), (F.max(F.col("top") + F.col("height")) - F.min("top")).alias("height"),
-        F.avg("confidence").alias("mean_confidence"), F.median("height").alias("median_height"), F.min("ordinal").alias("first"),
+        F.avg("confidence").alias("mean_confidence"), F.median("height").alias("median_height"), F.min("ordinal").alias("first"), F.count("*").alias("n_words"), F.max("image_width").alias("image_width"),
     )
 
 
-def panels(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds panel_id (boundaries to the left of a line; null below four lines) and sequence_number in reading order."""
+def panels(lines: DataFrame) -> DataFrame:
+    """Adds panel_id (boundaries to the left of a line; null below four lines) and sequence_number in reading order; lines have image_width."""
     own, by_left = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("left", "first")
     before, behind = by_left.rowsBetween(Window.unboundedPreceding, -1), by_left.rowsBetween(0, Window.unboundedFollowing)
-    measured = lines.join(sizes, "doc_id").select(
+    measured = lines.select(
         "*", F.count("*").over(own).alias("_n"), F.row_number().over(by_left).alias("_at"), (F.col("left") - F.lag("left").over(by_left)).alias("_gap"),
         F.percentile(F.col("left") + F.col("width"), 0.5).over(before).alias("_right"), F.percentile("left", 0.5).over(behind).alias("_left"),
     )

@@ -1,37 +1,63 @@
-"""Applications and label lines derived from the star-schema tables, by one SQL text that Spark and DuckDB both run."""
+"""Applications and label lines derived from the star-schema tables, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _TABLES = ("part", "supplier", "nation", "region")
-#: n: suppliers; every 11th label states another strength, every 13th no brand, every 17th two volumes, every 19th another country.
+#: Every 11th label states another strength, every 13th no brand, every 17th two volumes, every 19th another country,
+#: every 23rd another address, every 29th none.
 APPLICATIONS = """
 select p.p_partkey as doc_id, upper(p.p_name) as brand_name,
   case p.p_partkey % 6 when 0 then 'Straight Bourbon Whiskey' when 1 then 'London Dry Gin' when 2 then 'India Pale Ale' when 3 then 'Red Wine' when 4 then 'Spiced Rum' else 'Silver Tequila' end as class_type,
   cast(p.p_size as double) as abv,
   case p.p_partkey % 4 when 0 then '750 mL' when 1 then '1 L' when 2 then '12 FL OZ' else '1 PINT' end as net_contents,
-  upper(s.s_name) as producer_name, p.p_partkey % 3 = 0 as imported_product, case when p.p_partkey % 3 = 0 then r.r_name end as country_origin
-from {part} p join (select count(*) as n from {supplier}) c on true join {supplier} s on s.s_suppkey = p.p_partkey % c.n
+  upper(s.s_name) as producer_name, 'Louisville, Kentucky' as producer_address,
+  p.p_partkey % 3 = 0 as imported_product, case when p.p_partkey % 3 = 0 then r.r_name end as country_origin
+from {part} p join {supplier} s on s.s_suppkey = p.p_partkey % (select count(*) from {supplier})
   join {nation} a on a.n_nationkey = s.s_nationkey join {region} r on r.r_regionkey = a.n_regionkey
 """
-LINES = """
-select doc_id, 1 as line_number, brand_name as text from apps where doc_id % 13 <> 0
-union all select doc_id, 2, class_type from apps
-union all select doc_id, 3, case when doc_id % 11 = 0 then '45% ABV' else concat(cast(cast(abv as int) as varchar(9)), '% Alc/Vol') end from apps
-union all select doc_id, 4, case when doc_id % 17 = 0 then concat(net_contents, ' 375 mL') else net_contents end from apps
-union all select doc_id, 5, concat('Bottled by ', producer_name) from apps
-union all select doc_id, 6, concat('Product of ', case when doc_id % 19 = 0 then 'ATLANTIS' else country_origin end) from apps where imported_product
-"""
+#: Text of a line by its number; a line without text is not printed.
+LINES = {
+    1: "case when doc_id % 13 <> 0 then brand_name end",
+    2: "class_type",
+    3: "case when doc_id % 11 = 0 then '45% ABV' else concat(cast(cast(abv as int) as varchar(9)), '% Alc/Vol') end",
+    4: "case when doc_id % 17 = 0 then concat(net_contents, ' 375 mL') else net_contents end",
+    5: "concat('Bottled by ', producer_name)",
+    6: "case when doc_id % 23 = 0 then 'NASHVILLE, TN' when doc_id % 29 <> 0 then 'LOUISVILLE, KY' end",
+    7: "case when imported_product then concat('Product of ', case when doc_id % 19 = 0 then 'ATLANTIS' else country_origin end) end",
+}
+#: Fixed value: the health warning that the law prescribes.
+HEADING, CLAUSES = "GOVERNMENT WARNING", (
+    "(1) According to the Surgeon General, women should not drink alcoholic beverages during pregnancy because of the risk of birth defects.",
+    "(2) Consumption of alcoholic beverages impairs your ability to drive a car or operate machinery, and may cause health problems.",
+)
+#: None, a heading in small letters, without the second clause, without a heading, with a wrong word, or whole.
+WARNING_TEXT = f"""case doc_id % 7 when 0 then null when 1 then 'Government Warning: {CLAUSES[0]} {CLAUSES[1]}' when 2 then '{HEADING}: {CLAUSES[0]}'
+  when 3 then '{CLAUSES[0]} {CLAUSES[1]}' when 4 then replace('{HEADING}: {CLAUSES[0]} {CLAUSES[1]}', 'machinery', 'spaceships') else '{HEADING}: {CLAUSES[0]} {CLAUSES[1]}' end"""
 
 
 def for_duckdb(query: str) -> str:
-    return f"with apps as ({APPLICATIONS.format(**{t: t for t in _TABLES})}), lines as ({LINES}) {query}"
+    lines = " union all ".join(f"select doc_id, {k} as line_number, {text} as text from apps" for k, text in LINES.items())
+    return f"with apps as ({APPLICATIONS.format(**{t: t for t in _TABLES})}), lines as (select * from ({lines}) where text is not null), warnings as (select doc_id, {WARNING_TEXT} as w from apps) {query}"
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(APPLICATIONS.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in _TABLES}))
 
 
+def lines_of_applications(apps: DataFrame) -> DataFrame:
+    """The lines of every label, from one pass over the applications."""
+    printed = F.array(*(F.struct(F.lit(k).alias("line_number"), F.expr(text).alias("text")) for k, text in LINES.items()))
+    return apps.select("doc_id", F.explode(printed).alias("line")).select("doc_id", "line.*").where("text is not null")
+
+
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"with apps as ({APPLICATIONS.format(**{t: f'parquet.`{sf_dir}/{t}.parquet`' for t in _TABLES})}) {LINES}")
+    return lines_of_applications(applications(spark, sf_dir))
+
+
+def warning_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the whole text of every label, the warning last."""
+    every = [*LINES.values(), WARNING_TEXT]
+    return applications(spark, sf_dir).select("doc_id", F.concat_ws("\n", *(F.expr(t) for t in every)).alias("text"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import difflib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.functions import text as T
-from docproof.operators import comparison, extraction, layout
-from docproof.plans.label_data import applications, for_duckdb, label_lines
+from docproof.operators import comparison, extraction, layout, warning
+from docproof.plans.label_data import LINES, applications, for_duckdb, label_lines, lines_of_applications, warning_texts
 from docproof.sources import manifest
 
 QUERIES, ORACLES = {}, {}
@@ -29,7 +31,31 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     apps = applications(spark, sf_dir)
-    return comparison.compare(apps, extraction.extract(label_lines(spark, sf_dir)))
+    return comparison.compare(apps, extraction.extract(lines_of_applications(apps)))
+
+
+def _ratio(a: str, b: str) -> float:
+    words = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    return round(max(difflib.SequenceMatcher(None, a, b).ratio(), difflib.SequenceMatcher(None, *words).ratio()), 3)
+
+
+_COUNTRY_SCORE = "case country_origin " + " ".join(f"when '{r}' then {_ratio(r.lower(), 'atlantis')}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " end"
+_L = {k: f"({text})" for k, text in LINES.items()}
+#: What the derived defects call for, field by field: status, raw value, similarity, distinct values, evidence.
+_RESULTS = f"""
+res as (
+  select doc_id, 'brand_name' as field, case when doc_id % 13 = 0 then 'not_found' else 'match' end as status, case when doc_id % 13 <> 0 then brand_name end as extracted_raw, null::double as similarity_score, (doc_id % 13 <> 0)::int as n_values, {_L[1]} as evidence from apps
+  union all select doc_id, 'class_type', 'match', class_type, null, 1, class_type from apps
+  union all select doc_id, 'abv', case when doc_id % 11 = 0 and abv <> 45 then 'mismatch' else 'match' end, {_L[3]}, null, 1, {_L[3]} from apps
+  union all select doc_id, 'net_contents', case when doc_id % 17 = 0 then 'review' else 'match' end, net_contents, null, case when doc_id % 17 = 0 then 2 else 1 end, {_L[4]} from apps
+  union all select doc_id, 'producer_name', 'match', producer_name, null, 1, {_L[5]} from apps
+  union all select doc_id, 'producer_address', case when doc_id % 23 = 0 then 'mismatch' when doc_id % 29 = 0 then 'not_found' else 'match' end, {_L[6]}, case when doc_id % 23 = 0 then {_ratio('louisville ky', 'nashville tn')} end, ({_L[6]} is not null)::int, {_L[6]} from apps
+  union all select doc_id, 'country_origin', case when not imported_product then 'not_applicable' when doc_id % 19 = 0 then 'mismatch' else 'match' end, case when imported_product then case when doc_id % 19 = 0 then 'ATLANTIS' else country_origin end end,
+    case when imported_product and doc_id % 19 = 0 then {_COUNTRY_SCORE} end, imported_product::int, {_L[7]} from apps)"""
+_ORDER = "list_position(['brand_name', 'class_type', 'abv', 'net_contents', 'producer_name', 'producer_address', 'country_origin'], field)"
+_WORST = "max(case when status = 'mismatch' then 3 when status in ('review', 'not_found') then 2 else 1 end)"
+_ISSUES = f"coalesce(string_agg(case when status not in ('match', 'not_applicable') then replace(field, '_', ' ') || ': ' || status end, '; ' order by {_ORDER}), '')"
+_COUNTS = ", ".join(f"count(*) filter (status = '{k}') as n_{k}" for k in comparison.SEVERITY)
 
 
 _ABV_SQL = r"regexp_extract(text, '(?i)(\d{1,3}(?:\.\d+)?)\s*%\s*(?:a\.?\s*b\.?\s*v|alc)', 1)"
@@ -43,7 +69,7 @@ def abv_candidates(spark, sf_dir):
 
 @query(for_duckdb(r"""
 select doc_id, line_number, round(x.v * """ + _ML.format(u="x.u") + r""", 6) as ml from (
-  select doc_id, line_number, unnest(list_zip(regexp_extract_all(text, '(?i)(\d+) (ml|l|pint|fl oz)', 1), regexp_extract_all(text, '(?i)(\d+) (ml|l|pint|fl oz)', 2))) as z from lines where line_number = 4),
+  select doc_id, line_number, unnest(list_zip(regexp_extract_all(text, '(?i)(\d+) (ml|l|pint|fl oz)', 1), regexp_extract_all(text, '(?i)(\d+) (ml|l|pint|fl oz)', 2))) as z from lines),
   lateral (select cast(z[1] as double) as v, z[2] as u) x"""))
 def volume_candidates(spark, sf_dir):
     return extraction.volume_candidates(label_lines(spark, sf_dir)).select("doc_id", "line_number", F.round("norm_num", 6).alias("ml"))
@@ -56,8 +82,19 @@ def country_candidates(spark, sf_dir):
 
 @query(for_duckdb("select doc_id, line_number, text as class_type from lines where line_number = 2"))
 def class_candidates(spark, sf_dir):
-    lines = label_lines(spark, sf_dir).where("line_number >= 2")
-    return extraction.class_candidates(lines).select("doc_id", "line_number", F.col("raw_value").alias("class_type"))
+    return extraction.class_candidates(label_lines(spark, sf_dir)).select("doc_id", "line_number", F.col("raw_value").alias("class_type"))
+
+
+@query(for_duckdb("select doc_id, line_number, text as brand, lower(text) as norm_text from lines where line_number = 1"))
+def brand_candidates(spark, sf_dir):
+    """Scored lines that may be a brand; nothing else on a label passes the bars."""
+    return extraction.brand_candidates(label_lines(spark, sf_dir)).select("doc_id", "line_number", F.col("raw_value").alias("brand"), "norm_text")
+
+
+@query(for_duckdb("select doc_id, 'producer_name' as field, substr(text, 12) as raw_value, line_number from lines where line_number = 5 union all select doc_id, 'producer_address', text, line_number from lines where line_number = 6"))
+def producer_candidates(spark, sf_dir):
+    """Names behind a cue, and the address on the line after."""
+    return extraction.producer_candidates(label_lines(spark, sf_dir)).select("doc_id", "field", "raw_value", "line_number")
 
 
 @query(for_duckdb("select doc_id, 'abv' as field, case when abv = case when doc_id % 11 = 0 then 45 else abv end then 'match' else 'mismatch' end as status from apps where abv > 0 union all select doc_id, 'net_contents', case when doc_id % 17 = 0 then 'review' else 'match' end from apps union all select doc_id, 'country_origin', case when not imported_product then 'not_applicable' when doc_id % 19 = 0 then case when country_origin = 'ATLANTIS' then 'match' else 'mismatch' end else 'match' end from apps"))
@@ -66,28 +103,56 @@ def number_and_country_statuses(spark, sf_dir):
     return _results(spark, sf_dir).where(F.col("field").isin("abv", "net_contents", "country_origin")).select("doc_id", "field", "status")
 
 
-@query()
+@query(for_duckdb(f", {_RESULTS} select doc_id, field, status, extracted_raw, similarity_score, n_values, coalesce(evidence, '') as evidence from res"))
 def field_results(spark, sf_dir):
-    """Statuses of all fields with evidence; the ratio of matching blocks has no SQL form."""
+    """Statuses of all fields with evidence."""
     return _results(spark, sf_dir).select("doc_id", "field", "status", "extracted_raw", "similarity_score", "n_values", F.array_join("evidence", " | ").alias("evidence"))
 
 
-@query()
+@query(for_duckdb(f", {_RESULTS} select doc_id, ['match', 'review', 'mismatch'][{_WORST}] as overall_status, {_ISSUES} as issues, ['All checked application fields match the label.', 'One or more fields require manual review.', 'One or more application fields do not match the label.'][{_WORST}] as summary from res group by doc_id"))
 def overall_statuses(spark, sf_dir):
     return comparison.overall(_results(spark, sf_dir))
 
 
-@query()
+@query(for_duckdb(f", {_RESULTS} select field, {_COUNTS} from res group by field"))
 def status_counts(spark, sf_dir):
     return comparison.status_counts(_results(spark, sf_dir))
 
 
-@query()
+@query(for_duckdb(f", {_RESULTS} select count(distinct doc_id) as n_documents, count(distinct doc_id) filter (status = 'not_found') as n_missing_evidence from res"))
+def missing_evidence(spark, sf_dir):
+    return comparison.missing_evidence(_results(spark, sf_dir))
+
+
+@query(for_duckdb(f", {_RESULTS} select field, {_COUNTS}, count(*) filter (status not in ('match', 'not_applicable')) as n_missed_expected, 0::bigint as n_false_confident from res group by field"))
+def label_report(spark, sf_dir):
+    """Counts of statuses, missed expectations and false matches by field."""
+    return comparison.label_report(applications(spark, sf_dir), _results(spark, sf_dir))
+
+
+#: Statuses that someone would expect who overlooks the second volumes and takes a missing brand for a mismatch.
+_EXPECTED = {"brand_name": "case when doc_id % 13 = 0 then 'mismatch' else 'match' end", "class_type": "'match'", "abv": "case when doc_id % 11 = 0 and abv <> 45 then 'mismatch' else 'match' end", "net_contents": "'match'", "producer_name": "'match'",
+    "producer_address": "case when doc_id % 23 = 0 then 'mismatch' when doc_id % 29 = 0 then 'not_found' else 'match' end", "country_origin": "case when not imported_product then 'not_applicable' when doc_id % 19 = 0 then 'review' else 'match' end"}
+_EXPECTED_SQL = " union all ".join(f"select doc_id, '{k}' as field, {v} as expected_status from apps" for k, v in _EXPECTED.items())
+
+
+def _expected(spark, sf_dir) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.expr(v).alias("expected_status")) for k, v in _EXPECTED.items())))
+    return applications(spark, sf_dir).select("doc_id", each.alias("e")).select("doc_id", "e.*")
+
+
+@query(for_duckdb(f""", {_RESULTS} select field, count(*) as n, count(*) filter (s = e) as n_exact, count(*) filter (s = 'match' and e <> 'match') as n_false_match, count(*) filter (s = 'mismatch' and e <> 'mismatch') as n_false_mismatch,
+  count(*) filter (e = 'match' and s <> 'match') as n_missed_match, round(count(*) filter (s = e) / count(*), 4) as accuracy from (select field, status as s, expected_status as e from res join ({_EXPECTED_SQL}) using (doc_id, field)) group by field"""))
 def confusion_counts(spark, sf_dir):
-    """Actual statuses against those that the derived defects call for."""
-    apps = applications(spark, sf_dir)
-    want = apps.select("doc_id", F.lit("abv").alias("field"), F.when((F.col("doc_id") % 11 == 0) & (F.col("abv") != 45), "mismatch").otherwise("match").alias("expected_status"))
-    return comparison.confusion(want, _results(spark, sf_dir))
+    """Actual against expected statuses of all fields."""
+    return comparison.confusion(_expected(spark, sf_dir), _results(spark, sf_dir))
+
+
+@query(for_duckdb(f""", {_RESULTS} select doc_id, string_agg(field || ': ' || expected_status || ' -> ' || status, '; ' order by field) as differences, count(*) as n_differences
+  from res join ({_EXPECTED_SQL}) using (doc_id, field) where status <> expected_status group by doc_id"""))
+def case_differences(spark, sf_dir):
+    """Per label the checks that differ from the expected status."""
+    return comparison.differences(_expected(spark, sf_dir), _results(spark, sf_dir))
 
 
 @query("select event_type, quantile_cont(value, 0.5) as median_ms, quantile_disc(value, 0.9) as p90_ms, max(value) as max_ms, count(value) as n from events group by event_type")
@@ -111,14 +176,14 @@ def duplicate_file_keys(spark, sf_dir):
     return manifest.flag_duplicates(pages).select("page_id", "file_key", "duplicate")
 
 
-_FILES = "select lower(p_brand) || '.png' as k, count(*) as n from part where p_partkey % 5 <> 0 group by 1"
+_FILES = "select lower(p_brand) || '.png' as k, count(*) as n from part group by 1"
 
 
 @query(f"select c_custkey, coalesce(n, 0) as n_files, case when n is null then 'missing' when n > 1 then 'multiple' else 'ready' end as file_status from (select c_custkey, 'brand#' || (c_custkey % 60) || '.png' as k from customer) c left join ({_FILES}) f using (k)")
 def mapped_files(spark, sf_dir):
     """Records joined with files on the file key: none, one or several."""
     rows = _read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("labels\\BRAND#"), F.col("c_custkey") % 60, F.lit(".PNG")).alias("image_filename"))
-    files = _read(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.concat("p_brand", F.lit(".png")).alias("name"))
+    files = _read(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(".png")).alias("name"))
     mapped, _ = manifest.map_files(rows.withColumn("file_key", T.filename_key(F.col("image_filename"))), files)
     return mapped.select("c_custkey", "n_files", "file_status")
 
@@ -168,16 +233,23 @@ select doc_id, line, segment::bigint as segment, min(x) as "left", min(y) as top
 @query(_SEGMENTS)
 def line_segments(spark, sf_dir):
     words = _words(spark, sf_dir)
-    split = layout.split_lines(words, words.select("doc_id").distinct().withColumn("image_width", F.lit(1000)))
-    n = split.groupBy(*layout.LINE, "segment").agg(F.count("*").alias("n_words"))
-    return layout.lines_from(split).join(n, [*layout.LINE, "segment"]).select("doc_id", "line", "segment", "left", "top", "width", "height", "median_height", "n_words")
+    split = layout.split_lines(words.withColumn("image_width", F.lit(1000)))
+    return layout.lines_from(split).select("doc_id", "line", "segment", "left", "top", "width", "height", "median_height", "n_words")
+
 
+_PANELS = _SEGMENTS[: _SEGMENTS.rindex("select doc_id, line, segment::bigint")] + """,
+g as (select doc_id, line, segment::bigint as segment, min(x) as "left", min(y) as top, max(x + width) - min(x) as width, min(ordinal) as first from s group by doc_id, line, segment),
+m as (select *, count(*) over (partition by doc_id) as n, row_number() over l as pos, "left" - lag("left") over l as gap,
+  quantile_cont("left" + width, 0.5) over (partition by doc_id order by "left", first rows between unbounded preceding and 1 preceding) as r, quantile_cont("left", 0.5) over (partition by doc_id order by "left", first rows between current row and unbounded following) as f
+  from g window l as (partition by doc_id order by "left", first)),
+p as (select *, case when n >= 4 then sum(case when gap >= 120 and pos > 2 and pos <= n - 1 and r <= f + 50 then 1 else 0 end) over (partition by doc_id order by "left", first) end::int as panel_id from m)
+select doc_id, line, segment, coalesce(panel_id, -1) as panel_id, (row_number() over (partition by doc_id order by panel_id nulls last, top, "left", first))::int as sequence_number from p"""
 
-@query()
+
+@query(_PANELS)
 def line_panels(spark, sf_dir):
-    words = _words(spark, sf_dir)
-    sizes = words.select("doc_id").distinct().withColumn("image_width", F.lit(1000))
-    return layout.panels(layout.lines_from(layout.split_lines(words, sizes)), sizes).select("doc_id", "line", "segment", "panel_id", "sequence_number")
+    words = _words(spark, sf_dir).withColumn("image_width", F.lit(1000))
+    return layout.panels(layout.lines_from(layout.split_lines(words))).select("doc_id", "line", "segment", F.coalesce("panel_id", F.lit(-1)).alias("panel_id"), "sequence_number")
 
 
 @query("select p_partkey, case when p_retailprice <= 237 then 1 when p_retailprice <= 3000 then 2 else 3 end as min_mm, case when p_retailprice <= 237 then 40 when p_retailprice <= 3000 then 25 else 12 end as max_cpi from part")
@@ -195,3 +267,68 @@ def exported_cells(spark, sf_dir):
 def token_phrases(spark, sf_dir):
     words = _read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
     return words.select("doc_id", T.phrase_index(F.col("w"), ["the"]).isNotNull().alias("has_the"), F.size("w").cast("bigint").alias("n_tokens"))
+
+
+_HEADED, _ANCHORED = "regexp_matches(w, '(?i)\\bgovernment\\s+warning\\b')", "regexp_matches(w, '(?i)\\baccording\\s+to\\s+the\\s+surgeon\\s+general\\b')"
+
+
+def _warned(spark, sf_dir) -> DataFrame:
+    return warning.localised(warning_texts(spark, sf_dir))
+
+
+@query(for_duckdb(f"select doc_id, case when {_HEADED} and {_ANCHORED} then 'match' when {_HEADED} or {_ANCHORED} then 'review' else 'not_found' end as status from warnings"))
+def warning_presence(spark, sf_dir):
+    return _warned(spark, sf_dir).select("doc_id", warning.presence().alias("status"))
+
+
+@query(for_duckdb("select doc_id, case when w is null then 'not_found' when not regexp_matches(w, '(?i)^government warning') then 'review' when starts_with(w, 'GOVERNMENT WARNING') then 'match' else 'mismatch' end as status from warnings"))
+def warning_capitals(spark, sf_dir):
+    """A text without its heading begins up to 30 characters before the anchor, so its capitals are open."""
+    return _warned(spark, sf_dir).select("doc_id", warning.capitalisation().alias("status"))
+
+
+@query(for_duckdb("select doc_id, case doc_id % 7 when 0 then 'not_found' when 1 then 'match' when 5 then 'match' when 6 then 'match' else 'mismatch' end as status from warnings"))
+def warning_wording(spark, sf_dir):
+    """Letter case is not wording; a missing heading or clause and another word are."""
+    return _warned(spark, sf_dir).select("doc_id", warning.wording().getField("status").alias("status"))
+
+
+@query(for_duckdb("select doc_id, case doc_id % 7 when 0 then 'not_found' when 2 then 'mismatch' else 'review' end as status from warnings"))
+def warning_continuity(spark, sf_dir):
+    """On plain text at best a review: there are no boxes."""
+    return _warned(spark, sf_dir).select("doc_id", warning.continuity().alias("status"))
+
+
+_CHECKS = """select doc_id, case doc_id % 7 when 0 then 'not_found' when 2 then 'mismatch' when 3 then 'mismatch' when 4 then 'mismatch' when 1 then 'mismatch' else 'review' end as automated_status, true as manual_confirmation_required from warnings"""
+
+
+@query(for_duckdb(_CHECKS))
+def warning_statuses(spark, sf_dir):
+    """All checks of a label's text as one status; what needs a picture or a ruler is open."""
+    return warning.statuses(warning.checks(_warned(spark, sf_dir), T.volume(F.lit("750 mL"))))
+
+
+@query(for_duckdb(f"""{", " + _RESULTS}, warned as ({_CHECKS}),
+f as (select doc_id, {_WORST} as worst, {_ISSUES} as issues from res group by doc_id)
+select doc_id, case when worst = 3 or automated_status = 'mismatch' then 'mismatch' when worst = 2 or automated_status <> 'match' then 'review' else 'match' end as overall_status,
+  issues || case when issues <> '' then '; ' else '' end || 'government warning: ' || automated_status || ' Manual physical confirmation required.' as issues,
+  case when worst = 3 or automated_status = 'mismatch' then 'One or more detected fields differ from the application or prescribed warning.' else 'One or more label checks require manual review.' end as summary
+from f join warned using (doc_id)"""))
+def batch_statuses(spark, sf_dir):
+    """Fields and warning of a label as one status, with its issues."""
+    warned = warning.statuses(warning.checks(_warned(spark, sf_dir), T.volume(F.lit("750 mL"))))
+    return comparison.overall(_results(spark, sf_dir), warned)
+
+
+@query(for_duckdb("select 'all' as batch, 'presence' as \"check\", 0::bigint as n_mismatch, count(*) filter (doc_id % 7 = 3) as n_review, count(*) filter (doc_id % 7 = 0) as n_not_found, count(*) filter (doc_id % 7 not in (0, 3)) as n_match, 0::bigint as n_not_applicable from warnings"))
+def warning_check_counts(spark, sf_dir):
+    """Counts by group, check and status."""
+    each = warning.checks(_warned(spark, sf_dir), T.volume(F.lit("750 mL"))).withColumn("batch", F.lit("all"))
+    return comparison.grouped_status_counts(each, ["batch"]).where("check = 'presence'")
+
+
+@query("select case user_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as batch, count(*) as n_total, count(*) filter (event_id % 4 < 2) as n_completed, count(*) filter (event_id % 4 = 2) as n_processing, count(*) filter (event_id % 4 = 1) as n_failed, greatest(count(*) - count(*) filter (event_id % 4 < 2) - count(*) filter (event_id % 4 = 2), 0) as n_remaining from events group by 1")
+def batch_progress(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, ("match", "error", "processing", "ready"))), (F.col("event_id") % 4 + 1).cast("int"))
+    batch = F.element_at(F.array(*map(F.lit, "abc")), (F.col("user_id") % 3 + 1).cast("int"))
+    return comparison.progress(_read(spark, sf_dir, "events").select(batch.alias("batch"), status.alias("status")), ["batch"])

@@ -47,9 +47,10 @@ def errors_of(rows: DataFrame) -> DataFrame:
 
 
 def flag_duplicates(rows: DataFrame, name: str = "image_filename") -> DataFrame:
-    """Adds file_key and duplicate: every row of a key that stands twice."""
+    """Adds file_key and duplicate: every row of a key that stands twice. Keys are counted before they meet the rows."""
     keyed = rows.withColumn("file_key", T.filename_key(F.col(name)))
-    return keyed.withColumn("duplicate", F.count("*").over(Window.partitionBy("file_key")) > 1)
+    twice = keyed.groupBy("file_key").agg((F.count("*") > 1).alias("duplicate"))
+    return keyed.join(twice.withColumnRenamed("file_key", "_key"), F.col("file_key").eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def map_files(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,8 +66,27 @@ def map_files(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
 TSV = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
 
 
+class WordsError(ValueError):
+    """The word table has no text column."""
+
+
+def check_words_header(spark: SparkSession, path: str) -> None:
+    header = spark.read.text(path).first()
+    if header is not None and "text" not in header[0].split("\t"):
+        raise WordsError("no column named text")
+
+
+def raw_text(words: DataFrame) -> DataFrame:
+    """(path, text): words of a line joined by spaces, lines in order of their first word, one below the other."""
+    line = words.groupBy("path", "page_num", "block_num", "par_num", "line_num").agg(F.min("ordinal").alias("first"), F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("w"))
+    line = line.select("path", "first", F.array_join(F.transform("w", lambda w: w.text), " ").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "text")))
+    return line.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x.text), "\n").alias("text"))
+
+
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """Words of OCR TSV files: path, ordinal, ids, box, confidence (0 to 1, null if negative) and text."""
+    check_words_header(spark, path)
     rows = spark.read.schema(TSV).option("sep", "\t").option("header", True).option("quote", "").csv(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ordinal"))
     words = rows.where((F.col("level") == 5) & (F.trim("text") != ""))

@@ -1 +1,49 @@
+"""The batch queue as a stream: items settle one by one, a failed one stops no other, and only those that need it run again."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+
+#: Items that are worked on at a time.
+CONCURRENCY = 2
+SETTLED = "item_id string, status string, value string, error string"
+
+
+def settle(items: DataFrame, worker: Callable[[str], str], concurrency: int = CONCURRENCY, stopped: Callable[[], bool] | None = None) -> DataFrame:
+    """(item_id, status, value, error) of items(item_id, payload): fulfilled, rejected with the error's type, or skipped once ``stopped`` holds. At most ``concurrency`` items run at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for item, payload in zip(batch["item_id"], batch["payload"]):
+                if stopped is not None and stopped():
+                    out.append((item, "skipped", None, None))
+                    continue
+                try:
+                    out.append((item, "fulfilled", worker(payload), None))
+                except Exception as error:  # noqa: BLE001, an item's failure is its result; its text may hold submitted values
+                    out.append((item, "rejected", None, type(error).__name__))
+            yield pd.DataFrame(out, columns=["item_id", "status", "value", "error"])
+
+    return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("payload").cast("string").alias("payload")).coalesce(concurrency).mapInPandas(run, SETTLED)
+
+
+def start(items: DataFrame, worker: Callable[[str], str], path: str, checkpoint: str, concurrency: int = CONCURRENCY) -> StreamingQuery:
+    """Settle a stream of items and append the results to ``path``; a restarted query goes on where it was."""
+    return settle(items, worker, concurrency).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def latest(states: DataFrame) -> DataFrame:
+    """The last state of each item of states(item_id, at, status, ...)."""
+    last = Window.partitionBy("item_id").orderBy(F.desc("at"), F.desc("status"))
+    return states.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+
+
+def to_run(states: DataFrame, retry: bool = False) -> DataFrame:
+    """The items to start: ready or cancelled ones; with ``retry`` only those that failed."""
+    return latest(states).where(F.col("status") == "error" if retry else F.col("status").isin("ready", "cancelled"))
