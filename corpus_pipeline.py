@@ -10,39 +10,48 @@ columns stay until the last stage; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.llm import jaccard_join, line_dedup, packing, quality
-from docproof.llm.common import release, stored
+from docproof.llm.common import release, scope, stored
 
+#: A pass begins with the first stage; the tables of one pass are not touched by the next.
+_PASSES = itertools.count()
+_PASS = ["pipeline"]
 #: SQL cannot express tokenization, so run() is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' policy rejects go."""
-    release(spark, docs)
-    return quality.keep_good(docs)
+    _PASS[0] = f"pipeline {next(_PASSES)}"
+    with scope(_PASS[0]):
+        return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
-    release(spark, docs)
-    return jaccard_join.keep_first(docs, size=5, percent=80)
+    release(spark, _PASS[0], docs)
+    with scope(_PASS[0]):
+        return jaccard_join.keep_first(docs, size=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines, sentences and passages go but for their first occurrence; n_chars follows the text."""
-    release(spark, docs)
-    done = line_dedup.dedup(docs)
+    release(spark, _PASS[0], docs)
+    with scope(_PASS[0]):
+        done = line_dedup.dedup(docs)
     return done.select(*(F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences."""
-    release(spark, docs)
-    return packing.packed_documents(docs)
+    release(spark, _PASS[0], docs)
+    with scope(_PASS[0]):
+        return packing.packed_documents(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]
@@ -53,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, name)
+            with scope(_PASS[0]):
+                docs = stored(docs, name)
     return docs

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ BATCH_ROWS = "1000"
 BATCH_BYTES = 16 << 20
 #: Only for local sessions that name no shared folder (tests): one folder each, gone when Python ends.
 _OWN_FOLDERS: dict[str, str] = {}
-#: Tables that this process has stored and not released, by path: the catalog's name, or None.
-_TABLES: dict[str, str | None] = {}
+#: Tables that this process has stored and not released, by path: the catalog's name, or None, and the scope.
+_TABLES: dict[str, tuple[str | None, str | None]] = {}
+_SCOPES: list[str] = []
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -58,12 +60,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables stored within belong to ``name``, for ``release``."""
+    _SCOPES.append(name)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def _remember(path: str, table: str | None) -> None:
+    _TABLES[path] = table, _SCOPES[-1] if _SCOPES else None
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and it outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES[path] = None
+    _remember(path, None)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,15 +93,15 @@ def laid_out(df: DataFrame, key: str, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{table}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
-    _TABLES[path] = table
+    _remember(path, table)
     return spark.table(table)
 
 
-def release(spark: SparkSession, read_by: DataFrame | None = None) -> None:
-    """Delete the tables stored so far, but for those that ``read_by`` reads. Results that read the others must be written before."""
-    files = read_by.inputFiles() if read_by is not None else []
-    for path, table in list(_TABLES.items()):
-        if any(path.rsplit("/", 1)[1] in f for f in files):
+def release(spark: SparkSession, name: str, read_by: DataFrame) -> None:
+    """Delete the tables of a scope, but for those that ``read_by`` reads. Results that read the others must be written before."""
+    files = read_by.inputFiles()
+    for path, (table, owner) in list(_TABLES.items()):
+        if owner != name or any(path.rsplit("/", 1)[1] in f for f in files):
             continue
         if table:
             spark.sql(f"drop table if exists {table}")

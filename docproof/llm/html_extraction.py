@@ -2,7 +2,8 @@
 
 Every block element is a binary variable (content or not). Its own evidence (element, words in class and id,
 length of its text, share of links, sentence marks) gives a potential, and each parent-child edge has a
-potential that depends on the child's element. Messages go up from the leaves to the root and down again
+potential that depends on the child's element. A plain container without text of its own has no evidence: its
+edge passes its parent's label on, at any depth. Messages go up from the leaves to the root and down again
 (sum-product, exact on a tree), which gives each element's marginal; the text of elements at or over one half
 is kept. Potentials are smoothed relative frequencies of labelled pages: a fixed set, built below from page
 layouts, of ``TRAINING_PAGES`` pages.
@@ -19,13 +20,14 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import small_batches
+from docproof.llm.common import by_bytes
 
 #: Labelled pages that the potentials are fitted on.
 TRAINING_PAGES = 400
@@ -34,17 +36,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("head script style noscript template iframe svg math object canvas audio video select textarea button datalist title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CONTAINERS = frozenset("div section center span main article figure blockquote ul ol dl table thead tbody tfoot tr".split())
 #: An element's start closes an open one of these, up to the element that bounds it.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tr td th", "table"), "thead": ("thead tbody tr td th", "table"), "tfoot": ("thead tbody tr td th", "table")}
 #: Words in class, id and role, by what they tell; the first kind that is met counts.
 HINTS = {
     "comment": "comment comments reply replies discussion respond disqus feedback reader",
     "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense",
-    "notice": "cookie cookies consent notice notices popup modal newsletter subscribe gdpr alert overlay toast paywall warning message",
+    "notice": "cookie cookies consent notice notices popup modal newsletter subscribe gdpr alert overlay toast paywall warning",
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar tabs toc skip",
     "foot": "footer foot copyright legal colophon bottom",
     "head": "header masthead topbar logo branding",
-    "side": "sidebar side aside related widget recommend recommended popular trending share social tags meta byline author rail",
+    "side": "sidebar side aside related widget recommend recommended popular trending share social tags rail",
     "form": "form login signin signup search contact",
     "content": "article content post entry story main body text page",
 }
@@ -187,12 +190,20 @@ def parse(html: str) -> list[Node]:
     return builder.nodes
 
 
+def plain_container(node: Node) -> bool:
+    return not node.text and node.hint == "none" and node.tag in CONTAINERS
+
+
 def features(node: Node) -> tuple[str, ...]:
+    if plain_container(node):
+        return ()
+    if not node.text:
+        return (f"tag {node.tag}", f"hint {node.hint}")
     size = sum(len(t) for _, t in node.text)
     words = " ".join(t for _, t in node.text)
     length = min(6, size.bit_length() // 2)
-    density = min(3, 4 * node.linked // size) if size else 4
-    marks = min(2, sum(words.count(c) for c in ".!?,;")) if size else 3
+    density = min(3, 4 * node.linked // size)
+    marks = min(2, sum(words.count(c) for c in ".!?,;"))
     return (f"tag {node.tag}", f"hint {node.hint}", f"size {length}", f"links {density}", f"marks {marks}")
 
 
@@ -211,7 +222,8 @@ class Model:
                 number[y] += 1
                 seen[y].update(features(node))
                 if node.parent is not None:
-                    for kind in (node.tag, f"hint {node.hint}", "*"):
+                    hinted = node.hint not in ("none", "content")
+                    for kind in (f"hint {node.hint}" if hinted else f"plain {node.tag}" if plain_container(node) else node.tag, "*"):
                         edges.setdefault(kind, Counter())[above, y] += 1
         self.unary = {f: math.log((seen[1][f] + 0.5) / (number[1] + 1)) - math.log((seen[0][f] + 0.5) / (number[0] + 1)) for f in {*seen[0], *seen[1]}}
         self.edge = {kind: [[math.log((c[a, b] + 0.5) / (c[a, 0] + c[a, 1] + 1)) for b in (0, 1)] for a in (0, 1)] for kind, c in edges.items()}
@@ -219,6 +231,8 @@ class Model:
     def pair(self, node: Node) -> list[list[float]]:
         if node.hint != "none" and node.hint != "content" and f"hint {node.hint}" in self.edge:
             return self.edge[f"hint {node.hint}"]
+        if plain_container(node) and f"plain {node.tag}" in self.edge:
+            return self.edge[f"plain {node.tag}"]
         return self.edge.get(node.tag, self.edge["*"])
 
     def marginals(self, nodes: list[Node]) -> list[float]:
@@ -270,24 +284,40 @@ def training_pages(n: int = TRAINING_PAGES) -> list[str]:
         inner = rng.choice([f"<p>{sentence()}</p>", f"<p>{paragraph()}</p>", sentence(3, 12), f"<ul>{links(4)}</ul>", f"<h3>{words(1, 3)}</h3><p>{sentence()}</p>", f"<div><p>{paragraph()}</p></div>", block(), block() + block(), f"<h2>{words(1, 4)}</h2>{block()}{block()}", f"<h2>{words(1, 2)}</h2><div><p>{paragraph()}</p></div>"])
         return f'<{tag} class="{name}" data-label="other">{inner}</{tag}>' if tag != "ul" else f'<ul class="{name}" data-label="other">{links(5)}</ul>'
 
-    def plain() -> str:
-        return rng.choice([f'<nav data-label="other"><ul>{links(6)}</ul></nav>', f'<aside data-label="other"><h4>{words(1, 3)}</h4><ul>{links(4)}</ul></aside>', f'<aside data-label="other"><p>{paragraph()}</p></aside>', f'<aside data-label="other">{block()}{block()}</aside>', f'<form data-label="other">{block()}</form>', f'<footer data-label="other">{block()}</footer>', f'<header data-label="other">{block()}</header>', f'<form data-label="other"><p>{sentence(2, 8)}</p><input></form>', f'<header data-label="other"><h1>{words(1, 3)}</h1><p>{words(2, 6)}</p></header>', f'<footer data-label="other"><p>&copy; {sentence(3, 10)}</p></footer>', f'<footer data-label="other">&copy; {words(2, 4)} &middot; {sentence(3, 12)}</footer>', f'<div data-label="other"><ul>{links(5)}</ul></div>'])
+    def plain(within: bool = False) -> str:
+        kinds = [f'<nav data-label="other"><ul>{links(6)}</ul></nav>', f'<aside data-label="other"><h4>{words(1, 3)}</h4><ul>{links(4)}</ul></aside>', f'<aside data-label="other"><p>{paragraph()}</p></aside>', f'<aside data-label="other">{block()}{block()}</aside>', f'<form data-label="other">{block()}</form>', f'<footer data-label="other">{block()}</footer>', f'<header data-label="other">{block()}</header>', f'<form data-label="other"><p>{sentence(2, 8)}</p><input></form>', f'<header data-label="other"><h1>{words(1, 3)}</h1><p>{words(2, 6)}</p></header>', f'<footer data-label="other"><p>&copy; {sentence(3, 10)}</p></footer>', f'<footer data-label="other">&copy; {words(2, 4)} &middot; {sentence(3, 12)}</footer>', f'<div data-label="other"><ul>{links(5)}</ul></div>']
+        return rng.choice([k for k in kinds if not (within and k.startswith("<header"))])  # an article's own header is part of it
+
+    def wrapped(text: str) -> str:
+        """The text within a few plain containers."""
+        for _ in range(rng.choice([0, 0, 0, 0, 1, 2, 4])):
+            tag = rng.choice(["div", "div", "div", "section"])
+            text = f"<{tag}>{text}</{tag}>"
+        return text
 
     def block() -> str:
-        return rng.choices([f"<p>{paragraph()}</p>", f"<p>{words(1, 3)}.</p>", f"<h2>{words(2, 7)}</h2>", f"<ul><li>{sentence()}</li><li>{words(1, 4)}</li><li>{words(1, 4)}</li></ul>", f"<ol><li>{sentence()}</li><li>{words(2, 5)}</li></ol>", f"<blockquote><p>{paragraph()}</p></blockquote>", f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 3)}</td></tr></table>", f"<pre>{words(3, 20)}</pre>", f"<figure><figcaption>{sentence(3, 8)}</figcaption></figure>", f"<dl><dt>{words(1, 2)}</dt><dd>{sentence()}</dd></dl>", f'<p>{sentence()} <a href="/">{words(1, 3)}</a> {sentence()}</p>', f"<section><h3>{words(2, 5)}</h3><p>{paragraph()}</p></section>", f"<div>{paragraph()}</div>"], [12, 3, 3, 2, 2, 1, 1, 1, 1, 1, 2, 1, 1])[0]
+        return rng.choices([f"<p>{paragraph()}</p>", f"<p>{words(1, 3)}.</p>", f"<h2>{words(2, 7)}</h2>", f"<ul><li>{sentence()}</li><li>{words(1, 4)}</li><li>{words(1, 4)}</li></ul>", f"<ol><li>{sentence()}</li><li>{words(2, 5)}</li></ol>", f"<blockquote><p>{paragraph()}</p></blockquote>", f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 3)}</td></tr></table>", f"<pre>{words(3, 20)}</pre>", f"<figure><figcaption>{sentence(3, 8)}</figcaption></figure>", f"<dl><dt>{words(1, 2)}</dt><dd>{sentence()}</dd></dl>", f'<p>{sentence()} <a href="/">{words(1, 3)}</a> {sentence()}</p>', f"<section><h3>{words(2, 5)}</h3><p>{paragraph()}</p></section>", f"<div>{paragraph()}</div>", f'<p><a href="/">{sentence()}</a></p>'], [12, 3, 3, 2, 2, 1, 1, 1, 1, 1, 2, 1, 1, 1])[0]
 
     out = []
     for _ in range(n):
-        body = [f"<h1>{words(2, 9)}{rng.choice(['', '.'])}</h1>"] + [block() for _ in range(rng.choice([1, 3, 6, 12, 25]))]
+        title = f"<h1>{words(2, 9)}{rng.choice(['', '.'])}</h1>"
+        title = rng.choice([title, title, title, f"<header>{title}</header>", f"<header>{title}<p>{sentence(2, 8)}</p></header>"])
+        body = [title] + [wrapped(block()) for _ in range(rng.choice([1, 3, 6, 12, 25]))]
         for _ in range(rng.choice([0, 0, 1, 2])):
-            body.insert(rng.randint(1, len(body)), rng.choice([other, plain])())
+            body.insert(rng.randint(1, len(body)), rng.choice([other, lambda: plain(True)])())
         opened, closed = rng.choice([("<article data-label=content>", "</article>")] * 3 + [("<main data-label=content>", "</main>"), ('<div class="content" data-label=content>', "</div>"), ('<div class="post" data-label=content>', "</div>"), ('<div id="article-body" data-label=content>', "</div>"), ("<main><article data-label=content>", "</article></main>"), ("<div data-label=content>", "</div>")])
-        before = [rng.choice([other, plain])() for _ in range(rng.randint(0, 3))]
-        after = [rng.choice([other, plain])() for _ in range(rng.randint(0, 3))]
+        before = [wrapped(rng.choice([other, plain])()) for _ in range(rng.randint(0, 3))]
+        after = [wrapped(rng.choice([other, plain])()) for _ in range(rng.randint(0, 3))]
         out.append(f"<html><body>{''.join(before)}{opened}{''.join(body)}{closed}{''.join(after)}</body></html>")
     return out
 
 
+@cache
+def trained() -> Model:
+    """The model, fitted once in a process."""
+    return Model(training_pages())
+
+
 def main_text(model: Model, html: str | None) -> str:
     if not html:
         return ""
@@ -298,12 +328,11 @@ def main_text(model: Model, html: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns of ``keep`` and text."""
-    small_batches(pages.sparkSession)
-    model = Model(training_pages())
+    model = trained()
     source = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, len(keep)):
             text = pa.array([main_text(model, h) for h in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], text], [*keep, "text"])
 
