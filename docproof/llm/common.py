@@ -12,8 +12,6 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch; texts may be long, so batches stay small.
-BATCH_ROWS = "1000"
 #: Bytes of text that an operator takes from a batch at a time; a longer text is taken alone.
 BATCH_BYTES = 16 << 20
 #: Only for local sessions that name no shared folder (tests): one folder each, gone when Python ends.
@@ -23,22 +21,17 @@ _TABLES: dict[str, tuple[str | None, str | None]] = {}
 _SCOPES: list[str] = []
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: it holds one Arrow batch of whole texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
-def by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the strings of ``column`` hold BATCH_BYTES or stand alone."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark bounds in bytes, cut so that the strings of ``column`` hold ``most`` bytes or stand alone."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        if batch.nbytes <= BATCH_BYTES:
+        if batch.nbytes <= most:
             yield batch
             continue
         at, held = 0, 0
         for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-            if k > at and held + (n or 0) > BATCH_BYTES:
+            if k > at and held + (n or 0) > most:
                 yield batch.slice(at, k - at)
                 at, held = k, 0
             held += n or 0

@@ -6,6 +6,9 @@ quantiles of its keys); a query goes to the pieces within ``reach`` of its own,
 side, is compared with their vectors in blocks, and the finds of all curves merge and are ranked by exact
 distance.
 
+A piece is asked by a share of all queries: they are dealt in parts of about ``ASKED``, each with a copy of the
+piece. There are ``LEAST_PIECES`` pieces or more, so a window is the same share of the rows at every size.
+
 The window is a share of the rows, since in data without structure (independent directions in 64 dimensions,
 say) neighbours lie hardly closer together on a curve than other rows: a fixed number of rows would lose
 recall as the table grows. So the work is (queries x rows), in matrix products.
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 from docproof.llm.common import stored
 
 #: Curves, axes of each, bits of an axis, bits that part equal cells, share of rows on either side.
-CURVES, AXES, BITS, TIE_BITS, REACH = 8, 4, 12, 5, 0.1
-#: Pieces of a curve at least, where each has LEAST_ROWS; rows of a piece about.
-LEAST_PIECES, LEAST_ROWS, PIECE_ROWS = 24, 64, 16_384
+CURVES, AXES, BITS, TIE_BITS, REACH = 8, 4, 12, 5, 0.12
+#: Pieces of a curve at least, where each has LEAST_ROWS; rows of a piece about; queries that one task compares with a piece.
+LEAST_PIECES, LEAST_ROWS, PIECE_ROWS, ASKED = 100, 8, 16_384, 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -89,7 +92,6 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def nearest(rows: DataFrame, queries=None, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", reach: float = REACH, curves: int = CURVES) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that the condition ``queries`` names (ids divisible by 100)."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     value = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & (F.size(value) > 0) & F.exists(value, lambda v: v != 0)
     sound &= ~F.exists(value, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -133,23 +135,26 @@ def nearest(rows: DataFrame, queries=None, k: int = 10, id_col: str = "vec_id",
     quantiles = keyed.approxQuantile(names, [i / pieces for i in range(1, pieces)], 0.1 / pieces) if pieces > 1 else [[]] * curves  # curves x pieces numbers
     edges = [np.array(q, np.float64) for q in quantiles]
     wide = int(np.ceil(reach * pieces))
+    parts = max(1, -(-keyed.where("asked").count() * (2 * wide + 1) // (pieces * ASKED)))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for c in range(curves):
                 own = np.searchsorted(edges[c], batch[f"k{c}"].to_numpy(np.float64), side="right")
-                yield pd.DataFrame({"curve": c, "piece": own, "entry": batch["entry"], "ids": batch["ids"], "vector": batch["vector"]})
+                for part in range(parts):
+                    yield pd.DataFrame({"curve": c, "piece": own, "part": part, "entry": batch["entry"], "ids": batch["ids"], "vector": batch["vector"]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            part = np.array([int.from_bytes(e[:8], "little") % parts for e in batch["entry"]], np.int64)
             for c in range(curves):
                 own = np.searchsorted(edges[c], batch[f"k{c}"].to_numpy(np.float64), side="right")
                 for d in range(-wide, wide + 1):
                     there = (own + d >= 0) & (own + d < pieces)
-                    yield pd.DataFrame({"q_curve": c, "q_piece": (own + d)[there], "q_entry": batch["entry"][there], "q_vector": batch["vector"][there]})
+                    yield pd.DataFrame({"q_curve": c, "q_piece": (own + d)[there], "q_part": part[there], "q_entry": batch["entry"][there], "q_vector": batch["vector"][there]})
 
-    dealt = keyed.mapInPandas(deal, "curve int, piece int, entry binary, ids array<bigint>, vector binary")
-    asked = keyed.where("asked").mapInPandas(ask, "q_curve int, q_piece int, q_entry binary, q_vector binary")
+    dealt = keyed.mapInPandas(deal, "curve int, piece int, part int, entry binary, ids array<bigint>, vector binary")
+    asked = keyed.where("asked").mapInPandas(ask, "q_curve int, q_piece int, q_part int, q_entry binary, q_vector binary")
 
     def search(_, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -172,7 +177,7 @@ def nearest(rows: DataFrame, queries=None, k: int = 10, id_col: str = "vec_id",
                     out += [(name, names_[i], ids[i], d) for i, d in zip(row[order].tolist(), exact[order].tolist())]
         return pd.DataFrame(out, columns=["query", "entry", "ids", "score"])
 
-    found = asked.groupBy("q_curve", "q_piece").cogroup(dealt.groupBy("curve", "piece")).applyInPandas(search, "query binary, entry binary, ids array<bigint>, score double")
+    found = asked.groupBy("q_curve", "q_piece", "q_part").cogroup(dealt.groupBy("curve", "piece", "part")).applyInPandas(search, "query binary, entry binary, ids array<bigint>, score double")
     once = found.groupBy("query", "entry").agg(F.first("ids").alias("ids"), F.min("score").alias("score"))
     each = once.select("query", "score", F.explode("ids").alias("vec_id"))
     top = each.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docproof.llm.common import path_of, small_batches, stored
+from docproof.llm.common import by_bytes, path_of, stored
 
 #: Words whose ids a Python worker keeps, in two generations.
 TABLE_WORDS = 500_000
@@ -107,14 +107,13 @@ def encode_pieces(
     df: DataFrame, file: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 4096
 ) -> DataFrame:
     """Per piece: id_col, piece, start, length, ids (binary): a document's ids and end_id, cut every ``capacity`` tokens."""
-    small_batches(df.sparkSession)
     file = file or path_of("word_bpe_49k.json")
     size, last = 4 * capacity, end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the table holds many small objects and no cycles
         table = _TABLES.get(file) or _TABLES.setdefault(file, WordTable(file))
-        for batch in batches:
+        for batch in by_bytes(batches, 1, 4 << 20):
             rows, piece, start, ids = [], [], [], []
             for row, text in enumerate(table.encode([t or "" for t in batch.column(1).to_pylist()])):
                 text += last

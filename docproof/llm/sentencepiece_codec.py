@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import path_of, small_batches
+from docproof.llm.common import by_bytes, path_of
 
 MARK = "▁"
 _WORD = re.compile(" +[^ ]*")
@@ -85,7 +85,6 @@ def encode(
     df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True
 ) -> DataFrame:
     """Per row: id_col, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (string)."""
-    small_batches(df.sparkSession)
     model = model or path_of("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +92,7 @@ def encode(
         table = WordTable(model)
         first = table.library.bos_id().to_bytes(4, "little") if begin else b""
         last = table.library.eos_id().to_bytes(4, "little") if end else b""
-        for batch in batches:
+        for batch in by_bytes(batches, 1, 4 << 20):
             done = table.encode([t or "" for t in batch.column(1).to_pylist()])
             ids = [first + i + last for i, _ in done]
             yield pa.RecordBatch.from_arrays(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import path_of, small_batches
+from docproof.llm.common import by_bytes, path_of
 
 MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
@@ -338,13 +338,12 @@ def first_piece(machine: Transducer, text: str) -> str:
 
 def count_tokens(df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Per row: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    small_batches(df.sparkSession)
     model = model or path_of("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tables hold many small objects and no cycles
         counter = Counter(model)
-        for batch in batches:
+        for batch in by_bytes(batches, 2, 4 << 20):
             counts = counter.count([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
