@@ -6,10 +6,13 @@ piece: piece t is last at position i if the piece p that is last at i - len(t) a
 is segmented alone. A state is therefore the longest suffix read that begins some piece, with the last
 pieces and relative counts at the positions inside it; transitions are compiled when first used.
 
-At a run of markers (spaces) every start state leads to the same state, since no piece has a marker after
-another character. The state map of a chunk is so a head (the characters before its first run of markers,
-still depending on the start state) and, behind it, a known count and end state. Such maps compose
-associatively, and a text is the composition of its chunks' maps by a prefix scan.
+A text of over ``CHUNK`` characters is cut into chunks, which are rows of their own and spread over the cluster.
+The state map of a chunk is a head (the characters before its first run of markers), which leads one start
+state to one end state with a count, and behind it a known count and the state of its open last word, since at
+a run of markers every start state leads to the same state. The start state of a head is that after the
+``LEAD`` characters before the chunk. Such maps compose associatively, by a prefix scan over the chunks of a
+text; where the state that arrives is another than the map's, the head is read again from it, so counts are
+exact in any case.
 
 Defined cases: null or empty texts have no tokens; whole texts of any length; equal rows give equal
 counts; an empty table stays empty; other columns, whatever their names, are not read.
@@ -18,8 +21,10 @@ counts; an empty table stays empty; other columns, whatever their names, are not
 from __future__ import annotations
 
 import gc
+import pickle
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,8 @@ MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
 #: Characters in a chunk, states and words that a task keeps; tables are emptied beyond, results stay the same.
 CHUNK, STATES, WORDS = 1 << 16, 150_000, 300_000
+#: Characters before a chunk that its start state is read from.
+LEAD = 64
 
 
 class Transducer:
@@ -270,14 +277,14 @@ class Counter:
             return total - 1 + self.machine.run_tokens(markers)
         return total + self.machine.run_tokens(markers - 1)
 
-    def cut(self, text: str) -> list[str]:
-        """Chunks of a text; none ends inside a run of markers."""
+    def cut(self, text: str) -> list[tuple[str, str]]:
+        """Chunks of a text, each with the characters before it; none ends inside a run of markers."""
         out, at = [], 0
         while at < len(text):
             end = min(len(text), at + self.chunk)
             while end < len(text) and text[end] == " ":
                 end += 1
-            out.append(text[at:end])
+            out.append((text[max(0, at - LEAD) : at], text[at:end]))
             at = end
         return out
 
@@ -289,37 +296,76 @@ class Counter:
         found = _RUN.findall(chunk)
         return chunk[: len(chunk) - sum(map(len, found))], [w[1:] for w in found]
 
+    def read(self, key: tuple, text: str) -> tuple[tuple, int]:
+        """Key of the state after ``text``, and the tokens added."""
+        state, n = self.machine.feed(self.machine.state(key), text)
+        return self.machine.keys[state], n
+
+    def chunk_map(self, lead: str, chunk: str) -> tuple:
+        """((head, start, end, tokens), None or (tokens behind it, last word)); the open last word is (state, tokens, None), or its text where it begins with a marker."""
+        begin = self.machine.keys[self.machine.start()]
+        head, words = self.words(chunk)
+        start = self.read(begin, lead.rsplit(" ", 1)[-1])[0] if head else begin
+        first = (head, start, *self.read(start, head))
+        if not words:
+            return first, None
+        self.learn(set(words[:-1]))
+        known, last = sum(map(self.known.__getitem__, words[:-1])), words[-1]
+        if last[:1] == " ":
+            return first, (known, (None, 0, last))
+        state, n = self.read(begin, last)
+        return first, (known, (state, 1 + n, None))
+
+    def along(self, state: tuple, head: tuple) -> tuple[tuple, int]:
+        """State and tokens after a head that is entered in ``state``."""
+        return head[2:] if head[1] == state else self.read(state, head[0])
+
     def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map (head, tokens behind it, open last word or None) of two neighbouring chunks; associative."""
-        if b[2] is None:
-            return (a[0] + b[0], 0, None) if a[2] is None else (a[0], a[1], a[2] + b[0])
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2]
-        closed = a[2] + b[0]
-        self.learn({closed})
-        return a[0], a[1] + self.known[closed] + b[1], b[2]
+        """The map of two neighbouring chunks; associative."""
+        (head, start, end, n), behind = a
+        if behind is None:
+            to, more = self.along(end, b[0])
+            return (head + b[0][0], start, to, n + more), b[1]
+        tokens, (state, m, text) = behind
+        if text is None:
+            to, more = self.along(state, b[0])
+            last = (to, m + more, None)
+        else:
+            last = (None, 0, text + b[0][0])
+        if b[1] is None:
+            return a[0], (tokens, last)
+        return a[0], (tokens + self.closed(last) + b[1][0], b[1][1])
+
+    def closed(self, last: tuple) -> int:
+        """Tokens of a last word that is over."""
+        if last[2] is None:
+            return last[1]
+        self.learn({last[2]})
+        return self.known[last[2]]
+
+    def total(self, maps: list[tuple]) -> int:
+        """Tokens of a text from the maps of its chunks: neighbours compose, level by level, until one is left."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        tokens, last = maps[0][1]
+        return tokens + self.closed(last)
+
+    def chunks(self, text: str) -> list[tuple[str, str]]:
+        """Chunks of a text as the model reads it."""
+        return self.cut(" " + text.replace(MARK, " ")) if text else []
 
     def count(self, texts: list[str]) -> list[int]:
-        parts = [[self.words(c) for c in self.cut(" " + t.replace(MARK, " "))] if t else [] for t in texts]
-        self.learn({w for chunks in parts for _, words in chunks for w in words})
-        known, out = self.known.__getitem__, []
-        for chunks in parts:
-            if not chunks:
-                out.append(0)
-            elif len(chunks) == 1:
-                out.append(sum(map(known, chunks[0][1])))
-            else:
-                out.append(-1)
-        for i in (i for i, n in enumerate(out) if n < 0):
-            maps = []
-            for head, words in parts[i]:
-                self.learn(set(words))
-                maps.append((head, sum(self.known[w] for w in words[:-1]), words[-1] if words else None))
-            while len(maps) > 1:  # the scan's tree: neighbours compose until one map is left
-                maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-            self.learn({maps[0][2]})
-            out[i] = maps[0][1] + self.known[maps[0][2]]
-        return out
+        parts = [self.chunks(t) for t in texts]
+        short = [self.words(c[0][1])[1] if len(c) == 1 else [] for c in parts]
+        self.learn({w for words in short for w in words})
+        counts = [sum(map(self.known.__getitem__, words)) for words in short]
+        return [self.total([self.chunk_map(*c) for c in own]) if len(own) > 1 else n for own, n in zip(parts, counts)]
+
+
+@cache
+def counter_of(model: str, chunk: int) -> Counter:
+    """A worker's tables, for all tasks that it runs."""
+    return Counter(model, chunk)
 
 
 def first_piece(machine: Transducer, text: str) -> str:
@@ -336,13 +382,13 @@ def first_piece(machine: Transducer, text: str) -> str:
     return history[at]
 
 
-def count_tokens(df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
+def count_tokens(df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk: int = CHUNK) -> DataFrame:
     """Per row: id_col, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     model = model or path_of("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tables hold many small objects and no cycles
-        counter = Counter(model)
+        counter = counter_of(model, CHUNK)
         for batch in by_bytes(batches, 2, 4 << 20):
             counts = counter.count([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
@@ -350,9 +396,39 @@ def count_tokens(df: DataFrame, model: str | None = None, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = df.select(F.col(id_col).alias("key"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    counted = source.mapInArrow(run, f"key {kind}, n_bytes bigint, n_tokens bigint")
+    counted = source.where(F.length("text") < chunk).mapInArrow(run, f"key {kind}, n_bytes bigint, n_tokens bigint")
+    counted = counted.unionByName(_long_texts(source.where(F.length("text") >= chunk), kind, model, chunk))
     return counted.select(F.col("key").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def _long_texts(source: DataFrame, kind: str, model: str, chunk: int) -> DataFrame:
+    """(key, n_bytes, n_tokens) of long texts: chunks are rows, each task maps its own, and the maps of a text compose."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(model, chunk)
+        for batch in by_bytes(batches, 2, 4 << 20):
+            parts = [counter.chunks(t) for t in batch.column(2).to_pylist()]
+            take = pa.array([i for i, own in enumerate(parts) for _ in own], pa.int64())
+            number = pa.array([k for own in parts for k in range(len(own))], pa.int32())
+            texts = [pa.array([c[k] for own in parts for c in own], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), number, *texts], ["key", "n_bytes", "row", "number", "lead", "chunk"])
+
+    def map_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(model, chunk)
+        for batch in by_bytes(batches, 5, 4 << 20):
+            maps = [pickle.dumps(counter.chunk_map(*c)) for c in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(maps, pa.binary())], ["key", "n_bytes", "row", "number", "map"])
+
+    def scan(table: pa.Table) -> pa.Table:
+        maps = table.sort_by("number").column("map").to_pylist()
+        total = counter_of(model, chunk).total([pickle.loads(m) for m in maps])
+        return table.slice(0, 1).select(["key", "n_bytes"]).append_column("n_tokens", pa.array([total], pa.int64()))
+
+    rows = source.withColumn("row", F.monotonically_increasing_id())
+    parts = rows.mapInArrow(cut, f"key {kind}, n_bytes bigint, row bigint, number int, lead string, chunk string")
+    maps = parts.repartition("row", "number").mapInArrow(map_, f"key {kind}, n_bytes bigint, row bigint, number int, map binary")
+    return maps.groupBy("row").applyInArrow(scan, f"key {kind}, n_bytes bigint, n_tokens bigint")
+
+
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from docproof.llm import curve_search, html_extraction, packing, quality, url_filters
+from docproof.llm import curve_search, html_extraction, packing, quality, token_counts, url_filters
 from docproof.llm.common import path_of
 from test_operators import linked_by_brute_force, outside
 
@@ -194,3 +194,35 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_token_counts_over_chunks(spark):
+    """Texts cut into chunks of 50 characters, with and without spaces, count as the library counts them."""
+    import sentencepiece
+
+    rng = random.Random(24)
+    texts = ["".join(rng.choice(of) for _ in range(rng.randint(0, 400))) for of in ("abcdefghinorst", "abt he in▁g日 ", "the and of  ", "日本語éß", "  a") for _ in range(12)] + [None, "", " " * 300, "x" * 5000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, row string").repartition(4)
+    library = sentencepiece.SentencePieceProcessor(model_file=path_of("piece_bpe_32k.model"))
+    got = sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, chunk=50).collect())
+    assert got == sorted([(i, len(library.encode(t or ""))) for i, t in enumerate(texts)] + [(0, len(library.encode(texts[0])))])
+
+
+def test_chunk_maps_compose_in_any_grouping():
+    rng = random.Random(25)
+    counter = token_counts.Counter(path_of("piece_bpe_32k.model"), chunk=9)
+    for _ in range(40):
+        maps = [counter.chunk_map(*c) for c in counter.chunks("".join(rng.choice("abt the in  ") for _ in range(80)))]
+        while len(maps) > 2:
+            k = rng.randrange(len(maps) - 1)
+            other = counter.total(maps)
+            maps[k : k + 2] = [counter.compose(*maps[k : k + 2])]
+            assert counter.total(maps) == other
+
+
+def test_chunk_maps_from_another_state():
+    """A head whose map begins in another state is read again."""
+    counter = token_counts.Counter(path_of("piece_bpe_32k.model"), chunk=5)
+    text = "internationalisation of the misunderstandings"
+    maps = [counter.chunk_map("", c) for _, c in counter.chunks(text)]
+    assert counter.total(maps) == counter.count([text])[0]
