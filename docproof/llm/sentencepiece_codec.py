@@ -3,7 +3,7 @@
 The model's normaliser writes every space as the marker U+2581 and puts one marker before the text.
 Where no piece has a marker after another character, no merge crosses the start of a run of markers, so
 a text is the concatenation of *marked words* (a run of markers and what follows up to the next run),
-each of which has the same ids wherever it stands. Each task segments a distinct marked word once,
+each of which has the same ids wherever it stands. Each worker segments a distinct marked word once,
 with the library, and joins the ids back by position; decoding goes through the same table.
 
 Defined cases: a null or empty text has the ids [begin, end] (or none) and decodes to ''; texts of any
@@ -26,12 +26,12 @@ from docproof.llm.common import by_bytes, path_of
 
 MARK = "▁"
 _WORD = re.compile(" +[^ ]*")
-#: A task's table is emptied beyond so many words, which bounds its memory; words seen again are segmented anew.
+#: A worker's table is emptied beyond so many words, which bounds its memory; words seen again are segmented anew.
 TABLE_WORDS = 300_000
 
 
 class WordTable:
-    """Ids (little-endian unsigned 32-bit) and decoded text of each distinct marked word seen by a task."""
+    """Ids (little-endian unsigned 32-bit) and decoded text of each distinct marked word that a worker has seen."""
 
     def __init__(self, model: str, most: int = TABLE_WORDS):
         import sentencepiece
@@ -81,6 +81,10 @@ class WordTable:
         return [(b"".join(map(ids, words)), "".join(map(back, words))[1:]) for words in marked]
 
 
+#: A worker's tables, by model, for all tasks that it runs.
+_TABLES: dict[str, WordTable] = {}
+
+
 def encode(
     df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True
 ) -> DataFrame:
@@ -89,7 +93,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tables hold many small objects and no cycles
-        table = WordTable(model)
+        table = _TABLES.get(model) or _TABLES.setdefault(model, WordTable(model))
         first = table.library.bos_id().to_bytes(4, "little") if begin else b""
         last = table.library.eos_id().to_bytes(4, "little") if end else b""
         for batch in by_bytes(batches, 1, 4 << 20):
