@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.functions import text as T
-from docproof.operators import comparison, extraction, layout, warning
+from docproof.operators import comparison, extraction, layout, pixels, warning
 from docproof.plans.label_data import LINES, applications, for_duckdb, label_lines, lines_of_applications, warning_texts
 from docproof.sources import manifest
 
@@ -332,3 +332,46 @@ def batch_progress(spark, sf_dir):
     status = F.element_at(F.array(*map(F.lit, ("match", "error", "processing", "ready"))), (F.col("event_id") % 4 + 1).cast("int"))
     batch = F.element_at(F.array(*map(F.lit, "abc")), (F.col("user_id") % 3 + 1).cast("int"))
     return comparison.progress(_read(spark, sf_dir, "events").select(batch.alias("batch"), status.alias("status")), ["batch"])
+
+
+def _pixels(spark, sf_dir) -> DataFrame:
+    """An embedding as a crop of 8 x 8 gray pixels."""
+    each = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("crop"), F.posexplode("embedding").alias("at", "v"))
+    level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("v").cast("double") + 4) * 32).cast("int")))
+    return each.select("crop", (F.col("at") % 8).alias("x"), F.floor(F.col("at") / 8).cast("int").alias("y"), level.alias("level"))
+
+
+_PIXELS = """
+with e as (select vec_id as crop, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings),
+px as (select crop, i % 8 as x, i // 8 as y, least(255, greatest(0, floor((v::double + 4) * 32)::int)) as level from e),
+h as (select crop, level, count(*) as c from px group by crop, level),
+s as (select crop, level, sum(c) over (partition by crop order by level) as w, sum(level * c) over (partition by crop order by level) as s, sum(c) over (partition by crop) as n, sum(level * c) over (partition by crop) as t from h),
+o as (select crop, coalesce(first(level order by v desc nulls last, level) filter (v is not null), 127) as threshold from (
+  select *, case when w < n then w::double * (n::double - w::double) * (s::double / w::double - (t::double - s::double) / (n::double - w::double)) * (s::double / w::double - (t::double - s::double) / (n::double - w::double)) end as v from s) group by crop)"""
+
+
+@query(f"{_PIXELS} select crop, threshold from o")
+def otsu_thresholds(spark, sf_dir):
+    return pixels.otsu(_pixels(spark, sf_dir))
+
+
+@query(f"{_PIXELS} select crop, min(case when w > 0.1 * n then level end) as p10, min(case when w > 0.9 * n then level end) as p90 from s group by crop")
+def level_percentiles(spark, sf_dir):
+    return pixels.percentiles(_pixels(spark, sf_dir), 0.1, 0.9)
+
+
+_MASK = f"""{_PIXELS},
+d as (select crop, x, y, level, level <= threshold as dark from px join o using (crop)),
+m as (select crop, x, y, level, dark = (2 * count(*) filter (dark) over (partition by crop) <= count(*) over (partition by crop)) as lit from d),
+g as (select *, coalesce(lag(lit) over r, false) as a, coalesce(lead(lit) over r, false) as b, coalesce(lag(lit) over c, false) as e, coalesce(lead(lit) over c, false) as f from m window r as (partition by crop, y order by x), c as (partition by crop, x order by y))"""
+
+
+@query(f"{_MASK} select crop, count(*) filter (lit) as area, count(*) as n, sum(case when lit then (not a)::int + (not b)::int + (not e)::int + (not f)::int else 0 end)::bigint as perimeter from g group by crop")
+def mask_perimeters(spark, sf_dir):
+    return pixels.perimeters(pixels.ink(_pixels(spark, sf_dir)))
+
+
+@query(f"{_MASK} select crop, count(*) as n, round(abs(avg(case when lit then level end) - avg(case when not lit then level end)) / 255, 6) as contrast, round(stddev_pop(case when not lit then level end), 6) as background_std from m group by crop")
+def tones(spark, sf_dir):
+    """Distance of ink and background, and how calm the background is."""
+    return pixels.tones(_pixels(spark, sf_dir)).select("crop", "n", F.round("contrast", 6).alias("contrast"), F.round("background_std", 6).alias("background_std"))

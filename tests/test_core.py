@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docproof import streaming
 from docproof.functions import text as T
-from docproof.operators import comparison, extraction, layout, refinement, warning
+from docproof.operators import comparison, extraction, layout, pixels, refinement, warning
 from docproof.plans.label_data import CLAUSES, HEADING
 from docproof.sources import manifest, records
 
@@ -232,3 +232,26 @@ def test_queue(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("status = 'rejected'").first().error == "ZeroDivisionError"
     states = spark.createDataFrame([("a", 1, "ready"), ("a", 2, "error"), ("b", 1, "ready"), ("c", 1, "match")], "item_id string, at int, status string")
     assert [r.item_id for r in streaming.to_run(states).collect()] == ["b"] and [r.item_id for r in streaming.to_run(states, retry=True).collect()] == ["a"]
+
+
+def test_weight_and_contrast(spark):
+    """Bars of two and of four pixels on white: the second is the heavier one; faint bars say nothing."""
+
+    def bars(crop, width, dark):
+        return [(crop, x, y, dark if 4 <= x < 4 + width else 255) for y in range(16) for x in range(16)]
+
+    rows = [p for k in range(3) for p in bars(f"h{k}", 4, 0)] + [p for k in range(3) for p in bars(f"b{k}", 2, 0)] + bars("f0", 4, 220)
+    crops = spark.createDataFrame(rows, "crop string, x int, y int, level int")
+    named = spark.createDataFrame([(c, 1, c[0] == "h", 16, 16) for c in ("h0", "h1", "h2", "b0", "b1", "b2", "f0")], "crop string, doc_id int, heading boolean, width int, height int")
+    by = {r.heading: r for r in pixels.weights(crops, named).collect()}
+    assert by[True].stroke == 2 * 64 / 40 and by[False].stroke == 2 * 32 / 36
+    both = spark.createDataFrame([((3.2, 16.0), (1.8, 16.0)), ((1.0, 16.0), (1.8, 16.0)), ((1.8, 16.0), (1.8, 16.0)), ((3.2, 8.0), (1.8, 16.0))], "h struct<stroke:double,height:double>, b struct<stroke:double,height:double>")
+    assert [r[0] for r in both.select(pixels.weight_status(F.col("h"), F.col("b"))).collect()] == ["match", "mismatch", "review", "review"]
+    tone = pixels.tones(crops.where("crop = 'h0'")).first()
+    assert (tone.contrast, tone.background_std) == (1.0, 0.0)
+    cases = [(0.1, 5.0, 900, 0.9, 9, 0.9, 5), (0.5, 5.0, 900, 0.7, 9, 0.5, 90), (0.5, 50.0, 900, 0.9, 9, 0.6, 10), (0.5, 50.0, 900, 0.8, 9, 0.6, 10), (0.5, 5.0, 400, 0.9, 9, 0.6, 10), (0.5, 5.0, 900, 0.9, 3, 0.6, 10)]
+    data = spark.createDataFrame(cases, "a double, b double, c int, d double, e int, f double, g int")
+    assert [r[0] for r in data.select(pixels.contrast_status(*(F.col(c) for c in "abcdefg"))).collect()] == ["mismatch", "match", "match", "review", "review", "review"]
+    strips = spark.createDataFrame([(c, side, x, 0, 250) for c in ("h0", "h1") for side in (0, 1) for x in range(9)], "crop string, side int, x int, y int, level int")
+    word = pixels.word_tones(crops, strips, named).first()
+    assert (word.n_words, word.lower_contrast, word.upper_spread) == (2, 1.0, 0)
