@@ -159,11 +159,11 @@ def ablation(ledgered: DataFrame, version: str = "v1") -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, version: str = "v1") -> DataFrame:
+def keep_good(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
     """The documents that a policy keeps, with their columns. The rules are evaluated in the same pass, without a join."""
     names = docs.columns
     wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    kept = apply_policy(ledger(wrapped.select(F.col("_row").alias("_row"), F.col("_row.text").alias("_t")), "_row", "_t"), version)
+    kept = apply_policy(ledger(wrapped.select(F.col("_row").alias("_row"), F.col(f"_row.`{text_col}`").alias("_t")), "_row", "_t"), version)
     return kept.where("kept").select(*(F.col(f"_row.`{c}`").alias(c) for c in names))
 
 
