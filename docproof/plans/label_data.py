@@ -57,7 +57,7 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of_applications(applications(spark, sf_dir))
 
 
-def warning_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): the whole text of every label, the warning last."""
-    every = [*LINES.values(), WARNING_TEXT]
+def warning_texts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """(doc_id, text): the whole text of every label, the warning last, or the warning alone."""
+    every = [*LINES.values(), WARNING_TEXT] if whole else [WARNING_TEXT]
     return applications(spark, sf_dir).select("doc_id", F.concat_ws("\n", *(F.expr(t) for t in every)).alias("text"))

@@ -375,3 +375,37 @@ def mask_perimeters(spark, sf_dir):
 def tones(spark, sf_dir):
     """Distance of ink and background, and how calm the background is."""
     return pixels.tones(_pixels(spark, sf_dir)).select("crop", "n", F.round("contrast", 6).alias("contrast"), F.round("background_std", 6).alias("background_std"))
+
+
+_BOXES = "with w as (select l_orderkey as doc_id, l_returnflag as line, l_linenumber * 1000000 + l_partkey as ordinal, cast(l_partkey % 1000 as int) as x, l_linenumber * 40 as y, cast(l_quantity as int) as width, cast(l_suppkey % 50 + 10 as int) as height from lineitem)"
+
+
+@query(f"""{_BOXES} select a.doc_id, round(min(sqrt(power(greatest(a.x - (b.x + b.width), b.x - (a.x + a.width), 0), 2) + power(greatest(a.y - (b.y + b.height), b.y - (a.y + a.height), 0), 2))), 6) as distance
+from (select * from w semi join (select * from w where line = 'R') r using (doc_id, ordinal)) a join (select * from w anti join (select * from w where line = 'R') r using (doc_id, ordinal)) b on a.doc_id = b.doc_id group by a.doc_id""")
+def nearest_boxes(spark, sf_dir):
+    """The gap between the words of a region and all other words."""
+    words = _words(spark, sf_dir)
+    near = layout.nearest_other(words, words.where("line = 'R'").select("doc_id", "ordinal"))
+    return near.select("doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""{_BOXES} select doc_id, ordinal from w where not (doc_id % 2 = 0 and (
+  (x + width / 2.0 between 200 and 700 and y + height / 2.0 between 50 and 170)
+  or greatest(least(x + width, 700) - greatest(x, 200), 0) * greatest(least(y + height, 170) - greatest(y, 50), 0) >= 0.35 * width * height))""")
+def words_outside_regions(spark, sf_dir):
+    """Words that no excluded region of their page covers."""
+    words = _words(spark, sf_dir)
+    region = F.struct(F.lit(200).alias("left"), F.lit(50).alias("top"), F.lit(500).alias("width"), F.lit(120).alias("height"))
+    regions = words.where("doc_id % 2 = 0").select("doc_id").distinct().select(F.col("doc_id").alias("_doc"), region.alias("_region"))
+    covered = (F.col("_doc") == F.col("doc_id")) & T.overlaps(F.struct("left", "top", "width", "height"), F.col("_region"))
+    return words.join(regions, covered, "left_anti").select("doc_id", "ordinal")
+
+
+_AT = "(select min(i) - 1 from (select unnest(generate_series(1, len(t) - 1)) as i) where t[i] = 'surgeon' and t[i + 1] = 'general')"
+
+
+@query(for_duckdb(f", k as (select doc_id, regexp_extract_all(lower(coalesce(w, '')), '[a-z0-9]+') as t from warnings) select doc_id, coalesce({_AT}, -1)::int as at, len(t)::bigint as n_tokens from k"))
+def anchor_places(spark, sf_dir):
+    """Where a phrase of two words stands in the statement."""
+    words = warning_texts(spark, sf_dir, whole=False).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.coalesce(T.phrase_index(F.col("w"), ["surgeon", "general"]).cast("int"), F.lit(-1)).alias("at"), F.size("w").cast("bigint").alias("n_tokens"))
