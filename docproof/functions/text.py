@@ -75,9 +75,14 @@ def text_key(text: Column) -> Column:
     return key_of_folded(folded(text))
 
 
+def _map(pairs: dict[str, str]) -> Column:
+    """One constant, which is folded once."""
+    return F.str_to_map(F.lit(";".join(f"{k}:{v}" for k, v in pairs.items())), F.lit(";"), F.lit(":"))
+
+
 def state_codes(key: Column) -> Column:
     """A key with state names as codes: as words are read, the longest name that they end with becomes its code."""
-    codes = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
+    codes = _map(STATES)
 
     def read(done: Column, word: Column) -> Column:
         def named(n: int) -> tuple[Column, Column]:
@@ -95,7 +100,7 @@ def address_key(text: Column) -> Column:
 
 
 def country_of_key(key: Column) -> Column:
-    names = F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))
+    names = _map(COUNTRIES)
     return F.coalesce(F.try_element_at(names, key), key)
 
 
