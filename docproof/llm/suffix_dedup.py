@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from docproof.llm.common import by_bytes, laid_out, stored
 
 #: Bytes of the anchoring k-gram; distinct contexts of an anchor that one task takes; bytes of one transform.
-GRAM, MOST_CONTEXTS, TRANSFORM_BYTES = 32, 1000, 1 << 20
+GRAM, MOST_CONTEXTS, TRANSFORM_BYTES = 32, 1000, 1 << 17
 #: Places relative to the anchor in one block, by round of dealing out.
 BLOCKS = (48, 6, 1)
 _BASE = 0x9E3779B97F4A7C15
