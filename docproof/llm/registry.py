@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docproof.llm import curve_search, html_extraction, jaccard_join, line_dedup, packing, quality, sentencepiece_codec, suffix_dedup, token_counts, url_filters
+from docproof.llm import curve_search, fill_middle, html_extraction, jaccard_join, line_dedup, packing, personal_data, quality, sentencepiece_codec, suffix_dedup, token_alignment, token_counts, url_filters
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_personal_data": personal_data.op13_personal_data,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op8_quality_rules": quality.ORACLE_SQL}
