@@ -22,6 +22,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 from docproof.llm.common import by_bytes, laid_out, path_of
 
 #: Bytes of text of a block, about, and code points of a slice of a long text.
-BLOCK_BYTES, SLICE = 16 << 20, 2 << 20
+BLOCK_BYTES, SLICE = 8 << 20, 1 << 20
 #: A worker's table is emptied beyond so many words or characters.
-TABLE_WORDS, TABLE_CHARS = 400_000, 32 << 20
+TABLE_WORDS, TABLE_CHARS = 250_000, 16 << 20
+#: Words that are aligned at a time.
+PART = 30_000
 #: (document, pair) entries that a block holds before equal ones are added up.
-ENTRIES = 6_000_000
+ENTRIES = 2_000_000
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARK = "▁"
@@ -117,6 +120,8 @@ class WordTable:
     def __init__(self, first: str, second: str):
         self.a, self.b = ByteSide(first), PieceSide(second)
         self.splits = self.a.splits and self.b.splits
+        self.widths = [np.fromiter(map(len, side.bytes), np.int64, side.size) for side in (self.a, self.b)]
+        self.names = list(map(str, range(max(self.a.size, self.b.size))))
         self.clear()
 
     def clear(self) -> None:
@@ -150,27 +155,27 @@ class WordTable:
         if len(self.index) + len(new) > TABLE_WORDS or self.chars > TABLE_CHARS:
             self.clear()
             new = list(words)
-        if not new:
-            return
+        for at in range(0, len(new), PART):
+            self._learn(new[at : at + PART])
+
+    def _learn(self, new: list[str]) -> None:
         coded_a, coded_b = self.a.encode([" " + w for w in new]), self.b.encode(new)
         bytes_a, bytes_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
         ends = []
         for k, w in enumerate(new):
             own = (" " + w).encode()
-            if b"".join(map(bytes_a, coded_a[k])) == own and b"".join(map(bytes_b, coded_b[k])) == own:
+            if b"".join(map(bytes_a, coded_a[k])) == own == b"".join(map(bytes_b, coded_b[k])):
                 ends.append(len(own))
             else:
                 coded_a[k], coded_b[k] = [], []
                 ends.append(0)
-        for k, w in enumerate(new, len(self.index)):
-            self.index[w] = k
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.chars += sum(map(len, new))
         self._align(coded_a, coded_b, np.cumsum(ends))
 
     def _align(self, coded_a: list[list[int]], coded_b: list[list[int]], word_ends: np.ndarray) -> None:
-        ids_a, ids_b = (np.fromiter((i for ids in coded for i in ids), np.int64) for coded in (coded_a, coded_b))
-        width = [np.fromiter(map(len, side.bytes), np.int64, side.size) for side in (self.a, self.b)]
-        ends_a, ends_b = np.cumsum(width[0][ids_a]), np.cumsum(width[1][ids_b])
+        ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(coded), np.int64) for coded in (coded_a, coded_b))
+        ends_a, ends_b = np.cumsum(self.widths[0][ids_a]), np.cumsum(self.widths[1][ids_b])
         owner_a, owner_b, group = elementary(ends_a, ends_b)
         group_a, group_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
         group_a[owner_a], group_b[owner_b] = group, group
@@ -193,7 +198,7 @@ class WordTable:
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(per_word)))
         self.pairs, self.links = np.concatenate((self.pairs, pairs)), np.concatenate((self.links, times))
         self.stats = np.concatenate((self.stats, np.stack([*counted, links], axis=1)))
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        text_a, text_b = list(map(self.names.__getitem__, ids_a.tolist())), list(map(self.names.__getitem__, ids_b.tolist()))
         to_a, to_b = np.cumsum(each_a).tolist(), np.cumsum(each_b).tolist()
         shown, i, j = [], 0, 0
         for x, y in zip(to_a, to_b):
@@ -294,7 +299,7 @@ def groups(docs: DataFrame, first: str | None = None, second: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(first, second)
-        for batch in by_bytes(batches, 1, 4 << 20):
+        for batch in by_bytes(batches, 1, 2 << 20):
             said: list[list | None] = [[] for _ in range(len(batch))]
             for owners, portions in _read(table, batch.column(1).to_pylist()):
                 for k, words in zip(owners, portions):
@@ -313,7 +318,7 @@ def blocks(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", tex
         table, number = _table(first, second), TaskContext.get().partitionId() << 32
         space = table.a.size * table.b.size
         block, kind = Block(space), None
-        for batch in by_bytes(batches, 1, 4 << 20):
+        for batch in by_bytes(batches, 1, 2 << 20):
             kind = batch.column(0).type
             texts, base = batch.column(1).to_pylist(), len(block.ids)
             block.ids += batch.column(0).to_pylist()
