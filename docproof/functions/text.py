@@ -228,7 +228,7 @@ def corners(box: Column) -> Column:
 
 def same_region(a: Column, b: Column) -> Column:
     """Whether two boxes (left, top, width, height, panel_id) are shown together: one panel, centres within 1.5 heights."""
-    return (a.panel_id == b.panel_id) & (F.abs((a.top + a.height / 2) - (b.top + b.height / 2)) <= 1.5 * F.greatest(a.height, b.height))
+    return a.panel_id.eqNullSafe(b.panel_id) & (F.abs((a.top + a.height / 2) - (b.top + b.height / 2)) <= 1.5 * F.greatest(a.height, b.height))
 
 
 def ocr_word(word: Column) -> Column:

@@ -135,7 +135,7 @@ def _any(text: Column, patterns: list[str]) -> Column:
 def _neighbours(a: Column, b: Column, above: float, below: float, aside: Column, share: float, height: Column) -> Column:
     """Whether line b stands under line a in its panel, with a gap of -above to below heights and ``aside`` within a share of the width."""
     gap = b.top - (a.top + a.height)
-    fit = (a.panel_id == b.panel_id) & (gap >= -above * height) & (gap <= below * height) & (aside <= share * F.greatest(a.width, b.width))
+    fit = a.panel_id.eqNullSafe(b.panel_id) & (gap >= -above * height) & (gap <= below * height) & (aside <= share * F.greatest(a.width, b.width))
     return F.coalesce(fit, F.lit(False))
 
 
@@ -199,7 +199,7 @@ def _addresses(l: Column, n1: Column, n2: Column, n3: Column, takes: Column, box
     def gap(b: Column) -> Column:
         return b.top - (l.top + l.height)
 
-    near = F.filter(boxed, lambda b: (b.line_number >= first) & (b.panel_id == l.panel_id) & (gap(b) >= -l.height) & (gap(b) <= F.greatest(height * 7, F.coalesce(l.image_height, F.lit(0.0)) * 0.12)))
+    near = F.filter(boxed, lambda b: (b.line_number >= first) & b.panel_id.eqNullSafe(l.panel_id) & (gap(b) >= -l.height) & (gap(b) <= F.greatest(height * 7, F.coalesce(l.image_height, F.lit(0.0)) * 0.12)))
     least = F.array_min(F.transform(near, lambda b: F.abs(gap(b))))
     close = F.filter(near, lambda b: F.abs(gap(b)) <= least + F.greatest(height, F.lit(20.0)) * 2)
     ordered = F.transform(F.array_sort(F.transform(close, lambda b: F.struct(F.abs(gap(b)).alias("d"), b.line_number.alias("line_number"), b.text.alias("text")))), lambda b: F.struct(b.text.alias("text"), b.line_number.alias("line_number")))
@@ -271,7 +271,7 @@ def first_of_each(candidates: DataFrame) -> DataFrame:
 
 
 def best_brands(candidates: DataFrame, most: int = 3, within: float = 0.35) -> DataFrame:
-    """The brands of the highest scores; where any has a box, only those within a distance of the best."""
+    """The brands of the highest scores; where any has a box, only those within a distance of the best. Adds place, a candidate's order within its field."""
     brand, doc = F.col("field") == "brand_name", Window.partitionBy("doc_id", "field")
-    ranked = candidates.select("*", F.row_number().over(doc.orderBy(F.desc("score"), "line_number")).alias("_r"), F.max("score").over(doc).alias("_best"), F.bool_or("boxed").over(doc).alias("_boxed"))
-    return ranked.where(~brand | ((F.col("_r") <= most) & (~F.col("_boxed") | (F.col("score") >= F.col("_best") - within)))).drop("_r", "_best", "_boxed", "score", "boxed", "ordinal")
+    ranked = candidates.select("*", F.row_number().over(doc.orderBy(F.desc("score"), "line_number", "ordinal")).alias("place"), F.max("score").over(doc).alias("_best"), F.bool_or("boxed").over(doc).alias("_boxed"))
+    return ranked.where(~brand | ((F.col("place") <= most) & (~F.col("_boxed") | (F.col("score") >= F.col("_best") - within)))).drop("_best", "_boxed", "score", "boxed", "ordinal")

@@ -218,13 +218,13 @@ def _words(spark, sf_dir):
     """Word boxes: an order is a page, its rows with one return flag a line."""
     one = F.lit(1)
     return _read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), one.alias("page"), one.alias("block"), one.alias("paragraph"), F.col("l_returnflag").alias("line"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"),
+        F.col("l_orderkey").alias("doc_id"), one.alias("page"), one.alias("block"), one.alias("paragraph"), F.col("l_returnflag").alias("line"), ((F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("ordinal"),
         (F.col("l_partkey") % 1000).cast("int").alias("left"), (F.col("l_linenumber") * 40).alias("top"), F.col("l_quantity").cast("int").alias("width"), (F.col("l_suppkey") % 50 + 10).cast("int").alias("height"), F.col("l_discount").alias("confidence"), F.col("l_shipdate").cast("string").alias("text"),
     )
 
 
 _SEGMENTS = """
-with w as (select l_orderkey as doc_id, l_returnflag as line, l_linenumber * 1000000 + l_partkey as ordinal, cast(l_partkey % 1000 as int) as x, l_linenumber * 40 as y, cast(l_quantity as int) as width, cast(l_suppkey % 50 + 10 as int) as height from lineitem),
+with w as (select l_orderkey as doc_id, l_returnflag as line, (l_linenumber::bigint * 1000000 + l_partkey) * 100000 + l_suppkey as ordinal, cast(l_partkey % 1000 as int) as x, l_linenumber * 40 as y, cast(l_quantity as int) as width, cast(l_suppkey % 50 + 10 as int) as height from lineitem),
 h as (select *, median(height) over (partition by doc_id, line) as mh, x - lag(x + width) over (partition by doc_id, line order by x, ordinal) as gap from w),
 s as (select *, sum(case when gap > greatest(3.5 * mh, 80) then 1 else 0 end) over (partition by doc_id, line order by x, ordinal) as segment from h)
 select doc_id, line, segment::bigint as segment, min(x) as "left", min(y) as top, (max(x + width) - min(x)) as width, (max(y + height) - min(y)) as height, median(height) as median_height, count(*) as n_words from s group by doc_id, line, segment"""
@@ -240,10 +240,10 @@ def line_segments(spark, sf_dir):
 _PANELS = _SEGMENTS[: _SEGMENTS.rindex("select doc_id, line, segment::bigint")] + """,
 g as (select doc_id, line, segment::bigint as segment, min(x) as "left", min(y) as top, max(x + width) - min(x) as width, min(ordinal) as first from s group by doc_id, line, segment),
 m as (select *, count(*) over (partition by doc_id) as n, row_number() over l as pos, "left" - lag("left") over l as gap,
-  quantile_cont("left" + width, 0.5) over (partition by doc_id order by "left", first rows between unbounded preceding and 1 preceding) as r, quantile_cont("left", 0.5) over (partition by doc_id order by "left", first rows between current row and unbounded following) as f
-  from g window l as (partition by doc_id order by "left", first)),
-p as (select *, case when n >= 4 then sum(case when gap >= 120 and pos > 2 and pos <= n - 1 and r <= f + 50 then 1 else 0 end) over (partition by doc_id order by "left", first) end::int as panel_id from m)
-select doc_id, line, segment, coalesce(panel_id, -1) as panel_id, (row_number() over (partition by doc_id order by panel_id nulls last, top, "left", first))::int as sequence_number from p"""
+  quantile_cont("left" + width, 0.5) over (partition by doc_id order by "left", first, line, segment rows between unbounded preceding and 1 preceding) as r, quantile_cont("left", 0.5) over (partition by doc_id order by "left", first, line, segment rows between current row and unbounded following) as f
+  from g window l as (partition by doc_id order by "left", first, line, segment)),
+p as (select *, case when n >= 4 then sum(case when gap >= 120 and pos > 2 and pos <= n - 1 and r <= f + 50 then 1 else 0 end) over (partition by doc_id order by "left", first, line, segment) end::int as panel_id from m)
+select doc_id, line, segment, coalesce(panel_id, -1) as panel_id, (row_number() over (partition by doc_id order by panel_id nulls last, top, "left", first, line, segment))::int as sequence_number from p"""
 
 
 @query(_PANELS)
@@ -377,13 +377,14 @@ def tones(spark, sf_dir):
     return pixels.tones(_pixels(spark, sf_dir)).select("crop", "n", F.round("contrast", 6).alias("contrast"), F.round("background_std", 6).alias("background_std"))
 
 
-_BOXES = "with w as (select l_orderkey as doc_id, l_returnflag as line, l_linenumber * 1000000 + l_partkey as ordinal, cast(l_partkey % 1000 as int) as x, l_linenumber * 40 as y, cast(l_quantity as int) as width, cast(l_suppkey % 50 + 10 as int) as height from lineitem)"
+_BOXES = "with w as (select l_orderkey as doc_id, l_returnflag as line, (l_linenumber::bigint * 1000000 + l_partkey) * 100000 + l_suppkey as ordinal, cast(l_partkey % 1000 as int) as x, l_linenumber * 40 as y, cast(l_quantity as int) as width, cast(l_suppkey % 50 + 10 as int) as height from lineitem)"
 
 
-@query(f"""{_BOXES} select a.doc_id, round(min(sqrt(power(greatest(a.x - (b.x + b.width), b.x - (a.x + a.width), 0), 2) + power(greatest(a.y - (b.y + b.height), b.y - (a.y + a.height), 0), 2))), 6) as distance
-from (select * from w semi join (select * from w where line = 'R') r using (doc_id, ordinal)) a join (select * from w anti join (select * from w where line = 'R') r using (doc_id, ordinal)) b on a.doc_id = b.doc_id group by a.doc_id""")
+@query(f"""{_BOXES}, r as (select doc_id, min(x) as x, min(y) as y, max(x + width) as x2, max(y + height) as y2 from w where line = 'R' group by doc_id)
+select r.doc_id, round(min(sqrt(power(greatest(r.x - (b.x + b.width), b.x - r.x2, 0), 2) + power(greatest(r.y - (b.y + b.height), b.y - r.y2, 0), 2))), 6) as distance
+from r left join (select * from w where line <> 'R') b on b.doc_id = r.doc_id group by r.doc_id""")
 def nearest_boxes(spark, sf_dir):
-    """The gap between the words of a region and all other words."""
+    """The gap between the box around a region and the nearest other word."""
     words = _words(spark, sf_dir)
     near = layout.nearest_other(words, words.where("line = 'R'").select("doc_id", "ordinal"))
     return near.select("doc_id", F.round("distance", 6).alias("distance"))

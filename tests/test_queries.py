@@ -1,12 +1,14 @@
 """Every query against its DuckDB SQL."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
 
 from docproof.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
