@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ BATCH_BYTES = 16 << 20
 _OWN_FOLDERS: dict[str, str] = {}
 #: Tables that this process has stored and not released, by path: the catalog's name, or None, and the scope.
 _TABLES: dict[str, tuple[str | None, str | None]] = {}
-_SCOPES: list[str] = []
+#: Scopes that are open in this thread, the innermost last.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -39,13 +41,16 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_B
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, else that of setCheckpointDir; a local session without one gets a temporary folder, a cluster the warehouse."""
+    """The folder in spark.checkpoint.dir, else that of setCheckpointDir; a local session without one gets a temporary folder, a cluster the warehouse if executors share it."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tables"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        return f"{warehouse}/tables"
     app = context.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-")
@@ -56,15 +61,15 @@ def shared_folder(spark: SparkSession) -> str:
 @contextmanager
 def scope(name: str) -> Iterator[None]:
     """Tables stored within belong to ``name``, for ``release``."""
-    _SCOPES.append(name)
+    before = _SCOPES.set((*_SCOPES.get(), name))
     try:
         yield
     finally:
-        _SCOPES.pop()
+        _SCOPES.reset(before)
 
 
 def _remember(path: str, table: str | None) -> None:
-    _TABLES[path] = table, _SCOPES[-1] if _SCOPES else None
+    _TABLES[path] = table, _SCOPES.get()[-1] if _SCOPES.get() else None
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,9 @@ edge passes its parent's label on, at any depth. Messages go up from the leaves
 is kept. Potentials are smoothed relative frequencies of labelled pages: a fixed set, built below from page
 layouts, of ``TRAINING_PAGES`` pages.
 
+Class names are evidence only where they name a kind of block and nothing else, and blocks of the article bear such
+words among others in training, as do furniture blocks without any.
+
 Defined cases: null or empty html has an empty text; broken markup is closed as browsers do for paragraphs,
 lists and tables; pages of any size are read whole; equal rows give equal rows; an empty table gives an empty
 table; other columns are not read.
@@ -52,6 +55,8 @@ HINTS = {
     "content": "article content post entry story main body text page",
 }
 _HINT = {w: kind for kind, words in HINTS.items() for w in words.split()}
+#: Words that say where or how a block stands, and not what it holds.
+PLACES = frozenset("area bar block bottom box button buttons center col column container count first fixed global group header icon icons inner item items last left link links list main outer page panel posts primary right row secondary section site slot sticky sub title top unit widget wrap wrapper".split())
 _KINDS = list(HINTS)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -68,7 +73,14 @@ class Node:
 
 
 def hint_of(attributes: list[tuple[str, str | None]]) -> str:
-    found = {_HINT[w] for name, value in attributes if name in ("class", "id", "role") and value for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w in _HINT}
+    """What a name in class, id or role says of a block, if all its words speak of kinds of blocks or of places: "ad-slot-2" is an advert, "search-history" or "tags-explained" may be a topic and says nothing."""
+    found = set()
+    for name, value in attributes:
+        if name in ("class", "id", "role") and value:
+            for token in value.split():
+                words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                if all(w in _HINT or w in PLACES or len(w) == 1 for w in words):
+                    found |= {_HINT[w] for w in words if w in _HINT}
     return next((k for k in _KINDS if k in found), "none")
 
 
@@ -79,6 +91,7 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", "none", None)
         self.open: list[tuple[str, Node]] = [("html", self.root)]
+        self.live = Counter()  # open elements by tag: an end tag without one is passed over at once
         self.hidden: list[str] = []
         self.links = self.place = 0
         self.piece: list[str] = []
@@ -95,6 +108,7 @@ class Builder(HTMLParser):
     def close_to(self, at: int) -> None:
         self.flush()
         for tag, _ in self.open[at:]:
+            self.live[tag] -= 1
             self.links -= tag == "a" and self.links > 0
         del self.open[at:]
 
@@ -139,6 +153,7 @@ class Builder(HTMLParser):
         hint = hint_of(attrs) if attrs else "none"
         if tag in INLINE and (hint in ("none", "content") or tag == "a"):
             self.links += tag == "a"
+            self.live[tag] += 1
             self.open.append((tag, self.open[-1][1]))
             return
         self.implied(tag)
@@ -147,6 +162,7 @@ class Builder(HTMLParser):
         node = Node(tag, hint, parent, dict(attrs).get("data-label"))
         parent.children.append(node)
         self.nodes.append(node)
+        self.live[tag] += 1
         self.open.append((tag, node))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -160,6 +176,8 @@ class Builder(HTMLParser):
             if tag == self.hidden[-1]:
                 self.hidden.pop()
             return
+        if not self.live[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
                 if tag in INLINE and self.open[at][1] is self.open[at - 1][1]:
@@ -167,6 +185,7 @@ class Builder(HTMLParser):
                     if any(t not in INLINE for t, _ in inner):
                         return
                     self.links -= tag == "a" and self.links > 0
+                    self.live[tag] -= 1
                     del self.open[at]
                 else:
                     self.close_to(at)
@@ -197,6 +216,8 @@ def plain_container(node: Node) -> bool:
 def features(node: Node) -> tuple[str, ...]:
     if plain_container(node):
         return ()
+    if not node.text and node.parent is None:
+        return ("root",)
     if not node.text:
         return (f"tag {node.tag}", f"hint {node.hint}")
     size = sum(len(t) for _, t in node.text)
@@ -207,6 +228,15 @@ def features(node: Node) -> tuple[str, ...]:
     return (f"tag {node.tag}", f"hint {node.hint}", f"size {length}", f"links {density}", f"marks {marks}")
 
 
+def edge_kind(node: Node) -> str:
+    """What the potential between a node and its parent depends on: its name's kind, whether it only contains, whether it stands loose in the page."""
+    if node.hint not in ("none", "content"):
+        return f"hint {node.hint}"
+    if plain_container(node):
+        return f"plain {node.tag}"
+    return f"loose {node.tag}" if node.parent.parent is None else node.tag
+
+
 class Model:
     """Log potentials: of each feature and of each (parent's label, label) by the child's element."""
 
@@ -217,23 +247,18 @@ class Model:
         for page in pages:
             labels: dict[int, int] = {}
             for node in parse(page):
-                above = labels.get(id(node.parent), 0)
+                above = labels.get(id(node.parent), int(page.startswith(BARE)))
                 y = labels[id(node)] = {"content": 1, "other": 0, None: above}[node.label]
                 number[y] += 1
                 seen[y].update(features(node))
                 if node.parent is not None:
-                    hinted = node.hint not in ("none", "content")
-                    for kind in (f"hint {node.hint}" if hinted else f"plain {node.tag}" if plain_container(node) else node.tag, "*"):
+                    for kind in (edge_kind(node), node.tag, "*"):
                         edges.setdefault(kind, Counter())[above, y] += 1
         self.unary = {f: math.log((seen[1][f] + 0.5) / (number[1] + 1)) - math.log((seen[0][f] + 0.5) / (number[0] + 1)) for f in {*seen[0], *seen[1]}}
         self.edge = {kind: [[math.log((c[a, b] + 0.5) / (c[a, 0] + c[a, 1] + 1)) for b in (0, 1)] for a in (0, 1)] for kind, c in edges.items()}
 
     def pair(self, node: Node) -> list[list[float]]:
-        if node.hint != "none" and node.hint != "content" and f"hint {node.hint}" in self.edge:
-            return self.edge[f"hint {node.hint}"]
-        if plain_container(node) and f"plain {node.tag}" in self.edge:
-            return self.edge[f"plain {node.tag}"]
-        return self.edge.get(node.tag, self.edge["*"])
+        return self.edge.get(edge_kind(node)) or self.edge.get(node.tag) or self.edge["*"]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content for each node: one pass up, one down."""
@@ -261,6 +286,10 @@ def _sum(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
+#: Begins a training page whose loose text is its content.
+BARE = "<html data-label=content>"
+
+
 def training_pages(n: int = TRAINING_PAGES) -> list[str]:
     """Labelled pages: random words in common layouts; data-label marks content and other blocks, children inherit."""
     rng = random.Random(11)
@@ -298,14 +327,30 @@ def training_pages(n: int = TRAINING_PAGES) -> list[str]:
     def block() -> str:
         return rng.choices([f"<p>{paragraph()}</p>", f"<p>{words(1, 3)}.</p>", f"<h2>{words(2, 7)}</h2>", f"<ul><li>{sentence()}</li><li>{words(1, 4)}</li><li>{words(1, 4)}</li></ul>", f"<ol><li>{sentence()}</li><li>{words(2, 5)}</li></ol>", f"<blockquote><p>{paragraph()}</p></blockquote>", f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 3)}</td></tr></table>", f"<pre>{words(3, 20)}</pre>", f"<figure><figcaption>{sentence(3, 8)}</figcaption></figure>", f"<dl><dt>{words(1, 2)}</dt><dd>{sentence()}</dd></dl>", f'<p>{sentence()} <a href="/">{words(1, 3)}</a> {sentence()}</p>', f"<section><h3>{words(2, 5)}</h3><p>{paragraph()}</p></section>", f"<div>{paragraph()}</div>", f'<p><a href="/">{sentence()}</a></p>'], [12, 3, 3, 2, 2, 1, 1, 1, 1, 1, 2, 1, 1, 1])[0]
 
+    def topic(text: str) -> str:
+        """A part of an article under a name that holds a word of a kind of blocks among others."""
+        name = f"{rng.choice(list(_HINT))}-{words(1, 1)}"
+        return rng.choice([f'<section class="{name}">{text}</section>', f'<div class="{name}">{text}</div>', f'<section id="{name}"><h2>{words(1, 4)}</h2>{text}</section>'])
+
+    def loose() -> str:
+        """A page without a container: paragraphs alone, or text alone."""
+        if rng.random() < 0.3:
+            return f"{BARE}{paragraph()}"
+        own = re.sub(r"(^|>)<(p|h1|h2)>", r"\1<\2 data-label=content>", "".join(f"<p>{paragraph()}</p>" for _ in range(rng.choice([1, 1, 2, 5]))))
+        first = rng.choice(["", f"<h1 data-label=content>{words(2, 9)}</h1>"])
+        return f"<html><body>{rng.choice(['', plain()])}{first}{own}{rng.choice(['', plain()])}</body></html>"
+
     out = []
-    for _ in range(n):
+    for k in range(n):
+        if k % 12 == 11:
+            out.append(loose())
+            continue
         title = f"<h1>{words(2, 9)}{rng.choice(['', '.'])}</h1>"
         title = rng.choice([title, title, title, f"<header>{title}</header>", f"<header>{title}<p>{sentence(2, 8)}</p></header>"])
-        body = [title] + [wrapped(block()) for _ in range(rng.choice([1, 3, 6, 12, 25]))]
+        body = [title] + [wrapped(block()) if rng.random() < 0.92 else topic(block() + block()) for _ in range(rng.choice([1, 3, 6, 12, 25]))]
         for _ in range(rng.choice([0, 0, 1, 2])):
             body.insert(rng.randint(1, len(body)), rng.choice([other, lambda: plain(True)])())
-        opened, closed = rng.choice([("<article data-label=content>", "</article>")] * 3 + [("<main data-label=content>", "</main>"), ('<div class="content" data-label=content>', "</div>"), ('<div class="post" data-label=content>', "</div>"), ('<div id="article-body" data-label=content>', "</div>"), ("<main><article data-label=content>", "</article></main>"), ("<div data-label=content>", "</div>")])
+        opened, closed = rng.choice([("<article data-label=content>", "</article>")] * 3 + [("<main data-label=content>", "</main>"), ('<div class="content" data-label=content>', "</div>"), ('<div class="post" data-label=content>', "</div>"), ('<div id="article-body" data-label=content>', "</div>"), ("<main><article data-label=content>", "</article></main>"), ("<div data-label=content>", "</div>"), (f'<div class="{rng.choice(list(_HINT))}-{words(1, 1)}" data-label=content>', "</div>")])
         before = [wrapped(rng.choice([other, plain])()) for _ in range(rng.randint(0, 3))]
         after = [wrapped(rng.choice([other, plain])()) for _ in range(rng.randint(0, 3))]
         out.append(f"<html><body>{''.join(before)}{opened}{''.join(body)}{closed}{''.join(after)}</body></html>")

@@ -208,3 +208,67 @@ def test_posteriors_equal_plain_em(spark):
         r = [1 / (1 + math.exp(-(math.log(prior[k] / (1 - prior[k])) + sum(math.log(yes[i][x] / no[i][x]) for i, x in enumerate(v))))) for k, v, _ in data]
     assert [q.p for q in got.patterns] == pytest.approx(r, rel=1e-6, abs=1e-12)
     assert [list(x) for x in got.agree] == [pytest.approx(x) for x in fitted()[0]]
+
+
+SENTENCES = "<p>The first of these is a sentence, and so is what follows it here. Another one stands behind.</p>"
+
+
+def hints():
+    from docproof.llm import html_extraction
+
+    return html_extraction._HINT
+
+
+@pytest.mark.parametrize("word", hints())
+def test_class_words_do_not_drop_parts_of_an_article(word):
+    """A name that holds a word of a kind of blocks among others says nothing; one that holds nothing else does."""
+    from docproof.llm import html_extraction as h
+
+    model = h.trained()
+    page = f'<nav><ul><li><a href="/">Menu</a></li></ul></nav><article><h1>Title</h1>{SENTENCES}<section class="{word}-history"><h2>A part</h2>{SENTENCES * 2}</section>{SENTENCES}</article><footer>&copy; me</footer>'
+    text = h.main_text(model, page)
+    assert text.count("The first") == 4 and "A part" in text and "Menu" not in text and not text.endswith("me")
+    assert h.main_text(model, f'<div class="{word}-x"><h1>Title</h1>{SENTENCES * 6}</div>').count("The first") == 6
+    advert = h.main_text(model, f'<article><h1>Title</h1>{SENTENCES}<div class="{word}-box-2"><p>Buy this now, it is good.</p></div>{SENTENCES}</article>')
+    assert ("Buy" in advert) == (hints()[word] == "content")
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>One single paragraph stands here.</p>", "One single paragraph stands here."), ("Bare text without any markup at all.", "Bare text without any markup at all."), ("<div>A bare div with one short text.</div>", "A bare div with one short text."),
+    ("<html><body><p>One. And two, three.</p><p>Second one.</p></body></html>", "One. And two, three. Second one."), ('<div class="ad">Buy.</div>', ""), ('<nav><ul><li><a href="/">x</a></li></ul></nav>', ""),
+    ('<article><h1>T</h1><p>Text here, yes.</p><section class="comments"><h2>Comments</h2><div class="comment"><p>A long reader comment, it is. It goes on.</p></div></section></article>', "T Text here, yes."),
+])
+def test_loose_text(page, text):
+    from docproof.llm import html_extraction as h
+
+    assert h.main_text(h.trained(), page) == text
+
+
+def test_end_tags_without_a_start_are_passed_over():
+    from docproof.llm import html_extraction as h
+
+    assert len(h.parse("<div>" * 100_000 + "</span></b>" * 100_000)) == 100_001
+
+
+def test_two_passes_of_the_pipeline_side_by_side(spark, tmp_path):
+    import threading
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n)) + "."
+    texts = ["\n".join(line(40) for _ in range(4)) for _ in range(40)]
+    texts += [t.replace("w1", "v1", 1) for t in texts[:10]]
+    for k in range(2):
+        spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts[: len(texts) - 5 * k])], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / f"{k}" / "documents.parquet"))
+    got = {}
+
+    def go(k):
+        got[k] = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / f"{k}")).collect())
+
+    threads = [threading.Thread(target=go, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(set(got[0])) == list(range(40)) and sorted(set(got[1])) == list(range(40))
