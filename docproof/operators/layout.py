@@ -80,4 +80,4 @@ def nearest_other(words: DataFrame, region: DataFrame) -> DataFrame:
     )
     around = inner.select("doc_id", F.struct(F.col("_l").alias("left"), F.col("_t").alias("top"), (F.col("_r") - F.col("_l")).alias("width"), (F.col("_b") - F.col("_t")).alias("height")).alias("box"))
     outer = boxed.join(region, ["doc_id", "ordinal"], "left_anti").select("doc_id", F.struct(*BOX).alias("other"))
-    return around.join(outer, "doc_id", "left").groupBy("doc_id").agg(F.min(T.box_distance(F.col("box"), F.col("other"))).alias("distance"))
+    return around.join(outer, "doc_id", "left").groupBy("doc_id").agg(F.min(F.when(F.col("other").isNotNull(), T.box_distance(F.col("box"), F.col("other")))).alias("distance"))

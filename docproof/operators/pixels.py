@@ -1,4 +1,7 @@
-"""Measures of gray pixels, one row for each: pixels(crop, x, y, level), level from 0 to 255. Crops are small rectangles without gaps."""
+"""Measures of gray pixels, one row for each: pixels(crop, x, y, level), level from 0 to 255. Crops are small rectangles without gaps.
+
+``crops`` cuts them out of pages. Otsu's threshold and percentiles come from histograms, at most 256 rows for a crop.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,24 @@ from pyspark.sql import functions as F
 LEAST_SPREAD, DENSITY, LEAST_HEIGHT, HEAVIER, LIGHTER = 76, (0.02, 0.7), 9, 1.2, 0.85
 
 
+#: Side of a tile, and bounds of a word whose contrast is sampled: its least height, letters of its first word, margin as a share of its height and at least.
+TILE, SAMPLED_HEIGHT, SAMPLED_LETTERS, PAD, LEAST_PAD = 64, 12, 3, 0.2, 2
+
+
+def crops(page_pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(crop, x, y, level): the pixels of page_pixels(doc_id, x, y, level) that lie in boxes(doc_id, crop, left, top, width, height).
+
+    Both sides are keyed by tiles of the page, so a pixel meets the boxes of its tile and not all of its page's.
+    """
+    spread = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / TILE), F.floor((F.col(at) + F.col(size) - 1) / TILE)))
+    kept = boxes.where("width > 0 and height > 0").select(F.col("doc_id").alias("_doc"), "crop", *(F.col(c).alias(f"_{c}") for c in ("left", "top", "width", "height")), spread("left", "width").alias("_tx"), F.lit(0).alias("_z"))
+    kept = kept.withColumn("_ty", F.explode(F.sequence(F.floor(F.col("_top") / TILE), F.floor((F.col("_top") + F.col("_height") - 1) / TILE)))).drop("_z")
+    tiled = page_pixels.withColumns({"_px": F.floor(F.col("x") / TILE), "_py": F.floor(F.col("y") / TILE)})
+    met = tiled.join(kept, (F.col("doc_id") == F.col("_doc")) & (F.col("_px") == F.col("_tx")) & (F.col("_py") == F.col("_ty")))
+    inside = (F.col("x") >= F.col("_left")) & (F.col("x") < F.col("_left") + F.col("_width")) & (F.col("y") >= F.col("_top")) & (F.col("y") < F.col("_top") + F.col("_height"))
+    return met.where(inside).select("crop", "x", "y", "level")
+
+
 def histogram(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("crop", "level").count()
 
@@ -42,10 +63,11 @@ def perimeters(mask: DataFrame) -> DataFrame:
     return counted.groupBy("crop").agg(F.count_if("on").alias("area"), F.count("*").alias("n"), F.sum("edges").alias("perimeter"))
 
 
-def ink(pixels: DataFrame) -> DataFrame:
-    """mask(crop, x, y, on): the smaller class on either side of the threshold is ink, the dark one of equals."""
+def ink(pixels: DataFrame, of_equals: str = "dark") -> DataFrame:
+    """mask(crop, x, y, on): the smaller class on either side of the threshold is ink; of equal ones the dark or the light one."""
     parted = pixels.join(otsu(pixels), "crop").withColumn("dark", F.col("level") <= F.col("threshold"))
-    few = 2 * F.count_if("dark").over(Window.partitionBy("crop")) <= F.count("*").over(Window.partitionBy("crop"))
+    n_dark, n = F.count_if("dark").over(Window.partitionBy("crop")), F.count("*").over(Window.partitionBy("crop"))
+    few = 2 * n_dark <= n if of_equals == "dark" else 2 * n_dark < n
     return parted.select("crop", "x", "y", (F.col("dark") == few).alias("on"))
 
 
@@ -69,9 +91,9 @@ def weight_status(heading: Column, body: Column) -> Column:
     return F.when(ratio.isNull() | small, "review").when(ratio >= HEAVIER, "match").when(ratio < LIGHTER, "mismatch").otherwise("review")
 
 
-def tones(pixels: DataFrame) -> DataFrame:
+def tones(pixels: DataFrame, of_equals: str = "dark") -> DataFrame:
     """(crop, n, contrast, background_std): distance of the means of ink and background as a share of 255, and the deviation of the background."""
-    both = pixels.join(ink(pixels), ["crop", "x", "y"])
+    both = pixels.join(ink(pixels, of_equals), ["crop", "x", "y"])
     level, on = F.col("level"), F.col("on")
     means = F.abs(F.avg(F.when(on, level)) - F.avg(F.when(~on, level))) / 255
     return both.groupBy("crop").agg(F.count("*").alias("n"), means.alias("contrast"), F.stddev_pop(F.when(~on, level)).alias("background_std"))
@@ -86,6 +108,21 @@ def word_tones(cores: DataFrame, strips: DataFrame, words: DataFrame) -> DataFra
     return each.select("doc_id", "n_words", F.get("c", F.floor(F.col("n_words") / 4).cast("int")).alias("lower_contrast"), F.get("s", F.floor(3 * F.col("n_words") / 4).cast("int")).alias("upper_spread"))
 
 
+def sampled_tones(page_pixels: DataFrame, words: DataFrame, image_height: int) -> DataFrame:
+    """As ``word_tones``, from whole pages and words(doc_id, crop, text, left, top, width, height).
+
+    Sampled are words that are high enough, have letters enough, and keep a margin of twice the pad to the image's
+    borders; the strips stand one pad above and below the word, as high as a pad.
+    """
+    pad = F.greatest(F.lit(LEAST_PAD), F.bround(F.col("height") * PAD)).cast("int")
+    first = F.get(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), F.lit(0))
+    fit = words.withColumn("_pad", pad).where((F.col("height") >= SAMPLED_HEIGHT) & (F.length(first) >= SAMPLED_LETTERS) & (F.col("top") >= 2 * F.col("_pad")) & (F.col("top") + F.col("height") + 2 * F.col("_pad") <= image_height))
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("top") - 2 * F.col("_pad")).alias("at")), F.struct(F.lit(1).alias("side"), (F.col("top") + F.col("height") + F.col("_pad")).alias("at")))).alias("s")
+    strips = fit.select("doc_id", "crop", "left", "width", F.col("_pad").alias("height"), side).select("doc_id", F.struct("crop", "s.side").alias("crop"), "left", F.col("s.at").alias("top"), "width", "height")
+    cut = crops(page_pixels, strips).select(F.col("crop.crop").alias("crop"), F.col("crop.side").alias("side"), "x", "y", "level")
+    return word_tones(crops(page_pixels, fit), cut, fit.select("crop", "doc_id"))
+
+
 def contrast_status(contrast: Column, background_std: Column, n: Column, confidence: Column, n_words: Column, lower_contrast: Column, upper_spread: Column) -> Column:
     """A clear difference of tones with a calm background, or of words with calm strips, is a match; hardly any difference a mismatch."""
     sampled = n_words >= 8
