@@ -33,9 +33,15 @@ HEADING, CLAUSES = "GOVERNMENT WARNING", (
     "(1) According to the Surgeon General, women should not drink alcoholic beverages during pregnancy because of the risk of birth defects.",
     "(2) Consumption of alcoholic beverages impairs your ability to drive a car or operate machinery, and may cause health problems.",
 )
-#: None, a heading in small letters, without the second clause, without a heading, with a wrong word, or whole.
-WARNING_TEXT = f"""case doc_id % 7 when 0 then null when 1 then 'Government Warning: {CLAUSES[0]} {CLAUSES[1]}' when 2 then '{HEADING}: {CLAUSES[0]}'
-  when 3 then '{CLAUSES[0]} {CLAUSES[1]}' when 4 then replace('{HEADING}: {CLAUSES[0]} {CLAUSES[1]}', 'machinery', 'spaceships') else '{HEADING}: {CLAUSES[0]} {CLAUSES[1]}' end"""
+#: None, a heading in small letters, without the second clause, without a heading, with a wrong word, with a misread one, with a torn one, or whole.
+WARNING_TEXT = f"""case doc_id % 9 when 0 then null when 1 then 'Government Warning: {CLAUSES[0]} {CLAUSES[1]}' when 2 then '{HEADING}: {CLAUSES[0]}'
+  when 3 then '{CLAUSES[0]} {CLAUSES[1]}' when 4 then replace('{HEADING}: {CLAUSES[0]} {CLAUSES[1]}', 'machinery', 'spaceships') when 5 then replace('{HEADING}: {CLAUSES[0]} {CLAUSES[1]}', 'risk', 'r1sk')
+  when 6 then replace('{HEADING}: {CLAUSES[0]} {CLAUSES[1]}', 'drink alcoholic', 'drink alco holic') else '{HEADING}: {CLAUSES[0]} {CLAUSES[1]}' end"""
+#: The warning printed six words a row behind a brand: where the brand stands, the rows' distance, and how certain words are.
+ROW_WORDS, WARNING_TOP = 6, 200
+BRAND_TOP = "case when doc_id % 3 = 0 or w not ilike 'government warning%' then 178 else 20 end"
+ROW_APART = "case when doc_id % 5 = 2 then 75 else 40 end"
+CERTAIN = "case when doc_id % 4 = 1 then 0.6 else 0.95 end"
 
 
 def for_duckdb(query: str) -> str:
@@ -61,3 +67,27 @@ def warning_texts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataF
     """(doc_id, text): the whole text of every label, the warning last, or the warning alone."""
     every = [*LINES.values(), WARNING_TEXT] if whole else [WARNING_TEXT]
     return applications(spark, sf_dir).select("doc_id", F.concat_ws("\n", *(F.expr(t) for t in every)).alias("text"))
+
+
+def warning_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of printed warnings with their boxes, behind the word BRAND; labels without a warning have no words."""
+    printed = applications(spark, sf_dir).select("doc_id", F.expr(WARNING_TEXT).alias("w")).where("w is not null")
+    words = F.split("w", " ")
+    at = lambda k: F.floor(k / ROW_WORDS) * ROW_WORDS
+
+    def placed(word, k):
+        before = F.slice(words, (at(k) + 1).cast("int"), (k - at(k)).cast("int"))
+        left = F.aggregate(before, F.lit(20), lambda s, b: s + 8 * F.length(b) + 12)
+        row = F.floor(k / ROW_WORDS).cast("int")
+        return F.struct((k + 1).alias("ordinal"), (row + 1).alias("line"), left.alias("left"), (WARNING_TOP + row * F.expr(ROW_APART)).alias("top"), (8 * F.length(word)).alias("width"), F.expr(CERTAIN).cast("double").alias("confidence"), word.alias("text"))
+
+    brand = F.struct(F.lit(0).alias("ordinal"), F.lit(0).alias("line"), F.lit(20).alias("left"), F.expr(BRAND_TOP).alias("top"), F.lit(90).alias("width"), F.lit(0.9).alias("confidence"), F.lit("BRAND").alias("text"))
+    each = printed.select("doc_id", F.explode(F.concat(F.array(brand), F.transform(words, placed))).alias("x")).select("doc_id", "x.*")
+    one = F.lit(1)
+    return each.select("doc_id", "ordinal", one.alias("page"), one.alias("block"), one.alias("paragraph"), "line", "left", "top", "width", F.lit(20).alias("height"), "confidence", "text", F.lit(1000).alias("image_width"), F.lit(800).alias("image_height"))
+
+
+#: The same words for DuckDB, behind for_duckdb: b(doc_id, w, k, text, x, y, width, confidence), k from 0, without the brand.
+WARNING_BOXES = f""", t as (select doc_id, w, unnest(string_split(w, ' ')) as text, generate_subscripts(string_split(w, ' '), 1) - 1 as k from warnings where w is not null),
+b as (select doc_id, w, k, text, 20 + coalesce(sum(8 * length(text) + 12) over (partition by doc_id, k // {ROW_WORDS} order by k rows between unbounded preceding and 1 preceding), 0) as x,
+  {WARNING_TOP} + (k // {ROW_WORDS}) * {ROW_APART} as y, 8 * length(text) as width, {CERTAIN}::double as confidence from t)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docproof.functions import text as T
 from docproof.operators import comparison, extraction, layout, pixels, warning
-from docproof.plans.label_data import LINES, applications, for_duckdb, label_lines, lines_of_applications, warning_texts
+from docproof.plans.label_data import BRAND_TOP, CLAUSES, HEADING, LINES, ROW_APART, WARNING_BOXES, applications, for_duckdb, label_lines, lines_of_applications, warning_texts, warning_words
 from docproof.sources import manifest
 
 QUERIES, ORACLES = {}, {}
@@ -287,25 +287,42 @@ def warning_capitals(spark, sf_dir):
     return _warned(spark, sf_dir).select("doc_id", warning.capitalisation().alias("status"))
 
 
-@query(for_duckdb("select doc_id, case doc_id % 7 when 0 then 'not_found' when 1 then 'match' when 5 then 'match' when 6 then 'match' else 'mismatch' end as status from warnings"))
+_STATEMENT = f"{HEADING}: {' '.join(CLAUSES)}".lower()
+#: From the text: equal but for letter case, equal but for a misread or a torn word, or another text.
+_WORDING = f"""case when w is null then 'not_found' when lower(w) = '{_STATEMENT}' then 'match'
+  when replace(replace(lower(w), 'r1sk', 'risk'), 'drink alco holic', 'drink alcoholic') = '{_STATEMENT}' then 'review' else 'mismatch' end"""
+_ORDERED = "regexp_matches(w, '(?i)surgeon general.*consumption of alcoholic beverages')"
+_CAPITALS = "case when w is null then 'not_found' when not regexp_matches(w, '(?i)^government warning') then 'review' when starts_with(w, 'GOVERNMENT WARNING') then 'match' else 'mismatch' end"
+_CONTINUITY = f"case when w is null then 'not_found' when not {_ORDERED} then 'mismatch' else 'review' end"
+
+
+@query(for_duckdb(f"select doc_id, {_WORDING} as status from warnings"))
 def warning_wording(spark, sf_dir):
-    """Letter case is not wording; a missing heading or clause and another word are."""
+    """Letter case is not wording; a missing heading or clause and another word are; a misread or a torn word is a review."""
     return _warned(spark, sf_dir).select("doc_id", warning.wording().getField("status").alias("status"))
 
 
-@query(for_duckdb("select doc_id, case doc_id % 7 when 0 then 'not_found' when 2 then 'mismatch' else 'review' end as status from warnings"))
+@query(for_duckdb(f"select doc_id, {_CONTINUITY} as status from warnings"))
 def warning_continuity(spark, sf_dir):
     """On plain text at best a review: there are no boxes."""
     return _warned(spark, sf_dir).select("doc_id", warning.continuity().alias("status"))
 
 
-_CHECKS = """select doc_id, case doc_id % 7 when 0 then 'not_found' when 2 then 'mismatch' when 3 then 'mismatch' when 4 then 'mismatch' when 1 then 'mismatch' else 'review' end as automated_status, true as manual_confirmation_required from warnings"""
+_AUTOMATED = f"case when 'mismatch' in ({_WORDING}, {_CAPITALS}, {_CONTINUITY}) then 'mismatch' when w is null then 'not_found' else 'review' end"
+_CHECKS = f"select doc_id, {_AUTOMATED} as automated_status, true as manual_confirmation_required, case when w is null then 'not_found' else {_AUTOMATED} end as overall_status from warnings"
+
+
+def _checked(spark, sf_dir) -> DataFrame:
+    """All checks of the labels' texts, with the volumes of the applications."""
+    apps = applications(spark, sf_dir)
+    volume = apps.select("doc_id", T.volume(F.col("net_contents")).alias("ml"))
+    return warning.checks(_warned(spark, sf_dir).join(volume, "doc_id"), F.col("ml"))
 
 
 @query(for_duckdb(_CHECKS))
 def warning_statuses(spark, sf_dir):
     """All checks of a label's text as one status; what needs a picture or a ruler is open."""
-    return warning.statuses(warning.checks(_warned(spark, sf_dir), T.volume(F.lit("750 mL"))))
+    return warning.statuses(_checked(spark, sf_dir))
 
 
 @query(for_duckdb(f"""{", " + _RESULTS}, warned as ({_CHECKS}),
@@ -316,15 +333,51 @@ select doc_id, case when worst = 3 or automated_status = 'mismatch' then 'mismat
 from f join warned using (doc_id)"""))
 def batch_statuses(spark, sf_dir):
     """Fields and warning of a label as one status, with its issues."""
-    warned = warning.statuses(warning.checks(_warned(spark, sf_dir), T.volume(F.lit("750 mL"))))
-    return comparison.overall(_results(spark, sf_dir), warned)
+    return comparison.overall(_results(spark, sf_dir), warning.statuses(_checked(spark, sf_dir)))
+
+
+_PRESENCE = f"case when {_HEADED} and {_ANCHORED} then 'match' when {_HEADED} or {_ANCHORED} then 'review' else 'not_found' end"
+_OPEN = "case when w is null then 'not_found' else 'review' end"
+_EACH = {"presence": _PRESENCE, "wording": _WORDING, "heading_capitalization": _CAPITALS, "heading_boldness": _OPEN, "body_not_bold": _OPEN, "continuous_statement": _CONTINUITY, "separation": _OPEN, "legibility_contrast": _OPEN, "type_size": "'review'", "characters_per_inch": "'review'"}
+_LONG = " union all ".join(f"select doc_id, '{c}' as \"check\", {status} as status from warnings" for c, status in _EACH.items())
 
 
-@query(for_duckdb("select 'all' as batch, 'presence' as \"check\", 0::bigint as n_mismatch, count(*) filter (doc_id % 7 = 3) as n_review, count(*) filter (doc_id % 7 = 0) as n_not_found, count(*) filter (doc_id % 7 not in (0, 3)) as n_match, 0::bigint as n_not_applicable from warnings"))
+@query(for_duckdb(f""", l as ({_LONG}), o as (select doc_id, 'overall' as "check", case max(case status when 'mismatch' then 4 when 'review' then 3 when 'not_found' then 2 else 1 end) when 4 then 'mismatch' when 3 then 'review' when 2 then 'not_found' else 'match' end as status from l group by doc_id),
+g as (select case when c.imported_product then 'imported' else 'domestic' end as batch, u.* from (from l union all from o) u join apps c using (doc_id)) select batch, "check", {_COUNTS} from g group by all"""))
 def warning_check_counts(spark, sf_dir):
-    """Counts by group, check and status."""
-    each = warning.checks(_warned(spark, sf_dir), T.volume(F.lit("750 mL"))).withColumn("batch", F.lit("all"))
-    return comparison.grouped_status_counts(each, ["batch"]).where("check = 'presence'")
+    """Counts of every check, and of the worst one of each label, by group and status."""
+    batch = applications(spark, sf_dir).select("doc_id", F.when(F.col("imported_product"), "imported").otherwise("domestic").alias("batch"))
+    return comparison.grouped_status_counts(_checked(spark, sf_dir).join(batch, "doc_id"), ["batch"])
+
+
+_BRANDED = "w not ilike 'government warning%'"
+
+
+@query(for_duckdb(f"""{WARNING_BOXES}, a as (select doc_id, w, min(x) as x, min(y) as y, max(x + width) as x2, max(y) + 20 as y2, count(*) as n, sum(confidence) as c from b group by doc_id, w),
+u as (select *, {_BRANDED} as branded, {BRAND_TOP} as top from a)
+select doc_id, case when branded then 'BRAND ' || w else w end as statement, n + branded::int as n_words, case when branded then least(x, 20) else x end as "left", case when branded then top else y end as top,
+  case when branded then greatest(x2, 110) else x2 end - 20 as width, y2 - case when branded then top else y end as height, round((c + 0.9 * branded::int) / (n + branded::int), 6) as mean_confidence,
+  case when not branded then y - (top + 20)::double end as distance from u"""))
+def boxed_statements(spark, sf_dir):
+    """Statements put together from word boxes, the boxes around them and the nearest other word; one without a heading begins a line above its anchor."""
+    words = warning_words(spark, sf_dir)
+    rows = warning.measured(warning.located(words).where("boxed"), words)
+    box = [F.col(f"box.{c}").cast("bigint").alias(c) for c in layout.BOX]
+    return rows.select("doc_id", "statement", F.col("n_parts").cast("bigint").alias("n_words"), *box, F.round("mean_confidence", 6).alias("mean_confidence"), F.col("distance").cast("double").alias("distance"))
+
+
+@query(for_duckdb(f""", s as (select doc_id, w, {_BRANDED} as branded, {ROW_APART} as apart, {BRAND_TOP} as top, doc_id % 4 = 1 as faint from warnings where w is not null)
+select doc_id, case when branded then 'review' else 'match' end as presence,
+  case when contains(w, 'spaceships') and faint then 'review' else {_WORDING} end as wording, {_CAPITALS} as heading_capitalization,
+  case when not {_ORDERED} then 'mismatch' when apart - 20 > 2.5 * 20 then 'review' else 'match' end as continuous_statement,
+  case when branded or 200 - (top + 20) >= 1.5 * 20 then 'match' else 'review' end as separation from s"""))
+def boxed_checks(spark, sf_dir):
+    """The checks of labels with boxes: an uncertain wrong word is a review, wide rows and near words too."""
+    words = warning_words(spark, sf_dir)
+    volume = applications(spark, sf_dir).select("doc_id", T.volume(F.col("net_contents")).alias("ml"))
+    rows = warning.analyse(words, volume)
+    kept = ["presence", "wording", "heading_capitalization", "continuous_statement", "separation"]
+    return rows.groupBy("doc_id").pivot("check", kept).agg(F.first("status")).select("doc_id", *kept)
 
 
 @query("select case user_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as batch, count(*) as n_total, count(*) filter (event_id % 4 < 2) as n_completed, count(*) filter (event_id % 4 = 2) as n_processing, count(*) filter (event_id % 4 = 1) as n_failed, greatest(count(*) - count(*) filter (event_id % 4 < 2) - count(*) filter (event_id % 4 = 2), 0) as n_remaining from events group by 1")
