@@ -91,3 +91,31 @@ def warning_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 WARNING_BOXES = f""", t as (select doc_id, w, unnest(string_split(w, ' ')) as text, generate_subscripts(string_split(w, ' '), 1) - 1 as k from warnings where w is not null),
 b as (select doc_id, w, k, text, 20 + coalesce(sum(8 * length(text) + 12) over (partition by doc_id, k // {ROW_WORDS} order by k rows between unbounded preceding and 1 preceding), 0) as x,
   {WARNING_TOP} + (k // {ROW_WORDS}) * {ROW_APART} as y, 8 * length(text) as width, {CERTAIN}::double as confidence from t)"""
+
+
+#: Labels with boxes: every fifth has a smudged volume; a word in nine is uncertain. A finer reading has the true text, for a quarter of the labels as uncertain, for a quarter with another brand.
+SMUDGED, EXCLUDED = "doc_id % 5 = 0", "doc_id % 11 = 4"
+PRINTED = {k: f"case when {SMUDGED} then '7 5 0 #' else {text} end" if k == 4 else text for k, text in LINES.items()}
+FINER = {k: f"case when doc_id % 4 = 3 and doc_id % 13 <> 0 then 'ZZZZ QQQQ' else {text} end" if k == 1 else text for k, text in LINES.items()}
+LETTER = f"case when line = 4 and {SMUDGED} then 54 else 18 end"
+WORD_CONFIDENCE = "case when (doc_id + 2 * line + k) % 9 = 0 then 0.6 else 0.95 end"
+FINER_CONFIDENCE = "case when doc_id % 4 = 1 then 0.5 else 0.95 end"
+
+
+def label_words(spark: SparkSession, sf_dir: str, finer: bool = False) -> DataFrame:
+    """The words of labels with their boxes: a line every 100 pixels, its words from 100 on, 16 apart."""
+    lines, letter, confidence = (FINER, "18", FINER_CONFIDENCE) if finer else (PRINTED, LETTER, WORD_CONFIDENCE)
+    printed = F.array(*(F.struct(F.lit(k).alias("line"), F.expr(text).alias("text")) for k, text in lines.items()))
+    rows = applications(spark, sf_dir).select("doc_id", F.explode(printed).alias("l")).select("doc_id", "l.line", F.split("l.text", " ").alias("words")).where("words is not null").withColumn("letter", F.expr(letter))
+    word = F.transform("words", lambda w, k: F.struct(k.alias("k"), w.alias("text"), F.aggregate(F.slice("words", 1, k), F.lit(100), lambda s, b: s + F.length(b) * F.col("letter") + 16).alias("left")))
+    each = rows.select("doc_id", "line", "letter", F.explode(word).alias("w")).select("doc_id", "line", "letter", "w.*")
+    one = F.lit(1)
+    return each.select(
+        "doc_id", (F.col("line") * 100 + F.col("k")).alias("ordinal"), one.alias("page"), one.alias("block"), one.alias("paragraph"), "line", "left", (F.col("line") * 100).alias("top"), (F.length("text") * F.col("letter")).alias("width"), F.lit(40).alias("height"),
+        F.expr(confidence).cast("double").alias("confidence"), "text", F.lit(1600).alias("image_width"), F.lit(1200).alias("image_height"),
+    )
+
+
+def excluded_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region over the first line of some labels."""
+    return applications(spark, sf_dir).where(EXCLUDED).select("doc_id", F.lit(0).alias("left"), F.lit(80).alias("top"), F.lit(1600).alias("width"), F.lit(80).alias("height"))

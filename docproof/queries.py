@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.functions import text as T
-from docproof.operators import comparison, extraction, layout, pixels, warning
-from docproof.plans.label_data import BRAND_TOP, CLAUSES, HEADING, LINES, ROW_APART, WARNING_BOXES, applications, for_duckdb, label_lines, lines_of_applications, warning_texts, warning_words
+from docproof.operators import comparison, extraction, layout, pixels, refinement, warning
+from docproof.plans.label_data import BRAND_TOP, CLAUSES, EXCLUDED, FINER, FINER_CONFIDENCE, HEADING, LETTER, LINES, PRINTED, ROW_APART, SMUDGED, WARNING_BOXES, WORD_CONFIDENCE, applications, excluded_regions, for_duckdb, label_lines, label_words, lines_of_applications, warning_texts, warning_words
+from docproof.plans.stages import cut
 from docproof.sources import manifest
 
 QUERIES, ORACLES = {}, {}
@@ -463,3 +464,52 @@ def anchor_places(spark, sf_dir):
     """Where a phrase of two words stands in the statement."""
     words = warning_texts(spark, sf_dir, whole=False).select("doc_id", T.tokens(F.col("text")).alias("w"))
     return words.select("doc_id", F.coalesce(T.phrase_index(F.col("w"), ["surgeon", "general"]).cast("int"), F.lit(-1)).alias("at"), F.size("w").cast("bigint").alias("n_tokens"))
+
+
+_PRINTED = " union all ".join(f"select doc_id, {k} as line, {text} as text, {FINER[k]} as finer from apps" for k, text in PRINTED.items())
+#: Planned regions: a smudged volume stands by its strength alone; a brand or class has an uncertain word.
+_PLANS = f""", p as (select * from ({_PRINTED}) where text is not null),
+v as (select doc_id, line, text, finer, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) - 1 as k from p),
+g as (select doc_id, line, text, finer, sum(length(word) * {LETTER}) + 16 * (count(*) - 1) as width, min({WORD_CONFIDENCE}) as least from v group by doc_id, line, text, finer),
+plans as (select doc_id, line, finer, case line when 1 then 'brand_name' when 2 then 'class_type' else 'net_contents' end as field, greatest(16, round(width * 0.08)) as across, case when line = 2 then 14 else 12 end as down, width from g
+  where (line = 1 and least < 0.8 and not ({EXCLUDED})) or (line = 2 and least < 0.8) or (line = 4 and {SMUDGED}))"""
+
+
+def _labels(spark, sf_dir):
+    """Applications, candidates, results, lines and excluded regions of the labels with boxes, each written once."""
+    apps, excluded = applications(spark, sf_dir), excluded_regions(spark, sf_dir)
+    lines = cut(layout.read_lines(label_words(spark, sf_dir)))
+    candidates = cut(extraction.extract(lines, excluded))
+    return apps, candidates, cut(comparison.compare(apps, candidates)), lines, excluded
+
+
+@query(for_duckdb(f"""{_PLANS} select doc_id, field, (100 - across)::bigint as "left", 100 * line - down as top, (width + 2 * across)::bigint as width, 40 + 2 * down as height, case when line = 1 then 6 else 7 end as mode,
+  case when line = 4 then '' when line = 1 then '1' when doc_id % 13 = 0 then '1' else '2' end as source_lines from plans"""))
+def refinement_plans(spark, sf_dir):
+    """Which regions to read again: partners of missing volumes, and lines of uncertain brands and classes."""
+    _, candidates, results, lines, excluded = _labels(spark, sf_dir)
+    planned = refinement.plans(results, candidates, lines, excluded)
+    box = [F.col(c).cast("bigint").alias(c) for c in ("left", "width")]
+    return planned.select("doc_id", "field", *box, "top", "height", "mode", F.array_join(F.col("source_lines").cast("array<string>"), ",").alias("source_lines"))
+
+
+def _refined(spark, sf_dir) -> refinement.Refinement:
+    apps, candidates, results, lines, excluded = _labels(spark, sf_dir)
+    return refinement.refine(apps, candidates, results, lines, refinement.from_words(label_words(spark, sf_dir, finer=True)), excluded)
+
+
+_ACCEPTED = f"({FINER_CONFIDENCE} >= 0.55 and case line when 1 then finer <> 'ZZZZ QQQQ' when 4 then finer not like '% 375 mL' else true end)"
+
+
+@query(for_duckdb(f"{_PLANS} select doc_id, field, finer as refined_text, {_ACCEPTED} as selected, {FINER_CONFIDENCE}::double as mean_confidence from plans"))
+def accepted_readings(spark, sf_dir):
+    """What second readings say and which are surer than the first: one candidate, about the same text, certain word by word."""
+    return _refined(spark, sf_dir).evidence.select("doc_id", "field", "refined_text", "selected", F.round("mean_confidence", 6).alias("mean_confidence"))
+
+
+@query(for_duckdb(f"""{_PLANS}, a as (select doc_id, field, {_ACCEPTED} as selected from plans where line = 4)
+select doc_id, 'brand_name' as field, case when doc_id % 13 = 0 or {EXCLUDED} then 'not_found' else 'match' end as status from apps union all select doc_id, 'class_type', 'match' from apps
+union all select doc_id, 'net_contents', case when {SMUDGED} then case when a.selected then 'match' else 'not_found' end when doc_id % 17 = 0 then 'review' else 'match' end from apps left join a using (doc_id)"""))
+def refined_results(spark, sf_dir):
+    """Fields compared again where a second reading replaced the first."""
+    return _refined(spark, sf_dir).results.where(F.col("field").isin(*refinement.ORDER)).select("doc_id", "field", "status")
