@@ -244,3 +244,18 @@ def test_weight_and_contrast(spark):
     strips = spark.createDataFrame([(c, side, x, 0, 250) for c in ("h0", "h1") for side in (0, 1) for x in range(9)], "crop string, side int, x int, y int, level int")
     word = pixels.word_tones(crops, strips, named).first()
     assert (word.n_words, word.lower_contrast, word.upper_spread) == (2, 1.0, 0)
+
+
+def test_alignment_and_changes(spark):
+    """Opcodes of the words, what each change looks like, and words that do not belong."""
+    texts = [WHOLE, WHOLE.replace("risk", "r1sk"), WHOLE.replace("drink alcoholic", "drink alco holic"), WHOLE.replace("of the risk of birth", "x y z u v"), WHOLE.replace("should not", "should"), WHOLE.replace("(2)", "fresh beverageS lemons (2)"), WHOLE.replace("women", "wornen")]
+    rows = warning.localised(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).select("doc_id", "opcodes", "changes", "words", warning.strange_words().alias("strange"), warning.wording().alias("w")).orderBy("doc_id").collect()
+    words = warning._EXPECTED
+    for r in rows:
+        assert [(o.a, o.b) for o in r.opcodes][0][0] == 0 and r.opcodes[-1].b == len(words) and all(x.b == y.a and x.d == y.c for x, y in zip(r.opcodes, r.opcodes[1:]))
+        assert all(words[o.a : o.b] == r.words[o.c : o.d] for o in r.opcodes if o.kind == "equal")
+    assert [[(c.kind, c.misread, c.rejoined, c.long) for c in r.changes] for r in rows[:3]] == [[], [("replace", True, False, False)], [("replace", False, True, False)]]
+    assert any(c.long for c in rows[3].changes) and [(c.kind, c.want) for c in rows[4].changes] == [("delete", ["not"])]
+    assert [rows[5].words[k] for k in rows[5].strange] == ["fresh", "lemons"]
+    assert [r.w.status for r in rows] == ["match", "review", "review", "mismatch", "mismatch", "mismatch", "mismatch"]
+    assert rows[0].w.token_similarity is None and rows[4].w.token_similarity == round(2 * (len(words) - 1) / (2 * len(words) - 1), 3)
