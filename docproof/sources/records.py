@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docproof.functions import text as T
 from docproof.operators.comparison import FIELDS
+from docproof.sources.images import HEADER, image_header
 from docproof.sources.manifest import COLUMNS, write_results
 
 #: Image types, and the bounds of an upload.
@@ -18,18 +19,25 @@ RESULT_COLUMNS = [
     "government_warning_status", "automated_warning_status", "manual_physical_confirmation_required", "duration_ms", "error",
 ]
 EXAMPLE = ("example-label.jpg", "Stone's Throw", "Kentucky Straight Bourbon Whiskey", "45", "750 mL", "Example Distillery LLC", "Louisville, KY", "false", "")
-RECORD = "brand_name string, brand string, class_type string, abv string, net_contents string, producer_name string, producer_address string, imported_product string, imported string, country_origin string, country_of_origin string"
+RECORD = "brand_name string, brand string, class_type string, abv string, net_contents string, producer_name string, producer_address string, imported_product variant, imported variant, country_origin string, country_of_origin string"
+REQUIRED = [f for f in FIELDS if f != "country_origin"]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Applications from JSON files, one object each, with the older names; a flag that is no boolean is an error of its row."""
+    """Applications from JSON files, one object each, with the older names, and errors, all that hold for a row.
+
+    A flag must be a JSON boolean: text that says true is none. A field that is missing or null is an error; only
+    imported products keep an origin.
+    """
     rows = spark.read.schema(RECORD).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("path"))
-    flag = F.coalesce("imported_product", "imported", F.lit("false"))
-    known = flag.isin("true", "false")
+    given = F.coalesce("imported_product", "imported")
+    flag = F.when(F.schema_of_variant(given) == "BOOLEAN", F.try_variant_get(given, "$", "boolean"))
     names = {"brand_name": F.coalesce("brand_name", "brand"), "country_origin": F.coalesce("country_origin", "country_of_origin")}
     fields = [names.get(f, F.col(f)).alias(f) for f in FIELDS if f not in ("abv", "country_origin")]
-    origin = F.when(flag == "true", names["country_origin"]).alias("country_origin")
-    return rows.select("path", *fields, F.col("abv").try_cast("double").alias("abv"), F.when(known, flag == "true").alias("imported_product"), origin, F.when(~known, "imported_product must be true or false").alias("error"))
+    missing = [F.when(names.get(f, F.col(f)).isNull(), F.lit(f"{f} is missing")) for f in REQUIRED]
+    errors = F.array_compact(F.array(F.when(flag.isNull(), F.lit("imported_product must be true or false")), *missing))
+    read = rows.select("path", *fields, F.col("abv").try_cast("double").alias("abv"), flag.alias("imported_product"), F.when(flag, names["country_origin"]).alias("country_origin"), errors.alias("errors"))
+    return read.withColumn("error", F.get("errors", F.lit(0)))
 
 
 def stem(path: Column) -> Column:
@@ -56,31 +64,28 @@ def sniffed_type(content: Column) -> Column:
     return F.when(head.startswith("89504E470D0A1A0A"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("52494646") & F.substring(head, 17, 8).eqNullSafe(F.lit("57454250")), "image/webp")
 
 
-def png_size(content: Column) -> Column:
-    """Width and height from a PNG's header."""
-    def number(at: int) -> Column:
-        return F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
-
-    return F.when(sniffed_type(content) == "image/png", F.struct(number(17).alias("width"), number(21).alias("height")))
-
-
 def size_errors(width: Column, height: Column) -> Column:
-    return F.when((width <= 0) | (height <= 0), "empty image").when(F.greatest(width, height) > MOST_SIDE, "a side is too long").when(width * height > MOST_PIXELS, "too many pixels")
+    return F.when((width <= 0) | (height <= 0), "empty image").when(F.greatest(width, height) > MOST_SIDE, "a side is too long").when(width.cast("bigint") * height > MOST_PIXELS, "too many pixels")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, media_type, error): images of a folder; type by content against type by name, and size, are checked; content stays on the executors."""
+    """(path, bytes, media_type, width, height, error): images of a folder, checked by their bytes; content stays on the executors, and that of larger files is not read. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     names = F.create_map(*(F.lit(x) for pair in MEDIA_TYPES.items() for x in pair))
     named = F.try_element_at(names, F.lower(F.substring_index("path", ".", -1)))
-    shown, size = sniffed_type(F.col("content")), png_size(F.col("content"))
+    kinds = HEADER.simpleString()
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", "length", image_header("content").alias("h"))
+    large = files.where(F.col("length") > MOST_BYTES).select("path", "length", F.lit(None).cast(kinds).alias("h"))
+    h = F.col("h")
     error = (
         F.when(named.isNull(), "not a PNG, JPEG or WebP image")
         .when(F.col("length") > MOST_BYTES, "larger than 10 MB")
-        .when(~shown.eqNullSafe(named), "content is not of the declared type")
-        .otherwise(size_errors(size.width, size.height))
+        .when(~h.media_type.eqNullSafe(named), "content is not of the declared type")
+        .when(h.width.isNull() | h.height.isNull(), "not a readable image")
+        .when(h.frames != 1, "animated images are not supported")
+        .otherwise(F.coalesce(size_errors(h.width, h.height), F.when(~h.complete, "not a readable image")))
     )
-    return files.select("path", F.col("length").alias("bytes"), shown.alias("media_type"), error.alias("error"))
+    return small.unionByName(large).select("path", F.col("length").alias("bytes"), h.media_type.alias("media_type"), h.width.alias("width"), h.height.alias("height"), error.alias("error"))
 
 
 def export_status(status: Column) -> Column:

@@ -15,6 +15,26 @@ from docproof.sources import manifest, records
 WHOLE = f"{HEADING}: {' '.join(CLAUSES)}"
 
 
+def chunk(kind, data):
+    return struct.pack(">I4s", len(data), kind) + data + b"crc."
+
+
+def png(width, height, more=b""):
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + more + chunk(b"IDAT", b"data") + chunk(b"IEND", b"")
+
+
+def jpeg(width, height):
+    part = lambda marker, data: struct.pack(">BBH", 255, marker, len(data) + 2) + data
+    return b"\xff\xd8" + part(0xE0, b"JFIF\0") + part(0xC4, b"tables") + b"\xff" + part(0xC2, struct.pack(">BHHB", 8, height, width, 3)) + part(0xDA, b"scan") + b"\x12\xff\x00\x34\xff\xd9"
+
+
+def webp(width, height, frames=0):
+    part = lambda kind, data: struct.pack("<4sI", kind, len(data)) + data + b"\0" * (len(data) % 2)
+    size = lambda n: (n - 1).to_bytes(3, "little")
+    body = part(b"VP8X", bytes([2, 0, 0, 0]) + size(width) + size(height)) + part(b"ANMF", b"frame") * frames if frames else part(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", width, height) + b"data")
+    return struct.pack("<4sI4s", b"RIFF", len(body) + 4, b"WEBP") + body
+
+
 def one(spark, column, *values, kind="string"):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
     return [r[0] for r in rows.orderBy("i").select(column(F.col("v"))).collect()]
@@ -171,15 +191,21 @@ def test_word_files(spark, tmp_path):
 
 def test_records_images_and_results(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for name, row in {"T01.json": {"brand": "B", "abv": "45", "imported": False}, "ABC.json": {"brand_name": "C", "imported_product": "maybe"}}.items():
+    full = {"class_type": "Gin", "abv": "45", "net_contents": "1 L", "producer_name": "P", "producer_address": "A"}
+    for name, row in {"T01.json": {**full, "brand": "B", "imported": False, "country_origin": "France"}, "ABC.json": {**full, "brand_name": "C", "imported_product": "true"}, "part.json": {"brand": None, "imported": True, "class_type": "Gin", "country_of_origin": "Chile"}}.items():
         (tmp_path / "in" / name).write_text(json.dumps(row))
     got = {r.path.rsplit("/", 1)[1]: r for r in records.read_records(spark, str(tmp_path / "in" / "*.json")).collect()}
-    assert (got["T01.json"].brand_name, got["T01.json"].abv, got["T01.json"].imported_product, got["T01.json"].error) == ("B", 45.0, False, None) and got["ABC.json"].error
-    image = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
-    huge = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 13000, 10)
-    for name, data in {"T01_x.png": image, "ABC.jpg": image, "far.png": huge, "n.txt": b"x"}.items():
+    assert (got["T01.json"].brand_name, got["T01.json"].abv, got["T01.json"].imported_product, got["T01.json"].error) == ("B", 45.0, False, None) and got["T01.json"].country_origin is None
+    assert got["ABC.json"].errors == ["imported_product must be true or false"] and got["ABC.json"].imported_product is None
+    assert got["part.json"].errors == [f"{f} is missing" for f in records.REQUIRED if f != "class_type"] and got["part.json"].country_origin == "Chile"
+    image, huge = png(640, 480), png(13000, 10)
+    pictures = {"cut.png": image[:-6], "moves.png": png(9, 9, chunk(b"acTL", struct.pack(">II", 3, 0))), "a.jpeg": jpeg(300, 200), "cut.jpg": jpeg(300, 200)[:-2], "a.webp": webp(320, 240), "moves.webp": webp(32, 24, 2), "cut.webp": webp(320, 240)[:-3], "wide.jpg": jpeg(13000, 2)}
+    for name, data in {"T01_x.png": image, "ABC.jpg": image, "far.png": huge, "n.txt": b"x", **pictures}.items():
         (tmp_path / "in" / name).write_bytes(data)
-    read = {r.path.rsplit("/", 1)[1]: r.error for r in records.read_images(spark, str(tmp_path / "in")).collect()}
+    rows = {r.path.rsplit("/", 1)[1]: r for r in records.read_images(spark, str(tmp_path / "in")).collect()}
+    read = {k: r.error for k, r in rows.items()}
+    assert {k: (r.width, r.height) for k, r in rows.items() if r.error is None} == {"T01_x.png": (640, 480), "a.jpeg": (300, 200), "a.webp": (320, 240)}
+    assert read["cut.png"] == read["cut.jpg"] == read["cut.webp"] == "not a readable image" and read["moves.png"] == read["moves.webp"] == "animated images are not supported" and "side" in read["wide.jpg"]
     assert read["T01_x.png"] is None and "declared" in read["ABC.jpg"] and "side" in read["far.png"] and "not a PNG" in read["n.txt"]
     images = spark.createDataFrame([("d/T01_x.png",), ("d/ABC.jpg",), ("d/none.png",)], "path string")
     jsons = spark.createDataFrame([("d/T01.json",), ("d/ABC.json",)], "path string")
