@@ -155,7 +155,7 @@ def without_trailing_mark(text: Column) -> Column:
 
 
 def warning_key(text: Column) -> Column:
-    return F.regexp_replace(_collapse(F.translate(folded(text), "“”–—", '""--')), r" +([,:;.])", "$1")
+    return F.regexp_replace(_collapse(F.translate(folded(text), "–—", "--")), r" +([,:;.])", "$1")
 
 
 def tokens(text: Column) -> Column:

@@ -15,13 +15,14 @@ LINE = ["doc_id", "page", "block", "paragraph", "line"]
 
 
 def split_lines(words: DataFrame) -> DataFrame:
-    """Adds segment to words with image_width: a line breaks where the gap exceeds 3.5 median heights and 8 % of the image. One shuffle, by line."""
+    """Adds segment to words with image_width: a line breaks where the gap exceeds 3.5 median heights and 8 % of the image; a word without any ids is a line of its own. One shuffle, by line."""
     whole, order = Window.partitionBy(*LINE), Window.partitionBy(*LINE).orderBy("left", "ordinal")
     gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)
     measured = words.select("*", gap.alias("_gap"), F.percentile("height", 0.5).over(whole).alias("_height"), F.bool_and(F.col("left").isNotNull()).over(whole).alias("_boxed"))
     wide = F.col("_boxed") & (F.col("_gap") > F.greatest(3.5 * F.col("_height"), 0.08 * F.col("image_width")))
     parted = measured.withColumn("_wide", F.coalesce(wide, F.lit(False)).cast("int"))
-    return parted.withColumn("segment", F.sum("_wide").over(order)).drop("_wide", "_height", "_boxed", "_gap")
+    alone = F.coalesce(*(F.col(c).cast("string") for c in LINE[1:])).isNull()
+    return parted.withColumn("segment", F.when(alone, F.col("ordinal").cast("bigint")).otherwise(F.sum("_wide").over(order))).drop("_wide", "_height", "_boxed", "_gap")
 
 
 def lines_from(words: DataFrame) -> DataFrame:

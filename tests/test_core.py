@@ -47,7 +47,7 @@ def test_text_keys(spark):
     assert one(spark, T.address_key, "Louisville, Kentucky", "LOUISVILLE KY", "Charleston, West Virginia", "Washington, District of Columbia", "Richmond Virginia") == ["louisville ky", "louisville ky", "charleston wv", "wa dc", "richmond va"]
     assert one(spark, T.country_key, " U.S.A. ", "United States of America", "France") == ["united states", "united states", "france"]
     assert one(spark, lambda c: T.address_state(T.address_key(c)), "Louisville, Kentucky 40202", "Louisville") == ["ky", None]
-    assert one(spark, T.warning_key, "“A” –  b ： c .") == ['"a" - b: c.']
+    assert one(spark, T.warning_key, "“A” –  b ： c .") == ["“a” - b: c."]
 
 
 def test_numbers(spark):
@@ -229,6 +229,8 @@ def test_words_to_lines(spark):
     words = spark.createDataFrame(rows, "doc_id int, page int, block int, paragraph int, line int, ordinal int, left int, top int, width int, height int, confidence double, text string, image_width int")
     got = sorted((r.left, r.text) for r in layout.lines_from(layout.split_lines(words)).collect())
     assert got == [(0, "a b"), (400, "c")]
+    loose = spark.createDataFrame([(1, None, None, None, None, k, 0, 10 * k, 30, 10, 0.9, t, 1000) for k, t in enumerate("xyz")], words.schema)
+    assert sorted(r.text for r in layout.lines_from(layout.split_lines(words.unionByName(loose))).collect()) == ["a b", "c", "x", "y", "z"]
     region = spark.createDataFrame([(1, 0)], "doc_id int, ordinal int")
     assert layout.nearest_other(words, region).first().distance == 10.0
 
