@@ -435,7 +435,7 @@ _BOXES = "with w as (select l_orderkey as doc_id, l_returnflag as line, (l_linen
 
 
 @query(f"""{_BOXES}, r as (select doc_id, min(x) as x, min(y) as y, max(x + width) as x2, max(y + height) as y2 from w where line = 'R' group by doc_id)
-select r.doc_id, round(min(sqrt(power(greatest(r.x - (b.x + b.width), b.x - r.x2, 0), 2) + power(greatest(r.y - (b.y + b.height), b.y - r.y2, 0), 2))), 6) as distance
+select r.doc_id, round(min(case when b.doc_id is not null then sqrt(power(greatest(r.x - (b.x + b.width), b.x - r.x2, 0), 2) + power(greatest(r.y - (b.y + b.height), b.y - r.y2, 0), 2)) end), 6) as distance
 from r left join (select * from w where line <> 'R') b on b.doc_id = r.doc_id group by r.doc_id""")
 def nearest_boxes(spark, sf_dir):
     """The gap between the box around a region and the nearest other word."""
