@@ -62,6 +62,13 @@ def read_lines(words: DataFrame) -> DataFrame:
     return placed.select("doc_id", F.col("sequence_number").alias("line_number"), "text", *BOX, "panel_id", F.col("median_height").alias("line_height"), "mean_confidence", "image_width", "image_height", "words")
 
 
+def spoken(words: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text): the words of each line joined by spaces, lines in order of their first word, one below the other."""
+    order = F.struct("left", "ordinal", "text")
+    lined = words.groupBy(*keys, *LINE[1:]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda w: w.text), " ").alias("t"), F.min("ordinal").alias("o"))
+    return lined.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda l: l.t), "\n").alias("text"))
+
+
 def union_box(boxes: Column) -> Column:
     """The smallest box around an array of boxes; null for none."""
     boxes = F.filter(boxes, lambda b: b.left.isNotNull())

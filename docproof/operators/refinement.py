@@ -40,6 +40,10 @@ class Reading(NamedTuple):
     words: DataFrame
 
 
+EVIDENCE = "field string, trigger string, full_image_candidates array<string>, refined_text string, selected boolean, mode int, mean_confidence double, duration_ms double, left int, top int, width int, height int"
+CALLS = "n_calls bigint, duration_ms double, warnings array<string>"
+
+
 class Refinement(NamedTuple):
     candidates: DataFrame
     results: DataFrame
@@ -229,12 +233,16 @@ def _by_plan(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.field").alias("field"), *(c for c in rows.columns if c != "doc_id"))
 
 
-def refine(applications: DataFrame, candidates: DataFrame, results: DataFrame, lines: DataFrame, read: Callable[[DataFrame], Reading], excluded: DataFrame | None = None) -> Refinement:
+def refine(applications: DataFrame, candidates: DataFrame, results: DataFrame, lines: DataFrame, read: Callable[[DataFrame], Reading] | None, excluded: DataFrame | None = None) -> Refinement:
     """Plans, reads, judges, and compares again what was replaced.
 
     ``read`` takes the plans. evidence has one row for each reading that succeeded; calls(doc_id, n_calls, duration_ms,
-    warnings) counts failed ones too, which keep what the label had.
+    warnings) counts failed ones too, which keep what the label had. Without a reader of regions nothing is planned.
     """
+    if read is None:
+        nothing = candidates.sparkSession.createDataFrame
+        key = f"doc_id {candidates.schema['doc_id'].dataType.simpleString()}"
+        return Refinement(candidates, results, nothing([], f"{key}, {EVIDENCE}"), nothing([], f"{key}, {CALLS}"))
     lines, candidates, results = cut(lines), cut(candidates), cut(results)
     planned = cut(plans(results, candidates, lines, excluded))
     rows = cut(judged(planned, candidates, lines, read(planned)))
@@ -258,9 +266,7 @@ def from_words(words: DataFrame) -> Callable[[DataFrame], Reading]:
         x, y = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
         inside = x.between(F.col("_left"), F.col("_left") + F.col("_width")) & y.between(F.col("_top"), F.col("_top") + F.col("_height"))
         held = words.join(region, "doc_id").where(inside).drop(*(f"_{c}" for c in BOX))
-        order = F.struct("page", "block", "paragraph", "line", "left", "ordinal", "text")
-        lined = held.groupBy("doc_id", "field", "page", "block", "paragraph", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda w: w.text), " ").alias("t"), F.min("ordinal").alias("o"))
-        said = lined.groupBy("doc_id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda l: l.t), "\n").alias("text"))
+        said = layout.spoken(held, "doc_id", "field")
         outcomes = planned.select("doc_id", "field").join(said, ["doc_id", "field"], "left")
         return Reading(outcomes.select("doc_id", "field", "text", F.lit(0.0).alias("duration_ms"), F.when(F.col("text").isNull(), "processing").alias("error")), held)
 

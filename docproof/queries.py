@@ -11,7 +11,7 @@ from docproof.functions import text as T
 from docproof.operators import comparison, extraction, layout, pixels, refinement, warning
 from docproof.plans.label_data import BRAND_TOP, CLAUSES, EXCLUDED, FINER, FINER_CONFIDENCE, HEADING, LETTER, LINES, PRINTED, ROW_APART, SMUDGED, WARNING_BOXES, WORD_CONFIDENCE, applications, excluded_regions, for_duckdb, label_lines, label_words, lines_of_applications, warning_texts, warning_words
 from docproof.plans.stages import cut
-from docproof.sources import manifest
+from docproof.sources import crops, manifest, reading
 
 QUERIES, ORACLES = {}, {}
 
@@ -513,3 +513,54 @@ union all select doc_id, 'net_contents', case when {SMUDGED} then case when a.se
 def refined_results(spark, sf_dir):
     """Fields compared again where a second reading replaced the first."""
     return _refined(spark, sf_dir).results.where(F.col("field").isin(*refinement.ORDER)).select("doc_id", "field", "status")
+
+
+#: Labels as plain pages; every 31st is not in UTF-8.
+_SPOILT = "doc_id % 31 = 5"
+
+
+@query(for_duckdb(f"""select doc_id, case when not ({_SPOILT}) then string_agg(text, chr(10) order by line_number) end as text, case when {_SPOILT} then 'processing' end as error,
+  case when {_SPOILT} then 0 else sum(len(string_split(text, ' '))) end::bigint as n_words, case when {_SPOILT} then 0 else max(length(text)) * 10 end::bigint as image_width from lines group by doc_id"""))
+def service_readings(spark, sf_dir):
+    """What a reading service finds on every label, and the code of what it cannot read."""
+    line = F.array_sort(F.collect_list(F.struct("line_number", "text")))
+    pages = label_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(line, lambda l: l.text), "\n").alias("t"))
+    content = F.when(F.expr(_SPOILT), F.concat(F.unhex(F.lit("FF")), F.encode("t", "UTF-8"))).otherwise(F.encode("t", "UTF-8"))
+    got = reading.read(pages.select("doc_id", content.alias("content"), F.lit("text/plain").alias("media_type")), reading.PlainPages())
+    sizes = got.words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.max("image_width").cast("bigint").alias("image_width"))
+    return got.outcomes.join(sizes, "doc_id", "left").select("doc_id", "text", "error", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("image_width", F.lit(0)).alias("image_width"))
+
+
+#: The crops of a label: its warning, and the left half of it; a file has the labels of a hundred ids.
+_CROPS = {"whole": (0, 190, 1000, 800), "half": (0, 190, 400, 800)}
+
+
+def _heldout(spark, sf_dir) -> DataFrame:
+    """Crops that JSON files of labels with a printed warning name, with the label's id."""
+    named = F.array(*(F.struct(F.lit(n).alias("name"), F.concat(F.lit("https://labels.example/"), "doc_id", F.lit(".png?full")).alias("source"), F.array(*map(F.lit, box)).alias("crop")) for n, box in _CROPS.items()))
+    each = applications(spark, sf_dir).select("doc_id", F.explode(named).alias("c"))
+    files = each.groupBy(F.floor(F.col("doc_id") / 100).alias("path")).agg(F.to_json(F.struct(F.array_sort(F.collect_list("c")).alias("heldout"))).alias("evidence"))
+    found = crops.crops(files).where("error is null")
+    return found.withColumn("doc_id", F.regexp_extract("image", r"\A\d+", 0).cast(each.schema["doc_id"].dataType)).withColumn("crop", F.concat_ws("/", "doc_id", "name"))
+
+
+@query(for_duckdb(f"""{WARNING_BOXES}, c as (select * from (values {', '.join(f"('{n}', {x}, {y}, {r}, {b})" for n, (x, y, r, b) in _CROPS.items())}) c(name, l, t, r, b))
+select doc_id, name, count(*) as n_words, min(x - l) as "left", max(least(x + width, r) - l) as "right", string_agg(text, ' ' order by k) as text
+from b, c where x + width / 2.0 >= l and x + width / 2.0 < r and y + 10 >= t and y + 10 < c.b group by doc_id, name"""))
+def heldout_words(spark, sf_dir):
+    """The words that stand in held-out crops, cut to them and counted from their corners."""
+    regions = _heldout(spark, sf_dir)
+    held = crops.words_in(regions, warning_words(spark, sf_dir)).groupBy(F.col("doc_id").alias("crop")).agg(
+        F.count("*").alias("n_words"), F.min("left").cast("bigint").alias("left"), F.max(F.col("left") + F.col("width")).cast("bigint").alias("right"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda w: w.text), " ").alias("text")
+    )
+    return held.join(regions.select("crop", "doc_id", "name"), "crop").drop("crop")
+
+
+@query(for_duckdb(f"""select 'whole' as "group", "check", {_COUNTS} from (
+  select 'presence' as "check", {_PRESENCE} as status from warnings union all select 'heading_capitalization', {_CAPITALS} from warnings union all select 'continuous_statement', case when w is null then 'not_found' when not {_ORDERED} then 'mismatch' when {ROW_APART} - 20 > 2.5 * 20 then 'review' else 'match' end from warnings
+  union all select 'separation', case when w is null then 'not_found' else 'match' end from warnings) group by "check" """))
+def heldout_check_counts(spark, sf_dir):
+    """Checks of the whole warnings among held-out crops: no other word is in a crop, so nothing is near."""
+    regions = _heldout(spark, sf_dir).where("name = 'whole'")
+    checks = crops.checked(regions, warning_words(spark, sf_dir)).where(F.col("check").isin("presence", "heading_capitalization", "continuous_statement", "separation"))
+    return crops.report(regions.select(F.col("crop").alias("doc_id"), F.col("name").alias("group")), checks).where("check <> 'overall'")
