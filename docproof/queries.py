@@ -11,7 +11,7 @@ from docproof.functions import text as T
 from docproof.operators import comparison, extraction, layout, pixels, refinement, warning
 from docproof.plans.label_data import BRAND_TOP, CLAUSES, EXCLUDED, FINER, FINER_CONFIDENCE, HEADING, LETTER, LINES, PRINTED, ROW_APART, SMUDGED, WARNING_BOXES, WORD_CONFIDENCE, applications, excluded_regions, for_duckdb, label_lines, label_words, lines_of_applications, warning_texts, warning_words
 from docproof.plans.stages import cut
-from docproof.sources import crops, manifest, reading
+from docproof.sources import crops, manifest, reading, response
 
 QUERIES, ORACLES = {}, {}
 
@@ -564,3 +564,50 @@ def heldout_check_counts(spark, sf_dir):
     regions = _heldout(spark, sf_dir).where("name = 'whole'")
     checks = crops.checked(regions, warning_words(spark, sf_dir)).where(F.col("check").isin("presence", "heading_capitalization", "continuous_statement", "separation"))
     return crops.report(regions.select(F.col("crop").alias("doc_id"), F.col("name").alias("group")), checks).where("check <> 'overall'")
+
+
+_N_CANDIDATES = "(doc_id % 13 <> 0)::int + 4 + (doc_id % 17 = 0)::int + (doc_id % 23 = 0 or doc_id % 29 <> 0)::int + imported_product::int"
+
+
+@query(for_duckdb(f"""{", " + _RESULTS}, f as (select doc_id, ['All checked application fields match the label.', 'One or more fields require manual review.', 'One or more application fields do not match the label.'][{_WORST}] as summary, max(status) filter (field = 'brand_name') as brand, max(status) filter (field = 'country_origin') as country from res group by doc_id)
+select doc_id, '' as errors, summary, brand, country, ({_N_CANDIDATES})::bigint as n_candidates, w is not null as located, {_WORDING} as wording, 1::bigint as n_readings from apps join f using (doc_id) join warnings using (doc_id)"""))
+def verification_responses(spark, sf_dir):
+    """Whole responses of the labels, read back from their JSON."""
+    apps = applications(spark, sf_dir)
+    candidates = cut(extraction.extract(lines_of_applications(apps)))
+    results = cut(comparison.compare(apps, candidates))
+    texts = warning_texts(spark, sf_dir)
+    readings = texts.withColumns({"engine": F.lit("plain"), "duration_ms": F.lit(1.0), "total_ms": F.lit(2.0), "warnings": F.lit(None).cast("array<string>")})
+    rows = response.responses(apps, candidates, results, comparison.overall(results), readings, _warned(spark, sf_dir), _checked(spark, sf_dir))
+    at = lambda path: F.get_json_object("response", path)
+    n = sum((F.json_array_length(at(f"$.candidates.{f}")) for f in comparison.FIELDS), F.lit(0).cast("bigint"))
+    return rows.select(
+        "doc_id", F.array_join(response.shape_errors(F.col("response")), "; ").alias("errors"), at("$.overall_summary").alias("summary"), at("$.results.brand_name.status").alias("brand"), at("$.results.country_origin.status").alias("country"), n.alias("n_candidates"),
+        at("$.government_warning.localized_text").isNotNull().alias("located"), response.check_statuses(F.col("response"))[1].alias("wording"), at("$.ocr_invocation_count").cast("bigint").alias("n_readings"),
+    )
+
+
+#: Responses of another service: a missing summary, a number in quotes, a list for an object, an unknown status, an explanation that is a number, a field left out, or text that ends too soon.
+_PAYLOAD = (
+    "concat('{\"overall_summary\": ', case doc_id % 9 when 1 then 'null' else '\"fine\"' end, ', \"raw_text\": \"', class_type, '\", \"engine\": \"plain\", \"total_verification_duration_ms\": ', case doc_id % 9 when 2 then '\"12\"' else cast(cast(abv as int) as varchar(9)) end, "
+    "', \"ocr_duration_ms\": 8.5, \"government_warning\": ', case doc_id % 9 when 3 then '[]' else '{}' end, ', \"results\": {', "
+    + ", ', ', ".join(
+        f"'\"{f}\": {{\"status\": \"', case when doc_id % 9 = 4 and doc_id % 7 = {k} then 'fine' else 'match' end, '\", \"explanation\": ', case when doc_id % 9 = 5 and doc_id % 7 = {k} then '1' else '\"as stated\"' end, '}}'" if k else f"case doc_id % 9 when 6 then '\"more\": 1' else '\"{f}\": {{\"status\": \"review\", \"explanation\": \"near\"}}' end"
+        for k, f in enumerate(comparison.FIELDS)
+    )
+    + ", case doc_id % 9 when 7 then '}' else '}}' end)"
+)
+_STATUSES = ", ".join(f"'{s}'" for s in comparison.SEVERITY)
+_SHAPE = ", ".join(
+    [f"case when coalesce(json_type(j, '$.{c}'), '') <> 'VARCHAR' then '{c} is no text' end" for c in response.TEXTS]
+    + [f"case when coalesce(json_type(j, '$.{c}'), '') not in ('BIGINT', 'UBIGINT', 'DOUBLE') then '{c} is no number' end" for c in response.NUMBERS]
+    + [f"case when coalesce(json_type(j, '$.{c}'), '') <> 'OBJECT' then '{c} is no object' end" for c in response.OBJECTS]
+    + [t for f in comparison.FIELDS for t in (f"case when coalesce(json_extract_string(j, '$.results.{f}.status') not in ({_STATUSES}), true) then '{f} has no known status' end", f"case when coalesce(json_type(j, '$.results.{f}.explanation'), '') <> 'VARCHAR' then '{f} has no explanation' end")]
+)
+
+
+@query(for_duckdb(f"""select doc_id, case when j is null then 'not a JSON object' else array_to_string(list_filter([{_SHAPE}], lambda x: x is not null), '; ') end as errors
+from (select doc_id, case when json_valid(p) then p::json end as j from (select doc_id, {_PAYLOAD} as p from apps))"""))
+def response_errors(spark, sf_dir):
+    """What is wrong with responses of another service."""
+    return applications(spark, sf_dir).select("doc_id", F.array_join(response.shape_errors(F.expr(_PAYLOAD)), "; ").alias("errors"))
