@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docproof.functions import text as T
-from docproof.operators import comparison, extraction, layout, pixels, refinement, warning
+from docproof.operators import comparison, evaluation, extraction, layout, pixels, refinement, warning
 from docproof.plans.label_data import BRAND_TOP, CLAUSES, EXCLUDED, FINER, FINER_CONFIDENCE, HEADING, LETTER, LINES, PRINTED, ROW_APART, SMUDGED, WARNING_BOXES, WORD_CONFIDENCE, applications, excluded_regions, for_duckdb, label_lines, label_words, lines_of_applications, warning_texts, warning_words
+from docproof.plans import cases as generated
 from docproof.plans.stages import cut
 from docproof.sources import crops, manifest, reading, response
 
@@ -611,3 +612,20 @@ from (select doc_id, case when json_valid(p) then p::json end as j from (select
 def response_errors(spark, sf_dir):
     """What is wrong with responses of another service."""
     return applications(spark, sf_dir).select("doc_id", F.array_join(response.shape_errors(F.expr(_PAYLOAD)), "; ").alias("errors"))
+
+
+_KIND = f"[{', '.join(f"'{k}'" for k in generated.KINDS)}][doc_id % {len(generated.KINDS)} + 1]"
+_CASE_CHECKS = ", ".join(f"'{c}'" for c in (*generated.FIELDS, *generated.WARNING_CHECKS))
+
+
+@query(for_duckdb(f"""select {_KIND} as kind, field, count(*) as n_cases, count(*) as n_exact, 0::bigint as n_false_match, 0::bigint as n_false_mismatch from apps, unnest([{_CASE_CHECKS}]) c(field) group by all"""))
+def generated_cases(spark, sf_dir):
+    """Every application as a case of one kind, run through fields and warning, and judged: each case gives what its kind calls for."""
+    cases = cut(generated.cases(applications(spark, sf_dir)))
+    lines, texts = generated.printed(cases)
+    fields = comparison.compare(cases, extraction.extract(lines)).select("doc_id", "field", "status")
+    volume = cases.select("doc_id", T.volume(F.col("net_contents")).alias("ml"))
+    checks = warning.checks(warning.localised(texts).join(volume, "doc_id"), F.col("ml")).where(F.col("check").isin(*generated.WARNING_CHECKS)).select("doc_id", F.col("check").alias("field"), "status")
+    told = evaluation.judged(generated.expected(cases), fields.unionByName(checks))
+    counted = {f"n_{v}": F.count_if(F.col("verdict") == v) for v in ("exact", "false_match", "false_mismatch")}
+    return told.groupBy("kind", "field").agg(F.count("*").alias("n_cases"), *(c.alias(n) for n, c in counted.items()))
