@@ -71,9 +71,12 @@ class WordsError(ValueError):
 
 
 def check_words_header(spark: SparkSession, path: str) -> None:
-    header = spark.read.text(path).first()
-    if header is not None and "text" not in header[0].split("\t"):
-        raise WordsError("no column named text")
+    """Every file's first row must name a text column; the rows of a file's first block decide, in their order."""
+    rows = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    first = rows.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    wrong = first.where(~F.array_contains(F.split("header", "\t"), "text")).orderBy("path").first()
+    if wrong is not None:
+        raise WordsError(f"no column named text in {wrong.path}")
 
 
 def raw_text(words: DataFrame) -> DataFrame:

@@ -187,6 +187,10 @@ def test_word_files(spark, tmp_path):
     (tmp_path / "v.tsv").write_text("level\tconf\n5\t1\n")
     with pytest.raises(manifest.WordsError):
         manifest.read_words(spark, str(tmp_path / "v.tsv"))
+    with pytest.raises(manifest.WordsError, match="v.tsv"):
+        manifest.read_words(spark, str(tmp_path))
+    (tmp_path / "v.tsv").write_text("")
+    assert manifest.read_words(spark, str(tmp_path)).count() == 3
 
 
 def test_records_images_and_results(spark, tmp_path):
