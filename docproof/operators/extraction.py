@@ -31,9 +31,10 @@ ORIGIN = r"(?iU)\b(?:product\s+of|produced\s+in|imported\s+from|made\s+in)\s+([A
 TORN_PINT = rf"(?iU)(?<![\w.])\d+(?:\.\d+)?\s*(?:pints?|pt)\.?\s+\d+(?:\.\d+)?\s+\S"
 _NAMES, _CODES = "|".join(sorted(T.STATES, key=len, reverse=True)), "|".join(sorted(set(T.STATES.values())))
 INLINE_ADDRESS = rf"(?iU)\A(.+?),\s*([A-Za-z .'-]+),\s*({_NAMES}|{_CODES}|state)(?:\s+\d{{5}}(?:-\d{{4}})?)?\s*\z"
+#: Only looked for, so one letter before a state tells as much as all of them, in time linear in a line's length.
 ADDRESS = (
     r"(?iU)\b\d{5}(?:-\d{4})?\s*\z|\b(?:street|st\.?|road|rd\.?|avenue|ave\.?|boulevard|blvd\.?|lane|ln\.?|drive|dr\.?|highway|hwy\.?|p\.?\s*o\.?\s*box)\b|"
-    rf"[A-Za-z .'-]+(?:,\s*|\.\s+|\s+)(?:{_CODES})(?:\s+\d{{5}})?\s*\z|[A-Za-z .'-]+(?:,\s*|\.\s+|\s+)(?:{_NAMES})\s*\z|[A-Za-z .'-]+,\s*STATE\s*\z"
+    rf"[A-Za-z .'-](?:,\s*|\.\s+|\s+)(?:{_CODES})(?:\s+\d{{5}})?\s*\z|[A-Za-z .'-](?:,\s*|\.\s+|\s+)(?:{_NAMES})\s*\z|[A-Za-z .'-],\s*STATE\s*\z"
 )
 #: Columns of a line that may be missing.
 BOX = {"left": "double", "top": "double", "width": "double", "height": "double", "panel_id": "int", "line_height": "double", "mean_confidence": "double", "image_height": "double"}
@@ -64,19 +65,20 @@ def _if(condition: Column, *candidates: Column) -> Column:
 
 
 def abv_of(text: Column, number: Column) -> Column:
-    """Every stated percentage of alcohol over 0 and at most 100."""
+    """Every stated percentage of alcohol over 0 and at most 100; text without a sign or word for one is not searched."""
     found = []
     for p in ABV:
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), 0).alias("whole"), F.regexp_extract_all(text, F.lit(p), 1).alias("value"))
         fit = F.filter(pairs, lambda m: (m.value.cast("double") > 0) & (m.value.cast("double") <= 100))
         found.append(F.transform(fit, lambda m: candidate("abv", _stripped(m.whole, " ,;"), text, number, m.value.cast("double"))))
-    return F.concat(*found).cast(CANDIDATE)
+    return F.when(~text.rlike(r"%|(?i)percent"), F.array().cast(CANDIDATE)).otherwise(F.concat(*found).cast(CANDIDATE))
 
 
 def volumes_of(text: Column, number: Column) -> Column:
     """Stated volumes; pints, ounces and millilitres of one statement that agree within 1 ml or 1 % are one value.
 
-    A lone pint with another number and more text behind it is half a statement and counts for nothing.
+    A lone pint with another number and more text behind it is half a statement and counts for nothing. Every statement
+    has a plain volume in it, so text without one is not searched further.
     """
     parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(COMPOUND), k).alias(f"g{k}") for k in range(5)))
     whole = F.filter(parts, lambda m: m.g3.cast("double") > 0)
@@ -93,7 +95,7 @@ def volumes_of(text: Column, number: Column) -> Column:
     single = F.filter(single, lambda m: m.g1.cast("double") > 0)
     each = F.transform(single, lambda m: candidate("net_contents", F.trim(m.g0), text, number, T.millilitres(m.g1, m.g2)))
     torn = (F.size(F.regexp_extract_all(text, F.lit(VOLUME), 0)) == 1) & text.rlike(TORN_PINT)
-    return F.when(torn, F.array()).otherwise(F.concat(F.flatten(F.transform(whole, both)), each)).cast(CANDIDATE)
+    return F.when(~text.rlike(VOLUME) | torn, F.array()).otherwise(F.concat(F.flatten(F.transform(whole, both)), each)).cast(CANDIDATE)
 
 
 def countries_of(text: Column, number: Column) -> Column:
@@ -207,8 +209,11 @@ def _addresses(l: Column, n1: Column, n2: Column, n3: Column, takes: Column, box
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    """(doc_id, field, raw_value, norm_text, norm_num, source_line, line_number, score, boxed, ordinal) from rows(doc_id, c)."""
-    each = rows.select("doc_id", F.posexplode("c").alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
+    """(doc_id, field, raw_value, norm_text, norm_num, source_line, line_number, score, boxed, ordinal) from rows(doc_id, c).
+
+    Exploded as outer and filtered behind it: before an inner one the optimizer asks for the size of c, and so finds all candidates twice.
+    """
+    each = rows.select("doc_id", F.posexplode_outer("c").alias("ordinal", "c")).where("c is not null").select("doc_id", "ordinal", "c.*")
     key = T.text_key(F.col("raw_value"))
     field = F.col("field")
     norm = F.when(field.isin("abv", "net_contents"), None).when(field == "producer_address", T.state_codes(key)).when(field == "country_origin", T.country_of_key(key)).otherwise(key)

@@ -50,7 +50,9 @@ def for_duckdb(query: str) -> str:
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(APPLICATIONS.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in _TABLES}))
+    """The applications, dealt over tasks by their id while they are narrow: a small file is one task, and what is made of an application is many times its size and stays where it is."""
+    rows = spark.sql(APPLICATIONS.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in _TABLES}))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def lines_of_applications(apps: DataFrame) -> DataFrame:

@@ -621,7 +621,7 @@ _CASE_CHECKS = ", ".join(f"'{c}'" for c in (*generated.FIELDS, *generated.WARNIN
 @query(for_duckdb(f"""select {_KIND} as kind, field, count(*) as n_cases, count(*) as n_exact, 0::bigint as n_false_match, 0::bigint as n_false_mismatch from apps, unnest([{_CASE_CHECKS}]) c(field) group by all"""))
 def generated_cases(spark, sf_dir):
     """Every application as a case of one kind, run through fields and warning, and judged: each case gives what its kind calls for."""
-    cases = cut(generated.cases(applications(spark, sf_dir)))
+    cases = generated.cases(applications(spark, sf_dir))
     lines, texts = generated.printed(cases)
     fields = comparison.compare(cases, extraction.extract(lines)).select("doc_id", "field", "status")
     volume = cases.select("doc_id", T.volume(F.col("net_contents")).alias("ml"))
