@@ -580,12 +580,16 @@ def verification_responses(spark, sf_dir):
     texts = warning_texts(spark, sf_dir)
     readings = texts.withColumns({"engine": F.lit("plain"), "duration_ms": F.lit(1.0), "total_ms": F.lit(2.0), "warnings": F.lit(None).cast("array<string>")})
     rows = response.responses(apps, candidates, results, comparison.overall(results), readings, _warned(spark, sf_dir), _checked(spark, sf_dir))
-    at = lambda path: F.get_json_object("response", path)
-    n = sum((F.json_array_length(at(f"$.candidates.{f}")) for f in comparison.FIELDS), F.lit(0).cast("bigint"))
-    return rows.select(
-        "doc_id", F.array_join(response.shape_errors(F.col("response")), "; ").alias("errors"), at("$.overall_summary").alias("summary"), at("$.results.brand_name.status").alias("brand"), at("$.results.country_origin.status").alias("country"), n.alias("n_candidates"),
-        at("$.government_warning.localized_text").isNotNull().alias("located"), response.check_statuses(F.col("response"))[1].alias("wording"), at("$.ocr_invocation_count").cast("bigint").alias("n_readings"),
-    )
+
+    def told(v):
+        at = lambda path, kind="string": F.try_variant_get(v, path, kind)
+        n = sum((F.size(at(f"$.candidates.{f}", "array<variant>")) for f in comparison.FIELDS), F.lit(0)).cast("bigint")
+        return F.struct(
+            F.array_join(response.shape_errors_of(v), "; ").alias("errors"), at("$.overall_summary").alias("summary"), at("$.results.brand_name.status").alias("brand"), at("$.results.country_origin.status").alias("country"), n.alias("n_candidates"),
+            at("$.government_warning.localized_text").isNotNull().alias("located"), response.check_statuses_of(v)[1].alias("wording"), at("$.ocr_invocation_count", "bigint").alias("n_readings"),
+        )
+
+    return rows.select("doc_id", response.parsed_once(F.col("response"), told).alias("t")).select("doc_id", "t.*")
 
 
 #: Responses of another service: a missing summary, a number in quotes, a list for an object, an unknown status, an explanation that is a number, a field left out, or text that ends too soon.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,30 +71,46 @@ def responses(applications: DataFrame, candidates: DataFrame, results: DataFrame
     return rows.select(d, F.to_json(response).alias("response"))
 
 
+def parsed_once(payload: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a payload's parsed value, null for text that is no JSON: a value bound by a function of an array is parsed once, however often ``of`` asks for it."""
+    return F.get(F.transform(F.array(F.try_parse_json(payload)), of), F.lit(0))
+
+
 def shape_errors(payload: Column) -> Column:
     """What is wrong with a response, an array in the order of the rules; empty for a right one.
 
     Text that is no JSON object, or null, has one error. A null value is a missing one; numbers in quotes are no
     numbers; values that no rule names may be anything.
     """
-    parsed = F.try_parse_json(payload)
+    return parsed_once(payload, shape_errors_of)
+
+
+def shape_errors_of(parsed: Column) -> Column:
+    """As ``shape_errors``, of a parsed payload."""
 
     def kind(path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), F.lit("VOID"))
 
-    number = lambda k: k.startswith("BIGINT") | k.startswith("DECIMAL") | k.startswith("DOUBLE") | k.startswith("FLOAT")
+    def is_object(path: str) -> Column:
+        return F.try_variant_get(parsed, path, "map<string,variant>").isNotNull()
+
+    number = lambda path: kind(path).rlike(r"\A(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
     wrong = [F.when(kind(f"$.{c}") != "STRING", F.lit(f"{c} is no text")) for c in TEXTS]
-    wrong += [F.when(~number(kind(f"$.{c}")), F.lit(f"{c} is no number")) for c in NUMBERS]
-    wrong += [F.when(~kind(f"$.{c}").startswith("OBJECT"), F.lit(f"{c} is no object")) for c in OBJECTS]
+    wrong += [F.when(~number(f"$.{c}"), F.lit(f"{c} is no number")) for c in NUMBERS]
+    wrong += [F.when(~is_object(f"$.{c}"), F.lit(f"{c} is no object")) for c in OBJECTS]
     for f in FIELDS:
         status = F.when(kind(f"$.results.{f}.status") == "STRING", F.try_variant_get(parsed, f"$.results.{f}.status", "string"))
         wrong.append(F.when(~F.coalesce(status.isin(*SEVERITY), F.lit(False)), F.lit(f"{f} has no known status")))
         wrong.append(F.when(kind(f"$.results.{f}.explanation") != "STRING", F.lit(f"{f} has no explanation")))
     none = F.array(F.lit("not a JSON object"))
-    return F.when(kind("$").startswith("OBJECT"), F.array_compact(F.array(*wrong))).otherwise(none)
+    return F.when(is_object("$"), F.filter(F.array(*wrong), lambda w: w.isNotNull())).otherwise(none)
 
 
 def check_statuses(payload: Column) -> Column:
     """The statuses of the warning's checks in a response, in their order; null where one is missing."""
-    parsed = F.try_parse_json(payload)
+    return parsed_once(payload, check_statuses_of)
+
+
+def check_statuses_of(parsed: Column) -> Column:
+    """As ``check_statuses``, of a parsed payload."""
     return F.array(*(F.try_variant_get(parsed, f"$.government_warning.checks.{c}.status", "string") for c in CHECKS))

@@ -5,6 +5,7 @@ import time
 from docproof.functions import text as T
 from docproof.operators import extraction, warning
 from docproof.plans import label_data
+from docproof.sources import response
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,10 @@ def test_an_alignment_is_made_once(spark):
     warning._opcodes.cache_clear()
     words = ("government", "warning", "1", "strange")
     assert warning._opcodes(words) is warning._opcodes(words) and warning._opcodes.cache_info().maxsize == warning.REMEMBERED
+
+
+def test_a_response_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"engine": "plain"}',)], "response string")
+    for f in (response.shape_errors, response.check_statuses):
+        shown = rows.select(f(F.col("response")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+        assert shown.lower().replace("_", "").count("parsejson") == 1
