@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docproof.functions import text as T
 from docproof.operators.comparison import FIELDS, SEVERITY
 from docproof.operators.warning import CHECKS
 
@@ -72,8 +73,8 @@ def responses(applications: DataFrame, candidates: DataFrame, results: DataFrame
 
 
 def parsed_once(payload: Column, of: Callable[[Column], Column]) -> Column:
-    """``of`` a payload's parsed value, null for text that is no JSON: a value bound by a function of an array is parsed once, however often ``of`` asks for it."""
-    return F.get(F.transform(F.array(F.try_parse_json(payload)), of), F.lit(0))
+    """``of`` a payload's parsed value, null for text that is no JSON, parsed once."""
+    return T.once(F.try_parse_json(payload), of)
 
 
 def shape_errors(payload: Column) -> Column:

@@ -7,6 +7,7 @@ from docproof.operators import extraction, warning
 from docproof.plans import label_data
 from docproof.sources import response
 from pyspark.sql import functions as F
+from test_boxed_warning import WORDS
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,19 @@ def test_a_response_is_parsed_once(spark):
     for f in (response.shape_errors, response.check_statuses):
         shown = rows.select(f(F.col("response")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
         assert shown.lower().replace("_", "").count("parsejson") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_warnings_are_split_once(spark):
+    """Split inside the function that places a word, a warning was split again for each of its words."""
+    assert _plan(label_data.warning_words(spark, SF)).count("split(") == 1
+
+
+def test_labels_with_boxes_are_put_together_once(spark):
+    """Words were read 21 times, and every statement aligned twice."""
+    words = spark.createDataFrame([], WORDS)
+    plan = _plan(warning.analyse(words, spark.createDataFrame([], "doc_id int, ml double")))
+    assert plan.count("LogicalRDD [doc_id") <= 6 and plan.count("ArrowEvalPython [alignment(") == 1
