@@ -74,17 +74,16 @@ def warning_texts(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataF
 def warning_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of printed warnings with their boxes, behind the word BRAND; labels without a warning have no words."""
     printed = applications(spark, sf_dir).select("doc_id", F.expr(WARNING_TEXT).alias("w")).where("w is not null")
-    words = F.split("w", " ")
-    at = lambda k: F.floor(k / ROW_WORDS) * ROW_WORDS
-
-    def placed(word, k):
-        before = F.slice(words, (at(k) + 1).cast("int"), (k - at(k)).cast("int"))
-        left = F.aggregate(before, F.lit(20), lambda s, b: s + 8 * F.length(b) + 12)
-        row = F.floor(k / ROW_WORDS).cast("int")
-        return F.struct((k + 1).alias("ordinal"), (row + 1).alias("line"), left.alias("left"), (WARNING_TOP + row * F.expr(ROW_APART)).alias("top"), (8 * F.length(word)).alias("width"), F.expr(CERTAIN).cast("double").alias("confidence"), word.alias("text"))
-
-    brand = F.struct(F.lit(0).alias("ordinal"), F.lit(0).alias("line"), F.lit(20).alias("left"), F.expr(BRAND_TOP).alias("top"), F.lit(90).alias("width"), F.lit(0.9).alias("confidence"), F.lit("BRAND").alias("text"))
-    each = printed.select("doc_id", F.explode(F.concat(F.array(brand), F.transform(words, placed))).alias("x")).select("doc_id", "x.*")
+    words = printed.select("doc_id", "w", F.split("w", " ").alias("words"))
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / ROW_WORDS).cast("int")), lambda r: F.slice("words", r * ROW_WORDS + 1, ROW_WORDS))
+    of_row = words.select("doc_id", "w", F.posexplode(F.concat(F.array(F.array(F.lit("BRAND"))), rows)).alias("line", "row"))
+    of_word = of_row.select("doc_id", "w", "line", "row", F.posexplode("row").alias("k", "text"))
+    brand, at = F.col("line") == 0, F.col("line") - 1
+    left = F.aggregate(F.slice("row", F.lit(1), F.col("k")), F.lit(20), lambda s, before: s + 8 * F.length(before) + 12)
+    each = of_word.select(
+        "doc_id", F.when(brand, 0).otherwise(at * ROW_WORDS + F.col("k") + 1).alias("ordinal"), "line", left.alias("left"), F.when(brand, F.expr(BRAND_TOP)).otherwise(WARNING_TOP + at * F.expr(ROW_APART)).alias("top"),
+        F.when(brand, 90).otherwise(8 * F.length("text")).alias("width"), F.when(brand, 0.9).otherwise(F.expr(CERTAIN).cast("double")).alias("confidence"), "text",
+    )
     one = F.lit(1)
     return each.select("doc_id", "ordinal", one.alias("page"), one.alias("block"), one.alias("paragraph"), "line", "left", "top", "width", F.lit(20).alias("height"), "confidence", "text", F.lit(1000).alias("image_width"), F.lit(800).alias("image_height"))
 
